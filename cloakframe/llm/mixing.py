@@ -201,10 +201,16 @@ def fit_plan(members: DataFrame, names: list[str], share: np.ndarray, cap: np.nd
     plan.total = min(float((most[there] / plan.share[there]).min()), total or np.inf)
     want = plan.total * plan.share
     plan.start = np.where(there, want / np.maximum(plan.size, 1e-9), 0)
+    last = np.inf
     for _ in range(MAX_STEPS):
         used = summed()[0]
-        if np.abs(used - want).max() <= TOLERANCE * plan.total:
+        error = float(np.abs(used - want).max())
+        if error <= TOLERANCE * plan.total:
             break
+        if error > 0.7 * last:  # a source is at its caps: the total that the others' memberships promised it is out of reach
+            scale = float((used[there] / want[there]).min())
+            plan.total, want = plan.total * scale, want * scale
+        last = error
         plan.steps.append(np.where(plan.size > 0, (used - want) / np.maximum(plan.size, 1e-9), 0))
 
     def flips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import canonical, langid, leakage, mixing, overlap, reading, splitting
+from cloakframe.llm import canonical, langid, leakage, mixing, overlap, privacy, reading, splitting
 from cloakframe.session import table
 
 
@@ -47,6 +47,20 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.select("id", "split", F.explode("pieces").alias("p")).select("id", "split", "p.*")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.all_items(table(spark, sf_dir, "datasets"), table(spark, sf_dir, "judge_errors__s3__h2__none"))
+
+
+def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.mask_texts(table(spark, sf_dir, "datasets").dropDuplicates(["id"]), "a secret of this run")
+
+
+def p4_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The annotation's surfaces, each wholly masked by its detected or, failing that, its annotated type."""
+    rows = table(spark, sf_dir, "datasets").where("gold is not null").dropDuplicates(["id"]).select("id", F.posexplode("gold").alias("k", "g"))
+    return privacy.mask_surfaces(rows.select("id", (F.col("k") + 1).alias("item_no"), F.col("g.label").alias("label"), F.col("g.text").alias("text")), "a secret of this run")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.record_pairs(*overlap.cross_split_overlaps(table(spark, sf_dir, "datasets"))).select("id_a", "id_b")
 
@@ -94,7 +108,8 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
-        p1_found, p1_stretches, p2_found, p2_canonical, p3_found, p3_pieces, p5_found, p5_report,
+        p1_found, p1_stretches, p2_found, p2_canonical, p3_found, p3_pieces,
+        p4_found, p4_masked, p4_surfaces, p5_found, p5_report,
         p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_levels, p8_profile,
     ]
     return {f.__name__: f for f in named}
