@@ -1,87 +1,147 @@
 """Token scores, leaked entities and corpus aggregates.
 
-Coverage is computed inside the row, from merged islands: no character array
-and no token rows. A document without predictions or gold counts as uncovered.
+Predictions are merged into islands by a window, then each document meets its
+gold and its islands once, in one Arrow pass: how much of a token is covered
+follows from the islands' running length by binary search, for all tokens at a
+time. There is no character array and no row for each token. A document without
+predictions or gold counts as uncovered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions import fixed, textops
+from cloakframe.functions import fixed
 from cloakframe.operators import spans as sp
 
-COVERED = 0.5
 FP_EXAMPLES = 40
+_TOKEN = re.compile(r"\S+")
+_CONNECTORS = frozenset(fixed.CONNECTORS)
 
 
 def islands_by(spans: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    packed = F.collect_list(F.struct("start_pos", "end_pos", "label", F.col("span_id").cast("long").alias("ord")))
-    return spans.groupBy(*keys).agg(packed.alias("_s")).select(*keys, sp.merge_array(F.col("_s")).alias(name))
-
-
-def gold_arrays(gold: DataFrame) -> DataFrame:
-    """Per document the islands under required and under any gold span, and the required entities."""
-    row = F.struct("start_pos", "end_pos", "label", F.col("span_no").cast("long").alias("ord"))
-    entity = F.struct("start_pos", "end_pos", F.col("span_no").alias("span_no"), "label", F.col("surface").alias("text"))
-    packed = gold.groupBy("doc_id").agg(F.collect_list(F.when(F.col("required"), row)).alias("_req"), F.collect_list(row).alias("_any"), F.array_sort(F.collect_list(F.when(F.col("required"), entity))).alias("entities"))
-    return packed.select("doc_id", sp.merge_array(F.col("_req")).alias("req_islands"), sp.merge_array(F.col("_any")).alias("any_islands"), "entities")
-
-
-def _half(start: Column, end: Column, islands: Column) -> Column:
-    return sp.covered_length(start, end, islands) >= (end - start) * COVERED
-
-
-def scored_tokens(docs: DataFrame, gold: DataFrame, predicted: DataFrame, keys: Sequence[str] = ("det",), grid: Sequence[Column] = ()) -> DataFrame:
-    """``doc_id, split, keys, toks, entities``: tokens with flags ``req, any, pred`` and entities with their visible words.
-
-    ``predicted`` holds ``doc_id, keys, start_pos, end_pos, label, span_id``.
-    ``grid`` are columns that expand each document to every value of the keys,
-    so that a document without predictions is scored too.
+    """One row for each key with its merged islands, labels kept, as an array."""
+    merged = sp.merge_spans(spans, keys)
+    packed = F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "label")))
+    return merged.groupBy(*keys).agg(packed.alias(name))
+
+
+def tokens(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Starts, ends and words of the tokens, edges trimmed of ``STRIP``."""
+    starts, ends, words = [], [], []
+    for m in _TOKEN.finditer(text):
+        word = m[0].rstrip(fixed.STRIP)
+        core = word.lstrip(fixed.STRIP)
+        if core:
+            start = m.start() + len(word) - len(core)
+            starts.append(start)
+            ends.append(start + len(core))
+            words.append(core)
+    return np.array(starts, np.int64), np.array(ends, np.int64), words
+
+
+def merged(pairs: Sequence[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    out: list[list[int]] = []
+    for a, b in sorted(pairs):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    x = np.array(out, np.int64).reshape(-1, 2)
+    return x[:, 0], x[:, 1]
+
+
+def half_covered(starts: np.ndarray, ends: np.ndarray, islands: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether at least half of each [start, end) lies under the disjoint sorted islands."""
+    a, b = islands
+    if not len(a):
+        return np.zeros(len(starts), bool)
+    total = np.concatenate([[0], np.cumsum(b - a)])
+
+    def before(x: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(a, x, "right")
+        last = np.maximum(k - 1, 0)
+        return total[last] + np.where(k > 0, np.clip(x - a[last], 0, b[last] - a[last]), 0)
+
+    return (before(ends) - before(starts)) * 2 >= ends - starts
+
+
+_LEAK = pa.struct([("label", pa.string()), ("text", pa.string()), ("visible", pa.list_(pa.string()))])
+_FLAG = pa.struct([("label", pa.string()), ("span_no", pa.int32()), ("leaked", pa.bool_())])
+
+
+def doc_scores(docs: DataFrame, gold: DataFrame, predicted: DataFrame, grid: Sequence[tuple], keys: Sequence[str] = ("det",), types: Sequence[str] = ("string",)) -> DataFrame:
+    """One row for each document and grid point: ``doc_id, split, keys, req, req_hit, pred, pred_ok, ents, ents_leaked, fp_tokens, leaks, ent_flags``.
+
+    ``grid`` lists the values of the keys (detectors, thresholds); every document
+    is scored at every point. ``predicted`` holds ``doc_id, keys, start_pos,
+    end_pos, label, span_id``; ``gold`` holds ``doc_id, span_no, start_pos,
+    end_pos, label, required, surface``.
     """
-    base = docs.select("doc_id", "split", "text", textops.token_array(F.col("text")).alias("_t")).join(gold_arrays(gold), "doc_id", "left")
-    for column, name in zip(grid, keys):
-        base = base.withColumn(name, F.explode(column))
-    full = base.join(islands_by(predicted, ["doc_id", *keys], "_p"), ["doc_id", *keys], "left")
-    toks = F.transform(
-        "_t",
-        lambda t: F.struct(
-            t["start_pos"].alias("start_pos"), t["tok"].alias("tok"),
-            _half(t["start_pos"], t["end_pos"], F.col("req_islands")).alias("req"),
-            _half(t["start_pos"], t["end_pos"], F.col("any_islands")).alias("any"),
-            _half(t["start_pos"], t["end_pos"], F.col("_p")).alias("pred"),
-        ),
-    )
-
-    def visible(e: Column) -> Column:
-        own = textops.token_array(F.substring(F.col("text"), e["start_pos"] + 1, e["end_pos"] - e["start_pos"]))
-        critical = F.filter(own, lambda t: ~F.lower(t["tok"]).isin(*fixed.CONNECTORS))
-        seen = F.filter(critical, lambda t: ~_half(t["start_pos"] + e["start_pos"], t["end_pos"] + e["start_pos"], F.col("_p")))
-        return F.transform(seen, lambda t: t["tok"])
-
-    entities = F.transform(F.coalesce("entities", F.expr("cast(array() as array<struct<start_pos:int,end_pos:int,span_no:int,label:string,text:string>>)")), lambda e: F.struct(e["label"].alias("label"), e["text"].alias("text"), e["start_pos"].alias("start_pos"), visible(e).alias("visible")))
-    return full.select("doc_id", "split", *keys, toks.alias("toks"), entities.alias("entities"))
-
-
-def doc_scores(scored: DataFrame, keys: Sequence[str] = ("det",)) -> DataFrame:
-    """Counts of each document: ``req, req_hit, pred, pred_ok, ents, ents_leaked, fp_tokens, leaks``."""
-    count = lambda f: F.size(F.filter("toks", f))
-    leaks = F.filter("entities", lambda e: F.size(e["visible"]) > 0)
-    return scored.select(
-        "doc_id", "split", *keys,
-        count(lambda t: t["req"]).alias("req"),
-        count(lambda t: t["req"] & t["pred"]).alias("req_hit"),
-        count(lambda t: t["pred"]).alias("pred"),
-        count(lambda t: t["pred"] & t["any"]).alias("pred_ok"),
-        F.size("entities").alias("ents"),
-        F.size(leaks).alias("ents_leaked"),
-        F.transform(F.filter("toks", lambda t: t["pred"] & ~t["any"]), lambda t: t["tok"]).alias("fp_tokens"),
-        F.transform(leaks, lambda e: F.struct(e["label"].alias("label"), e["text"].alias("text"), e["visible"].alias("visible"))).alias("leaks"),
-        F.transform("entities", lambda e: F.struct(e["label"].alias("label"), (F.size(e["visible"]) > 0).alias("leaked"))).alias("ent_flags"),
-    )
+    islands = sp.merge_spans(predicted.select("doc_id", *keys, "start_pos", "end_pos", "label", "span_id"), ["doc_id", *keys])
+    by_doc = islands.groupBy("doc_id").agg(F.collect_list(F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)], "start_pos", "end_pos")).alias("p"))
+    annotated = gold.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("span_no", "start_pos", "end_pos", "label", "required", "surface"))).alias("g"))
+    rows = docs.select("doc_id", "split", "text").join(annotated, "doc_id", "left").join(by_doc, "doc_id", "left")
+    points = [tuple(x) for x in grid]
+    names = [tuple(_text(v) for v in x) for x in points]
+    schema = "doc_id string, split string, " + "".join(f"{k} {t}, " for k, t in zip(keys, types)) + (
+        "req int, req_hit int, pred int, pred_ok int, ents int, ents_leaked int, fp_tokens array<string>, "
+        "leaks array<struct<label:string,text:string,visible:array<string>>>, ent_flags array<struct<label:string,span_no:int,leaked:boolean>>"
+    )
+    arrow_keys = [{"string": pa.string(), "double": pa.float64(), "int": pa.int32()}[t] for t in types]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = [("doc_id", pa.string()), ("split", pa.string()), *zip(keys, arrow_keys), *((c, pa.int32()) for c in ("req", "req_hit", "pred", "pred_ok", "ents", "ents_leaked"))]
+        fields += [("fp_tokens", pa.list_(pa.string())), ("leaks", pa.list_(_LEAK)), ("ent_flags", pa.list_(_FLAG))]
+        for batch in batches:
+            out = []
+            for doc, split, text, g, p in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                starts, ends, words = tokens(text)
+                g = g or []
+                entities = [x for x in g if x["required"]]
+                req = half_covered(starts, ends, merged([(x["start_pos"], x["end_pos"]) for x in entities]))
+                some = half_covered(starts, ends, merged([(x["start_pos"], x["end_pos"]) for x in g]))
+                owner, es, ee, ew = [], [], [], []
+                for n, x in enumerate(entities):
+                    a, b, w = tokens(text[x["start_pos"] : x["end_pos"]])
+                    for i, word in enumerate(w):
+                        if word.lower() not in _CONNECTORS:
+                            owner.append(n)
+                            es.append(int(a[i]) + x["start_pos"])
+                            ee.append(int(b[i]) + x["start_pos"])
+                            ew.append(word)
+                es_, ee_ = np.array(es, np.int64), np.array(ee, np.int64)
+                of = lambda x: tuple(x[f"k{i}"] for i in range(len(keys)))
+                found = {k: merged([(x["start_pos"], x["end_pos"]) for x in v]) for k, v in groupby(sorted(p or [], key=of), key=of)}
+                none = merged([])
+                for point, name in zip(points, names):
+                    here = found.get(name, none)
+                    hit = half_covered(starts, ends, here)
+                    seen = ~half_covered(es_, ee_, here)
+                    visible: dict[int, list[str]] = {}
+                    for i in np.flatnonzero(seen).tolist():
+                        visible.setdefault(owner[i], []).append(ew[i])
+                    leaks = [{"label": entities[n]["label"], "text": entities[n]["surface"], "visible": v} for n, v in sorted(visible.items())]
+                    flags = [{"label": x["label"], "span_no": x["span_no"], "leaked": n in visible} for n, x in enumerate(entities)]
+                    wrong = [words[i] for i in np.flatnonzero(hit & ~some).tolist()]
+                    counts = (int(req.sum()), int((req & hit).sum()), int(hit.sum()), int((hit & some).sum()), len(entities), len(visible))
+                    out.append((doc, split, *point, *counts, wrong, leaks, flags))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), fields)], [n for n, _ in fields])
+
+    return rows.select(F.col("doc_id").cast("string").alias("doc_id"), "split", "text", "g", "p").mapInArrow(run, schema)
+
+
+def _text(value: object) -> str:
+    """A key's value as Spark writes it."""
+    return str(value)
 
 
 def ratio(part: Column, whole: Column, empty: float) -> Column:

@@ -133,9 +133,14 @@ def vote(spans: DataFrame, k: int, keys: Sequence[str] = ("doc_id",)) -> DataFra
     return spans.join(kept.drop("_n"), [*keys, "span_id"], "left_semi")
 
 
+def lines_of(docs: DataFrame) -> Column:
+    """The documents' sectioned lines: ``_lines`` where they carry them, else computed from ``text``."""
+    return F.col("_lines") if "_lines" in docs.columns else textops.sectioned_lines(F.col("text"))
+
+
 def with_context(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Spans with ``section, line, line_start, contact`` of the line that holds their start; other, '' and 0 outside."""
-    lines = docs.select("doc_id", textops.sectioned_lines(F.col("text")).alias("_lines"))
+    lines = docs.select("doc_id", lines_of(docs).alias("_lines"))
     joined = spans.join(lines, "doc_id").withColumn("_at", textops.line_at(F.col("_lines"), F.col("start_pos"))).drop("_lines")
     return joined.select(
         *spans.columns,

@@ -250,8 +250,7 @@ def detector_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _docs(spark, sf_dir)
-    grid = [F.array(*[F.lit(d) for d in fr.DETECTORS])]
-    return scoring.doc_scores(scoring.scored_tokens(documents, fr.gold(spark, sf_dir, documents), fr.spans(spark, sf_dir, documents), ["det"], grid))
+    return scoring.doc_scores(documents, fr.gold(spark, sf_dir, documents), fr.spans(spark, sf_dir, documents), [(d,) for d in fr.DETECTORS])
 
 
 _DETS = "(select unnest([" + ", ".join(map(fr.q, fr.DETECTORS)) + "]) as det)"
@@ -307,13 +306,8 @@ def fp_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_SCORED} select doc_id, det, label, span_no from en where leaked")
 def leak_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _docs(spark, sf_dir)
-    annotation = fr.gold(spark, sf_dir, documents)
-    grid = [F.array(*[F.lit(d) for d in fr.DETECTORS])]
-    scored = scoring.scored_tokens(documents, annotation, fr.spans(spark, sf_dir, documents), ["det"], grid)
-    zipped = scored.join(scoring.gold_arrays(annotation).select("doc_id", F.col("entities").alias("e")), "doc_id")
-    leaked = F.transform(F.filter(F.arrays_zip("entities", "e"), lambda z: F.size(z["entities"]["visible"]) > 0), lambda z: F.struct(z["e"]["label"].alias("label"), z["e"]["span_no"].alias("span_no")))
-    return zipped.select("doc_id", "det", F.explode(leaked).alias("x")).select("doc_id", "det", "x.*")
+    rows = _scores(spark, sf_dir).select("doc_id", "det", F.explode("ent_flags").alias("e")).where("e.leaked")
+    return rows.select("doc_id", "det", "e.label", "e.span_no")
 
 
 @query(f"with {fr.SQL_DOCS}, {fr.SQL_GOLD}, {fr.SQL_SPANS} select src, label, count(*) as n_wrong, min(surface) as first_surface from s where not {_TOUCH} group by src, label order by n_wrong desc, src, label limit 15")

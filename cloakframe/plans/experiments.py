@@ -20,11 +20,10 @@ def above(spans: DataFrame, thresholds: Sequence[float]) -> DataFrame:
 
 def sweep(docs: DataFrame, gold: DataFrame, spans: DataFrame, detectors: Sequence[str], thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """Corpus scores of every detector and threshold on every split, in one job."""
-    grid = [F.array(*[F.lit(d) for d in detectors]), F.array(*[F.lit(float(t)) for t in thresholds])]
-    keys = ["det", "threshold"]
+    grid = [(d, float(t)) for d in detectors for t in thresholds]
     kept = above(spans.where(F.col("det").isin(*detectors)), thresholds)
-    scores = scoring.doc_scores(scoring.scored_tokens(docs, gold, kept, keys, grid), keys)
-    return scoring.corpus_scores(scores, ["split", *keys])
+    scores = scoring.doc_scores(docs, gold, kept, grid, ["det", "threshold"], ["string", "double"])
+    return scoring.corpus_scores(scores, ["split", "det", "threshold"])
 
 
 def best_threshold(swept: DataFrame, on_split: str) -> DataFrame:

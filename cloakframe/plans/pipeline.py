@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cloakframe.operators import identity, policy, rules, scoring
 from cloakframe.operators import spans as sp
 from cloakframe.operators.policy import Config
+from cloakframe.session import cut
 
 COLUMNS = ["doc_id", "ord", "start_pos", "end_pos", "label", "src", "score", "surface", "section", "line", "line_start", "contact", "before", "after"]
 FINAL = ["doc_id", "span_id", "start_pos", "end_pos", "label", "src", "surface"]
@@ -42,11 +43,13 @@ def run(docs: DataFrame, detected: DataFrame | None = None, cfg: Config = Config
 
     Order: detectors and vote, rules, header name, policy (which adds places and
     contact segments), propagation, safety net; each stage reads all before it.
+    Stages that several later ones read are cut by a checkpoint, so that nothing is computed twice.
     """
+    docs = cut(rules.with_lines(docs))
     base = candidates(docs, detected, cfg)
     if cfg.raw:
         return base.withColumn("span_id", F.col("ord")).select(*FINAL)
-    kept = policy.apply(base, cfg) if cfg.policy else base
+    kept = cut(policy.apply(base, cfg) if cfg.policy else base)
     step = 1 << 40
     ordered = kept.withColumn("span_id", F.col("ord"))
     if cfg.policy and cfg.location_lines:
@@ -57,9 +60,11 @@ def run(docs: DataFrame, detected: DataFrame | None = None, cfg: Config = Config
     if cfg.policy and cfg.contact_line_rule:
         segments = policy.contact_segments(docs, ordered).withColumn("span_id", F.col("start_pos").cast("long") + 4 * step)
         ordered = ordered.unionByName(_context(docs, segments).select(*FINAL, "section"))
+    ordered = cut(ordered)
     spread = identity.propagate(docs, ordered, cfg.propagate).withColumn("span_id", F.col("start_pos").cast("long") + 5 * step)
     every = ordered.select(*FINAL).unionByName(spread.select(*FINAL))
     if cfg.safety_net:
+        every = cut(every)
         net = identity.safety_net(docs, every).withColumn("span_id", F.col("start_pos").cast("long") + 6 * step)
         every = every.unionByName(net.select(*FINAL))
     return every
@@ -75,8 +80,8 @@ def mask(docs: DataFrame, spans: DataFrame, template: str = "[%s]") -> DataFrame
 
 def evaluate(docs: DataFrame, gold: DataFrame, spans: DataFrame, name: str) -> DataFrame:
     """Corpus scores of one stack on every split."""
-    scored = scoring.scored_tokens(docs, gold, spans.withColumn("stack", F.lit(name)), ["stack"], [F.array(F.lit(name))])
-    return scoring.corpus_scores(scoring.doc_scores(scored, ["stack"]), ["split", "stack"])
+    scores = scoring.doc_scores(docs, gold, spans.withColumn("stack", F.lit(name)), [(name,)], ["stack"])
+    return scoring.corpus_scores(scores, ["split", "stack"])
 
 
 def numbered(spans: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from cloakframe.operators import detectors, identity, judge, policy, rules, scor
 from cloakframe.plans import catalogue, pipeline
 from cloakframe.plans import frames as fr
 from cloakframe.plans.catalogue import query
+from cloakframe.session import cut
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,13 +31,13 @@ def header_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def policy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detector spans and rule spans after the policy."""
     documents = fr.docs(spark, sf_dir)
-    return policy.apply(pipeline.candidates(documents, fr.spans(spark, sf_dir, documents))).select("doc_id", "start_pos", "end_pos", "label", "src")
+    return policy.apply(pipeline.candidates(cut(rules.with_lines(documents)), fr.spans(spark, sf_dir, documents))).select("doc_id", "start_pos", "end_pos", "label", "src")
 
 
 @query()
 def propagated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = fr.docs(spark, sf_dir)
-    return identity.propagate(documents, policy.apply(pipeline.candidates(documents, None)))
+    documents = cut(rules.with_lines(fr.docs(spark, sf_dir)))
+    return identity.propagate(documents, cut(policy.apply(pipeline.candidates(documents, None))))
 
 
 @query()
@@ -84,8 +85,7 @@ def judge_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leaks_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-document errors of the rules-only stack, in the form of the judge's error rows."""
     documents = fr.docs(spark, sf_dir)
-    scored = scoring.scored_tokens(documents, fr.gold(spark, sf_dir, documents), pipeline.run(documents).withColumn("det", F.lit("rules")), ["det"], [F.array(F.lit("rules"))])
-    rows = scoring.doc_scores(scored)
+    rows = scoring.doc_scores(documents, fr.gold(spark, sf_dir, documents), pipeline.run(documents).withColumn("det", F.lit("rules")), [("rules",)])
     return rows.select("doc_id", "split", F.to_json("leaks").alias("leaks"), F.array_join("fp_tokens", " ").alias("fp_tokens"))
 
 
