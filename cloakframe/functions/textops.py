@@ -26,6 +26,11 @@ def prefix_ends(lengths: Column) -> Column:
     return F.aggregate(lengths, F.expr("cast(array() as array<int>)"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + n)))
 
 
+def unmarked(text: Column) -> Column:
+    """The text with its own mark characters, if any, made spaces."""
+    return F.when(text.contains(MARK), F.translate(text, MARK, " ")).otherwise(text)
+
+
 def _laid_out(parts: Column) -> Column:
     """Consecutive parts with their offsets, in one fold."""
     empty = F.expr("cast(array() as array<struct<start_pos:int,end_pos:int,text:string>>)")
@@ -43,7 +48,7 @@ def matches(text: Column, pattern: str, group: bool = False) -> Column:
     With ``group`` the pattern is two groups, what precedes and the target; only
     the target is returned. The text's own mark characters become spaces first.
     """
-    marked = F.regexp_replace(F.translate(text, MARK, " "), F.lit(pattern), F.lit(f"$1{MARK}$2{MARK}" if group else f"{MARK}$0{MARK}"))
+    marked = F.regexp_replace(unmarked(text), F.lit(pattern), F.lit(f"$1{MARK}$2{MARK}" if group else f"{MARK}$0{MARK}"))
     return F.filter(_laid_out(F.split(marked, MARK, -1)), lambda s, i: (i % 2 == 1) & (s["end_pos"] > s["start_pos"]))
 
 

@@ -35,7 +35,7 @@ def known_names(spans: DataFrame, mode: str = "surname") -> DataFrame:
     rows = seeds.select("doc_id", "src", words.alias("w"))
     credential = lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) <= 5)
     kept = rows.withColumn("w", F.when((F.size("w") > 2) & (F.col("src") != "re-spaced"), F.filter("w", lambda w: ~credential(w))).otherwise(F.col("w"))).where(F.size("w") >= 2)
-    last = F.element_at("w", -1)
+    last = F.try_element_at("w", F.lit(-1))
     parts = F.when(last.contains("-"), F.filter(F.split(last, "-"), lambda p: F.length(p) > 3)).otherwise(F.expr("cast(array() as array<string>)"))
     single = F.concat(F.array(last), parts)
     if mode == "all":
@@ -58,7 +58,7 @@ def propagate(docs: DataFrame, spans: DataFrame, mode: str = "surname") -> DataF
     words = near.where(edge).withColumn("src", F.lit("prop")).select(*columns)
     links = sp.extract(docs, DOMAIN, "URL", "prop").withColumn("_u", F.regexp_replace(F.lower("surface"), "[-._]", ""))
     pieces = F.transform(textops.matches(F.lower("full"), r"[\p{L}\p{N}_]+"), lambda m: m["text"])
-    keyed = names.select("doc_id", F.array_join(pieces, "").alias("_key"), F.element_at(pieces, -1).alias("_last")).distinct()
+    keyed = names.select("doc_id", F.array_join(pieces, "").alias("_key"), F.try_element_at(pieces, F.lit(-1)).alias("_last")).distinct()
     bears = F.col("_u").contains(F.col("_key")) | ((F.length("_last") > 3) & F.col("_u").contains(F.col("_last")))
     urls = links.join(keyed, "doc_id").where(bears).select(*columns).distinct()
     return found.unionByName(words).unionByName(urls).distinct()

@@ -70,7 +70,7 @@ def extract(docs: DataFrame, pattern: str, label: str, src: str, group: bool = F
 
 def occurrence_starts(text: Column, surface: Column) -> Column:
     """Starts of every non-overlapping literal occurrence, from the left; empty for an empty surface."""
-    parts = F.split(F.replace(F.translate(text, textops.MARK, " "), surface, F.lit(textops.MARK)), textops.MARK, -1)
+    parts = F.split(F.replace(textops.unmarked(text), surface, F.lit(textops.MARK)), textops.MARK, -1)
     ends = textops.prefix_ends(F.transform(parts, lambda p: F.length(p)))
     starts = F.transform(ends, lambda e, i: (e + i * F.length(surface)).cast("int"))
     return F.when(F.length(surface) > 0, F.slice(starts, F.lit(1), F.greatest(F.size(starts) - 1, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))

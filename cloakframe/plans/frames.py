@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.functions import fixed, textops
-from cloakframe.session import table
+from cloakframe.session import spread, table
 
 DETECTORS = ("rules", "tagger_s", "tagger_l", "spanner", "spanner_ft", "filter_tok", "hosted_mix")
 
@@ -14,7 +14,8 @@ DETECTORS = ("rules", "tagger_s", "tagger_l", "spanner", "spanner_ft", "filter_t
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each record: redelivered rows repeat everything but their load time."""
     rows = table(spark, sf_dir, "datasets").where("id is not null and text is not null")
-    return rows.select(F.col("id").alias("doc_id"), textops.split_name(F.col("split")).alias("split"), "text").dropDuplicates(["doc_id"])
+    named = rows.select(F.col("id").alias("doc_id"), textops.split_name(F.col("split")).alias("split"), "text")
+    return spread(named, "doc_id").dropDuplicates(["doc_id"])
 
 
 def _clip(rows: DataFrame, documents: DataFrame) -> DataFrame:

@@ -104,3 +104,26 @@ def unified_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 assert catalogue  # the queries above register themselves there
+
+
+@query(
+    "select cast(epoch(date_trunc('hour', seen_at)) as bigint) as since, label, count(*) as n_spans from candidate_spans where seen_at is not null and label is not null group by 1, 2"
+)
+def label_counts_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming aggregate run over a table as one batch."""
+    from cloakframe.streaming.masking import label_counts
+
+    return label_counts(fr.table(spark, sf_dir, "candidate_spans").where("label is not null")).withColumn("since", F.unix_timestamp("since"))
+
+
+@query(
+    """with a as (select doc_id, seen_at, case when lag(seen_at) over w is null or seen_at >= lag(seen_at) over w + interval 30 minutes then 1 else 0 end as new
+        from candidate_spans where seen_at is not null and doc_id is not null window w as (partition by doc_id order by seen_at)),
+    b as (select *, sum(new) over (partition by doc_id order by seen_at rows between unbounded preceding and current row) as s from a)
+    select doc_id, cast(floor(epoch(min(seen_at))) as bigint) as since, cast(floor(epoch(max(seen_at) + interval 30 minutes)) as bigint) as until, count(*) as n_spans from b group by doc_id, s"""
+)
+def detection_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.streaming.masking import sessions
+
+    rows = sessions(fr.table(spark, sf_dir, "candidate_spans").where("doc_id is not null"))
+    return rows.withColumns({"since": F.unix_timestamp("since"), "until": F.unix_timestamp("until")})

@@ -49,6 +49,16 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hash-partitioned by its keys into ``spark.sql.shuffle.partitions`` parts.
+
+    A later grouping by the keys reuses the partitioning. Adaptive execution
+    coalesces by bytes and would leave a small but slow table in one task;
+    a number asked for stays.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
