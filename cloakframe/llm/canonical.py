@@ -40,7 +40,7 @@ def canonical_sql(relation: str = "batch") -> str:
         with odd as (select k, n, t, t is not null and regexp_matches(t, '[^\\x00-\\x7f\\x{{a1}}-\\x{{ac}}\\x{{ae}}-\\x{{17f}}\\x{{2010}}-\\x{{2016}}\\x{{2018}}-\\x{{201f}}\\x{{2022}}\\x{{2026}}\\x{{20ac}}]') as special from {relation}),
         stripped as (select *, case when special then regexp_replace(t, '[{INVISIBLE}]', '', 'g') else t end as bare from odd),
         mapped as (select *, case when special then nfc_normalize({plain}) else t end as joined from stripped),
-        swapped as (select *, case when special then {swap} else t end as canonical from mapped)
+        swapped as (select *, case when special then nfc_normalize({swap}) else t end as canonical from mapped)
         select k, n, canonical, special and canonical <> t as changed from swapped
     """
 

@@ -178,23 +178,24 @@ def fit_plan(members: DataFrame, names: list[str], share: np.ndarray, cap: np.nd
     k = len(names)
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size, most = np.zeros(k), np.zeros(k), np.zeros(k)
+        out, size, most, own = np.zeros(k), np.zeros(k), np.zeros(k), np.zeros(k)
         for batch in batches:
             _, source, t, q = _columns(batch, names)
+            own += np.bincount(np.where(source >= 0, source, q.argmax(1)), t, k)
             out += (plan.rates(q, source) * t) @ q
             size += t @ q
             most += (np.where(source >= 0, plan.cap[np.maximum(source, 0)], np.floor(q @ plan.cap)) * t) @ q
-        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(out), pa.array(size), pa.array(most)], ["k", "used", "size", "most"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(out), pa.array(size), pa.array(most), pa.array(own)], ["k", "used", "size", "most", "own"])
 
     def summed() -> np.ndarray:
-        rows = table.mapInArrow(totals, "k int, used double, size double, most double").groupBy("k").agg(*(F.sum(c).alias(c) for c in ("used", "size", "most"))).collect()
-        out = np.zeros((3, k))
+        rows = table.mapInArrow(totals, "k int, used double, size double, most double, own double").groupBy("k").agg(*(F.sum(c).alias(c) for c in ("used", "size", "most", "own"))).collect()
+        out = np.zeros((4, k))
         for r in rows:
-            out[:, r.k] = r.used, r["size"], r.most
+            out[:, r.k] = r.used, r["size"], r.most, r.own
         return out
 
-    _, plan.size, most = summed()
-    there = (plan.size > 0) & (share > 0) & (cap > 0)
+    _, plan.size, most, own = summed()
+    there = (own > 0) & (share > 0) & (cap > 0)
     plan.share = np.where(there, share, 0) / max(share[there].sum(), 1e-12)
     if not there.any():
         return plan

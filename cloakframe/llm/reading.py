@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.llm import langid
 from cloakframe.llm.boosting import BoostedTrees
 from cloakframe.llm.prose import prose_sentences
 from cloakframe.session import collect_bounded, cut
@@ -30,6 +32,7 @@ STOCK_RATE = 0.01
 STOCK_TEXTS = 5
 STOCK_WORDS = 12
 FOLDS = 6
+SURELY_ENGLISH, SURELY_NOT = 0.32, 0.08  # shares of function words between which the language profiles decide
 BASIC_BELOW, ADVANCED_ABOVE = 1.5, 3.75
 COUNTS = 9  # words, letters, words of 7+ letters, words of 10+ letters, rare words, commas, subordinators, function words, words shared with the sentence before
 
@@ -137,6 +140,22 @@ def fit_grader(anchors: list[tuple[int, str]]) -> Grader:
     return Grader(whole, models or [whole], raw, levels, error)
 
 
+@lru_cache(1)
+def _profiles() -> langid.Profiles:
+    return langid.fit_profiles([])
+
+
+def is_english(sentences: list[list[str]], counts: list[list[int]]) -> bool:
+    """Whether most words of the running prose are English."""
+    words = sum(c[0] for c in counts)
+    share = sum(c[7] for c in counts) / max(1, words)
+    if share >= SURELY_ENGLISH or share < SURELY_NOT:
+        return words > 0 and share >= SURELY_ENGLISH
+    dots, _ = _profiles().dots(sentences)
+    own = dots.argmax(1) == langid.LANGUAGES.index("en")
+    return 2 * sum(c[0] for c, e in zip(counts, own) if e) > words
+
+
 def sentence_table(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Pass 1: per document its text's hash, whether it is English and a CV, and hash and counts of each prose sentence."""
     schema = "doc_id long, source string, text_hash long, english boolean, cv boolean, hashes array<long>, counts array<int>"
@@ -151,9 +170,8 @@ def sentence_table(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
             for t in batch.column(2).to_pylist():
                 sentences = [w for _, _, w in prose_sentences(t)] if t else []
                 counts = sentence_counts(sentences)
-                words = sum(c[0] for c in counts)
                 columns[0].append((hashed(t) if t else 0) - top)
-                columns[1].append(words > 0 and sum(c[7] for c in counts) >= 0.2 * words)
+                columns[1].append(is_english(sentences, counts))
                 columns[2].append(bool(t) and len(_JOB.findall(t)) >= 2)
                 columns[3].append([hashed(" ".join(s).lower()) - top for s in sentences])
                 columns[4].append([n for c in counts for n in c])
