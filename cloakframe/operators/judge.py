@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from cloakframe.functions import fixed
 from cloakframe.operators import spans as sp
@@ -21,7 +22,7 @@ REVIEWED = ("NAME", "LOCATION", "ADDRESS", "EDU_ORG", "ID", "NATIONALITY", "URL"
 MODES = ("full", "drop_only", "add_only", "none")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def reply_key(key, system, user, max_tokens):  # type: ignore[no-untyped-def]
     """Cache key of a request: md5 of the JSON list, escaped as Python writes it."""
     import pandas as pd
