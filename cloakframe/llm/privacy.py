@@ -54,20 +54,52 @@ KEYED_ID = re.compile(
 _STREET = rf"[{_UP}][{_LOW}]+(?:[-'’ ][{_UP}][{_LOW}]+)?"
 _NO = r"\d{1,4}(?:[a-z]\b)?"
 _SP = r"[ \t  ]{1,3}"
-ADDRESS = re.compile(
-    "|".join(
+#: Address shapes by tradition; each with words of which a text must hold one for the shape to be tried.
+ADDRESS = tuple(
+    (words, re.compile(shape))
+    for words, shape in (
         (
+            ("road", "lane", "terrace", "mews", "street", "avenue", "close", "drive", "way", "court", "place", "gardens"),
             rf"(?:(?i:Flat|Apt\.?|Unit){_SP}\d{{1,4}}[a-z]?,?{_SP})?\d{{1,4}}[a-z]?{_SP}{_STREET}{_SP}(?i:Road|Lane|Terrace|Mews|Street|Avenue|Close|Drive|Way|Court|Place|Gardens)\b",
+        ),
+        (
+            ("rue", "chemin", "impasse", "allée", "avenue", "boulevard", "quai", "place"),
             rf"\d{{1,4}}(?:{_SP}(?i:bis|ter))?,?{_SP}(?i:rue|chemin|impasse|allée|avenue|boulevard|quai|place)(?:{_SP}(?i:de la|des|du|de|d'))?{_SP}?{_STREET}(?:,{_SP}(?i:bâtiment|appartement|étage){_SP}\w{{1,4}})?",
+        ),
+        (
+            ("calle", "avda.", "avenida", "camino", "plaza", "paseo", "rua", "travessa", "largo", "estrada", "praça", "via", "corso", "vicolo", "piazza", "viale"),
             rf"(?i:Calle|Avda\.|Avenida|Camino|Plaza|Paseo|Rua|Travessa|Largo|Estrada|Praça|Via|Corso|Vicolo|Piazza|Viale)(?:{_SP}(?i:de la|de los|de|del|da|do|dos|das|della|dei))?{_SP}{_STREET},?{_SP}{_NO}(?:,{_SP}(?:(?i:piso|scala|interno|puerta|andar){_SP}\w{{1,4}}|\d{{1,3}}\.?[ºª]?{_SP}(?i:esq|dto|dir|frente)\b\.?))?",
+        ),
+        (
+            ("ul.", "al.", "os.", "pl."),
             rf"(?<!\w)(?i:ul|al|os|pl)\.{_SP}{_STREET}{_SP}{_NO}(?:/\d{{1,4}})?(?:{_SP}(?i:m)\.{_SP}\d{{1,4}})?",
+        ),
+        (
+            ("straße", "strasse", "gasse", "platz", "allee", "weg", "ufer", "ring", "laan", "kade", "steeg", "straat", "plein", "gracht", "katu", "kuja", "polku", "tie", "gatan", "vägen", "gränd", "backen", "stigen"),
             rf"(?:(?i:Östra|Västra|Norra|Södra|Stora|Lilla|Gamla|Nya|Alte|Neue|Große|Kleine|Oude|Nieuwe){_SP})?[{_UP}][{_LOW}]*(?i:straße|strasse|gasse|platz|allee|weg|ufer|ring|laan|kade|steeg|straat|plein|gracht|katu|kuja|polku|tie|gatan|vägen|gränd|backen|stigen){_SP}{_NO}(?:-\d{{1,4}})?(?:{_SP}[A-Z]{_SP}\d{{1,3}})?(?:,{_SP}(?:\d{{1,3}}\.{_SP}(?i:Stock|Etage|OG)\b|(?i:uppg|lgh|vån)\.{_SP}\w{{1,4}}))?",
+        ),
+        (
+            (" tor ", " markt ", " platz ", " hof ", " berg ", " graben ", " ring "),
             rf"(?<!\w)(?i:Am|An der|Im|Zum){_SP}{_STREET}{_SP}(?i:Tor|Markt|Platz|Hof|Berg|Graben|Ring){_SP}{_NO}",
+        ),
+        (
+            ("achter de ", "achter het ", "op de ", "bij de "),
             rf"(?<!\w)(?i:Achter de|Achter het|Op de|Bij de){_SP}{_STREET}{_SP}{_NO}(?:-\d{{1,4}})?",
-        )
+        ),
     )
 )
 
+
+def addresses(text: str, low: str) -> list[tuple[int, int]]:
+    """Spans of street addresses, leftmost first, without overlap; ``low`` is the text in lower case with single spaces."""
+    found = sorted(m.span() for words, shape in ADDRESS if any(w in low for w in words) for m in shape.finditer(text))
+    out: list[tuple[int, int]] = []
+    for a, b in found:
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
+
+
 # --- names
 _TOKEN = rf"[{_UP}][{_LOW}]+(?:[-'’­][{_UP}]?[{_LOW}]+)*"
 _INITIAL = rf"[{_UP}]\.(?:-?[{_UP}]\.)*"
@@ -103,6 +135,9 @@ def _spaces(pattern: str) -> str:
 _INTRO = re.compile(rf"(?:(?i:{_spaces(INTRODUCTION)})[ \t  ]{{1,3}}{_TITLE}({NAME}|{FULL})|(?<!\w)(?i:{_spaces(BEING)})[ \t  ]{{1,3}}{_TITLE}({FULL}))")
 _SUPERIOR = re.compile(rf"(?i:{_spaces(SUPERIOR)})[ \t  ]{{1,3}}{_TITLE}({FULL}|{NAME})")
 _AFTER = re.compile(rf"(?:^|(?<=[.!?]\s)|(?<=[•*\-]\s)){_TITLE}({FULL}|{NAME})[ \t  ]{{1,3}}(?i:{_spaces(LOOKED_AFTER)})", re.M)
+_INTRO_CUES = tuple(x.lower() for x in f"{INTRODUCTION}|{BEING}".split("|"))
+_SUPERIOR_CUES = tuple(x.lower() for x in SUPERIOR.split("|"))
+_AFTER_CUES = tuple(x.lower() for x in LOOKED_AFTER.split("|"))
 _REFEREE = re.compile(rf"^[ \t]*(?:[•*\-–][ \t]+)?{_TITLE}({FULL}|{NAME}),[ \t  ]{{1,3}}(?=[^\n]{{0,60}}?(?:(?<!\w)(?i:{COMPANY})(?!\w)))", re.M)
 _LETTER = rf"(?:[{_LOW}]|-)"
 _SPACED = re.compile(rf"^[ \t]*((?:{_LETTER}[ ]){{2,}}{_LETTER}(?:[ ]{{2,6}}(?:{_LETTER}[ ]){{1,}}[{_LOW}])+)(?=\s*(?:$|[|–\-,]))")
@@ -110,12 +145,18 @@ _HEAD = re.compile(rf"^[ \t]*{_TITLE}({FULL})(?=[ \t  ]*(?:$|[|–,·/]|[ ]-[ ])
 _SURNAME_FIRST = re.compile(rf"^[ \t]*((?:{_PARTICLE}[ \t]{{1,3}}){{0,2}}{_TOKEN},[ \t  ]{{1,3}}(?:{_TOKEN}(?:[ \t]{_TOKEN}|[ \t]{_INITIAL})?|{_INITIAL}))(?=[ \t]*(?:$|[|–,·/]|[ ]-[ ]))")
 _CITED = re.compile(r"^[ \t•*\-–]*((?:[^\n()@\d]){4,120}?)[ \t  ]{0,3}\((?:19|20)\d\d[a-z]?\)[:.,]", re.M)
 _AUTHOR = re.compile(rf"((?:{_PARTICLE}[ \t]{{1,3}}){{0,2}}{_TOKEN},[ \t  ]{{1,3}}{_INITIAL}|{_INITIAL}[ \t  ]{{0,3}}(?:{_PARTICLE}[ \t]{{1,3}}){{0,2}}{_TOKEN}|(?:{_PARTICLE}[ \t]{{1,3}}){{0,2}}{_TOKEN}[ \t  ]{{1,3}}[{_UP}]{{1,2}}\b(?!\.))")
+_INSIDE = re.compile(r"[\w.@\-]")
+_NOT_AFTER = re.compile(r"[\w@\-]|\.\w|\s(?:&|plc\b|Ltd\b|Group\b|GmbH\b|AG\b)", re.I)
 _RULE = re.compile(r"^[ \t]*(?:-{3,}|_{3,}|\*{3,})[ \t]*$")
 _ROLE = re.compile(rf"^[^\n]{{0,4}}(?:\d{{2}}/\d{{4}}|\d{{4}}\s{{0,3}}[-–]\s{{0,3}}\d{{4}}),?\s{{1,4}}([^\n,]{{3,40}}),\s", re.M)
 
 
-def find_names(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Spans of names in a text with plain letters; ``taken`` spans hold other items."""
+def _squeezed(text: str) -> str:
+    return " ".join(text.lower().split())
+
+
+def find_names(text: str, taken: list[tuple[int, int, str]], low: str) -> list[tuple[int, int]]:
+    """Spans of names in a text with plain letters; ``taken`` spans hold other items, ``low`` is the squeezed text."""
     roles = {" ".join(m[1].split()).lower() for m in _ROLE.finditer(text)}
     out: list[tuple[int, int]] = []
 
@@ -131,8 +172,8 @@ def find_names(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
         if b > a and free(a, b) and not any(a < y and x < b for x, y in out):
             out.append((a, b))
 
-    for pattern in (_INTRO, _SUPERIOR, _AFTER):
-        for m in pattern.finditer(text):
+    for cues, pattern in ((_INTRO_CUES, _INTRO), (_SUPERIOR_CUES, _SUPERIOR), (_AFTER_CUES, _AFTER)):
+        for m in pattern.finditer(text) if any(c in low for c in cues) else ():
             k = next(k for k in range(1, len(m.groups()) + 1) if m[k])
             add(m.start(k), m.end(k))
     lines, at = [], 0
@@ -164,12 +205,17 @@ def find_names(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
                 add(x.start(1), x.end(1))
     for m in _REFEREE.finditer(text):
         add(m.start(1), m.end(1))
-    for name in {text[a:b] for a, b in out if " " in text[a:b].strip()}:
-        parts = re.split(r"\s+", name.strip())
-        if all(len(p) == 1 for p in parts):
-            continue
-        for m in re.finditer(r"(?<![\w.@\-])" + r"\s{1,3}".join(map(re.escape, parts)) + r"(?![\w@\-]|\.\w|\s(?:&|plc\b|Ltd\b|Group\b|GmbH\b|AG\b))", text, re.I):
-            add(m.start(), m.end())
+    lower = text.lower()
+    if len(lower) == len(text):
+        for name in {lower[a:b] for a, b in out if " " in text[a:b].strip()}:
+            if all(len(p) == 1 for p in name.split()):
+                continue
+            at = lower.find(name)
+            while at >= 0:
+                end = at + len(name)
+                if not (at and _INSIDE.match(text[at - 1])) and not _NOT_AFTER.match(text, end):
+                    add(at, end)
+                at = lower.find(name, end)
     return out
 
 
@@ -201,13 +247,14 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
     for m in STRONG_ID.finditer(plain):
         if not _overlaps(*m.span(), spans):
             spans.append((*m.span(), "ID"))
-    for m in ADDRESS.finditer(plain):
-        if not _overlaps(*m.span(), spans):
-            spans.append((*m.span(), "ADDRESS"))
+    low = _squeezed(plain)
+    for a, b in addresses(plain, low):
+        if not _overlaps(a, b, spans):
+            spans.append((a, b, "ADDRESS"))
     for m in PHONE.finditer(plain):
         if _phone_ok(m[0]) and not _overlaps(*m.span(), spans):
             spans.append((*m.span(), "PHONE"))
-    spans += [(a, b, "NAME") for a, b in find_names(plain, spans)]
+    spans += [(a, b, "NAME") for a, b in find_names(plain, spans, low)]
     return [_given(text, where, x) for x in sorted(spans)]
 
 
@@ -235,10 +282,10 @@ def detect_leak(text: str | None, label: str | None, names: set[str]) -> tuple[i
     core = plain[a:b]
     if not core:
         return None
-    for pattern, kind in ((EMAIL, "EMAIL"), (STRONG_ID, "ID"), (ADDRESS, "ADDRESS"), (PHONE, "PHONE")):
-        m = pattern.search(plain)
-        if m and not (kind == "PHONE" and not _phone_ok(m[0])):
-            return _given(text, where, (*m.span(), kind))
+    streets = addresses(plain, f" {_squeezed(plain)} ")
+    for found, kind in ((EMAIL.search(plain), "EMAIL"), (STRONG_ID.search(plain), "ID"), (streets, "ADDRESS"), (PHONE.search(plain), "PHONE")):
+        if found and not (kind == "PHONE" and not _phone_ok(found[0])):
+            return _given(text, where, (*(found[0] if kind == "ADDRESS" else found.span()), kind))
     if re.fullmatch(_WEAK_ID, core) and label in (None, "OTHER", "ID"):
         return _given(text, where, (a, b, "ID"))
     title = re.match(rf"{_TITLE}", core).end()
