@@ -78,7 +78,7 @@ def prose_sentences(text: str) -> list[tuple[int, int, list[str]]]:
                 continue
             words = _WORD.findall(sentence)
             n = len(words)
-            if n < 5 or sum(map(str.isdigit, sentence)) * 4 >= len(sentence):
+            if n < 5 or sum(map(sentence.count, "0123456789")) * 4 >= len(sentence):
                 continue
             if 2 * sum(map(str.islower, words)) < n:
                 if n < 7 or not sentence.isupper():

@@ -32,7 +32,7 @@ STOCK_RATE = 0.01
 STOCK_TEXTS = 5
 STOCK_WORDS = 12
 FOLDS = 6
-SURELY_ENGLISH, SURELY_NOT = 0.32, 0.08  # shares of function words between which the language profiles decide
+SURELY_ENGLISH, SURELY_NOT = 0.32, 0.13  # shares of function words between which the language profiles decide
 BASIC_BELOW, ADVANCED_ABOVE = 1.5, 3.75
 COUNTS = 9  # words, letters, words of 7+ letters, words of 10+ letters, rare words, commas, subordinators, function words, words shared with the sentence before
 
@@ -140,23 +140,23 @@ def fit_grader(anchors: list[tuple[int, str]]) -> Grader:
     return Grader(whole, models or [whole], raw, levels, error)
 
 
-@lru_cache(1)
-def _profiles() -> langid.Profiles:
-    return langid.fit_profiles([])
+@lru_cache(2)
+def _profiles(samples: tuple[str, ...]) -> langid.Profiles:
+    return langid.fit_profiles([("en", t) for t in samples])
 
 
-def is_english(sentences: list[list[str]], counts: list[list[int]]) -> bool:
-    """Whether most words of the running prose are English."""
+def is_english(sentences: list[list[str]], counts: list[list[int]], samples: tuple[str, ...] = ()) -> bool:
+    """Whether most words of the running prose are English; ``samples`` are English texts of every level."""
     words = sum(c[0] for c in counts)
     share = sum(c[7] for c in counts) / max(1, words)
     if share >= SURELY_ENGLISH or share < SURELY_NOT:
         return words > 0 and share >= SURELY_ENGLISH
-    dots, _ = _profiles().dots(sentences)
+    dots, _ = _profiles(samples).dots(sentences)
     own = dots.argmax(1) == langid.LANGUAGES.index("en")
     return 2 * sum(c[0] for c, e in zip(counts, own) if e) > words
 
 
-def sentence_table(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def sentence_table(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", samples: tuple[str, ...] = ()) -> DataFrame:
     """Pass 1: per document its text's hash, whether it is English and a CV, and hash and counts of each prose sentence."""
     schema = "doc_id long, source string, text_hash long, english boolean, cv boolean, hashes array<long>, counts array<int>"
     arrow = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("text_hash", pa.int64()), ("english", pa.bool_()), ("cv", pa.bool_()), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
@@ -171,7 +171,7 @@ def sentence_table(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
                 sentences = [w for _, _, w in prose_sentences(t)] if t else []
                 counts = sentence_counts(sentences)
                 columns[0].append((hashed(t) if t else 0) - top)
-                columns[1].append(is_english(sentences, counts))
+                columns[1].append(is_english(sentences, counts, samples))
                 columns[2].append(bool(t) and len(_JOB.findall(t)) >= 2)
                 columns[3].append([hashed(" ".join(s).lower()) - top for s in sentences])
                 columns[4].append([n for c in counts for n in c])
@@ -204,15 +204,19 @@ def reading_levels(documents: DataFrame, anchors: DataFrame, doc_id: str = "doc_
     held = collect_bounded(anchors.select("level", "text", "anchor_id").dropna(subset=["level", "text"]), MAX_ANCHORS, "anchors")
     held.sort(key=lambda r: (r.level, r.anchor_id if r.anchor_id is not None else -1))
     grader = fit_grader([(r.level, r.text) for r in held]) if held else None
-    sentences = cut(sentence_table(documents, doc_id, text, source))
+    sentences = cut(sentence_table(documents, doc_id, text, source, tuple(r.text for r in held)))
     stock = np.array(sorted(stock_hashes(sentences)), np.int64)
     schema = "doc_id long, source string, english boolean, cv boolean, n_words int, grade double, spread double, band string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, x, words = [], [], []
-            for k, (hashes, counts) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
-                own = np.array(counts, np.int32).reshape(-1, COUNTS)[~np.isin(np.array(hashes, np.int64), stock)]
+            at = batch.column(4).offsets.to_numpy()
+            at = at - at[0]
+            kept = ~np.isin(batch.column(4).flatten().to_numpy(), stock)
+            every = batch.column(5).flatten().to_numpy().reshape(-1, COUNTS)
+            for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                own = every[a:b][kept[a:b]]
                 words.append(int(own[:, 0].sum()))
                 if len(own):
                     rows.append(k)
