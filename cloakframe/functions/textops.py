@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from cloakframe.functions import fixed
 
@@ -199,4 +202,15 @@ def split_name(split: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in fixed.SPLIT_ALIAS.items() for x in p]), low), low)
 
 
-Predicate = Callable[[Column], Column]
+
+@pandas_udf(StringType())
+def ascii_fold(texts: pd.Series) -> pd.Series:
+    """Lower case without accents and spaces: for addresses made from names."""
+    import unicodedata
+
+    def fold(t: str | None) -> str | None:
+        if t is None:
+            return None
+        return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower().replace(" ", "")
+
+    return texts.map(fold)

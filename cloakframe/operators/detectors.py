@@ -163,3 +163,18 @@ def training_examples(docs: DataFrame, gold: DataFrame, limit: int) -> DataFrame
 
 def allow_list(terms: Sequence[str], more: Sequence[str] = ()) -> list[str]:
     return sorted({*terms, *more})
+
+
+def by_language(runs: dict[str, Detector], default: str = "en") -> Detector:
+    """Routes documents of ``doc_id, text, lang`` to the detector of their language; others go to the default's."""
+
+    def run(docs: DataFrame) -> DataFrame:
+        known = F.when(F.col("lang").isin(*runs), F.col("lang")).otherwise(F.lit(default))
+        routed = docs.withColumn("_route", known)
+        out = None
+        for name, one in runs.items():
+            part = one(routed.where(F.col("_route") == name).drop("_route"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    return run

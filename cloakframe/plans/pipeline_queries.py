@@ -127,3 +127,26 @@ def detection_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = sessions(fr.table(spark, sf_dir, "candidate_spans").where("doc_id is not null"))
     return rows.withColumns({"since": F.unix_timestamp("since"), "until": F.unix_timestamp("until")})
+
+
+@query(
+    f"with {fr.SQL_DOCS}, x as (select distinct doc_id, span_no, start_pos, end_pos, text as surface from gold) select x.doc_id, x.span_no from x join docs on docs.doc_id = x.doc_id where substr(docs.text, x.start_pos + 1, x.end_pos - x.start_pos) is distinct from x.surface and x.start_pos >= 0 and x.end_pos > x.start_pos"
+)
+def gold_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotation rows whose text is not the record's substring."""
+    rows = fr.table(spark, sf_dir, "gold").select("doc_id", "span_no", "start_pos", "end_pos", F.col("text").alias("surface")).distinct()
+    joined = rows.where("start_pos >= 0 and end_pos > start_pos").join(fr.docs(spark, sf_dir), "doc_id")
+    own = F.substring(F.col("text"), F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos"))
+    return joined.where(~own.eqNullSafe(F.col("surface"))).select("doc_id", "span_no")
+
+
+@query()
+def ablation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules alone, and with one switch changed at a time."""
+    from cloakframe.operators.detectors import Stack
+    from cloakframe.plans import stacks
+
+    documents = fr.docs(spark, sf_dir)
+    tried = stacks.ablations(Stack("rules", {}), {"propagate": ["none"], "safety_net": [False], "location_lines": [False]})
+    scores = stacks.evaluate_all(documents, fr.gold(spark, sf_dir, documents), fr.spans(spark, sf_dir, documents), tried)
+    return stacks.summary(scores)

@@ -54,9 +54,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     A later grouping by the keys reuses the partitioning. Adaptive execution
     coalesces by bytes and would leave a small but slow table in one task;
-    a number asked for stays.
+    a number asked for stays. On one machine twice its cores are enough.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    sc = df.sparkSession.sparkContext
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(n, 2 * sc.defaultParallelism) if sc.master.startswith("local[") else n, *keys)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
