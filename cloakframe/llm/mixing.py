@@ -20,7 +20,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe.session import collect_bounded, cut
@@ -284,8 +284,8 @@ def reached_shares(chosen: DataFrame, plan: Plan) -> DataFrame:
         F.sum(F.col("tokens").cast("long") * F.col("repeats")).alias("used_tokens"),
         F.max("repeats").alias("most_repeats"),
     )
-    total = used.agg(F.sum("used_tokens").alias("total"))
-    return used.crossJoin(F.broadcast(total)).select(
+    whole = used.withColumn("total", F.sum("used_tokens").over(Window.partitionBy(F.lit(0))))  # a row for each source
+    return whole.select(
         "source", F.element_at(known, F.col("source")).alias("target_share"), F.try_divide("used_tokens", "total").alias("reached_share"),
         "n_documents", "n_used", "tokens", "used_tokens", "most_repeats",
     )

@@ -184,9 +184,9 @@ def stock_hashes(sentences: DataFrame) -> list[int]:
     """Hashes of stock clauses: at most (sentences in a text) / STOCK_RATE of them, whatever the corpus."""
     texts = sentences.where("size(hashes) > 0").select("text_hash", "hashes", F.transform(F.sequence(F.lit(0), F.size("hashes") - 1), lambda k: F.element_at("counts", k * COUNTS + 1)).alias("n"))
     each = texts.select("text_hash", F.explode(F.arrays_zip("hashes", "n")).alias("x")).where(f"x.n >= {STOCK_WORDS}").select("text_hash", F.col("x.hashes").alias("h"))
-    counted = each.distinct().groupBy("h").agg(F.count("*").alias("n")).where(f"n >= {STOCK_TEXTS}")
-    total = texts.agg(F.approx_count_distinct("text_hash", 0.01).alias("total"))
-    return [r.h for r in counted.crossJoin(F.broadcast(total)).where(f"n >= {STOCK_RATE} * total").select("h").collect()]
+    total = texts.agg(F.approx_count_distinct("text_hash", 0.01).alias("total")).first().total
+    counted = each.distinct().groupBy("h").agg(F.count("*").alias("n"))
+    return [r.h for r in counted.where(f"n >= {max(STOCK_TEXTS, STOCK_RATE * total)!r}").select("h").collect()]
 
 
 def reading_levels(documents: DataFrame, anchors: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
