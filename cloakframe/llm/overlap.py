@@ -7,10 +7,10 @@ run of ``SHINGLE + WINDOW - 1`` words share a fingerprint (texts of fewer than
 shared seeds are chained where both texts have them in the same order, chains
 are extended word by word, and what the chain leaves open is aligned exactly.
 
-Fingerprints in more than ``HOT`` different texts are boilerplate and give no
-seeds. Texts that are left with fewer than ``MIN_COLD`` fingerprints are
-compared through their rarest words instead: texts that share nine tenths of
-their words share one of the rarest tenth (and one more) of them.
+Fingerprints in more than ``HOT`` different texts give no seeds, be they
+boilerplate or a large family of near copies. So every text is compared through
+its rarest words as well: texts that share nine tenths of their words share one
+of the rarest tenth (and one more) of them, so no pair is lost.
 """
 
 from __future__ import annotations
@@ -32,9 +32,9 @@ SHINGLE = 5
 WINDOW = 4
 SHORT = 40
 HOT = 64
-MIN_COLD = 8
 SAME = 0.9
 SKETCH = 64
+BUCKETS = 1 << 16
 TRAINING = "devsynth"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,6 +62,13 @@ def fingerprints(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rolling[at].view(np.int64), at.astype(np.int32)
 
 
+def word_tokens(hashes: np.ndarray) -> np.ndarray:
+    """A value for each word of a text, the copies of one word having different values."""
+    hashes = np.sort(hashes)
+    copy = np.arange(len(hashes)) - np.searchsorted(hashes, hashes)
+    return hashes ^ copy.astype(np.uint64) * _MIX
+
+
 def common_in_order(a: list, b: list) -> int:
     """Length of the longest common subsequence, bit-parallel over ``a``."""
     masks: dict = {}
@@ -134,6 +141,48 @@ def fingerprint_table(records: DataFrame, key: str = "id", text: str = "text", s
     return rows.mapInArrow(run, schema)
 
 
+def token_counts(texts: DataFrame) -> np.ndarray:
+    """How many words (with their copies) of all texts fall into each of ``BUCKETS``, whatever the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for words in batch.column(0).to_pylist():
+                np.add.at(n, (word_tokens(word_hashes(words.split(" "))) % np.uint64(BUCKETS)).astype(np.int64), 1)
+        at = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["bucket", "n"])
+
+    out = np.zeros(BUCKETS, np.int64)
+    for r in texts.select("words").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r.bucket] = r.n
+    return out
+
+
+def prefix_table(texts: DataFrame) -> DataFrame:
+    """``tid, n_words, evaluation, training, token, rank`` of each text's rarest tenth (and one more) of words.
+
+    Rarity is that of a word's bucket, ties by the token: one order for all
+    texts, which is all that the prefix filter needs.
+    """
+    counts = token_counts(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = [np.zeros(0, np.uint64)]
+            for words in batch.column(4).to_pylist():
+                tokens = word_tokens(word_hashes(words.split(" ")))
+                order = np.lexsort((tokens, counts[(tokens % np.uint64(BUCKETS)).astype(np.int64)]))
+                first.append(tokens[order[: int(len(tokens) * (1 - SAME) + 1e-9) + 1]])
+            sizes = np.array([len(x) for x in first[1:]], np.int64)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            rank = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+            columns = [batch.column(k).take(pa.array(row)) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(first).view(np.int64)), pa.array(rank.astype(np.int32))], ["tid", "n_words", "evaluation", "training", "token", "rank"])
+
+    rows = texts.select("tid", "n_words", "evaluation", "training", "words")
+    return rows.mapInArrow(run, "tid long, n_words int, evaluation boolean, training boolean, token long, rank int")
+
+
 def text_pairs(prepared: DataFrame, training: str = TRAINING) -> DataFrame:
     """Pairs of different texts, the first with evaluation and the second with training records: ``a, b, same, n_a, n_b``."""
     texts = cut(
@@ -144,28 +193,20 @@ def text_pairs(prepared: DataFrame, training: str = TRAINING) -> DataFrame:
     )
     posted = texts.select("tid", "n_words", "evaluation", "training", F.explode(F.arrays_zip("fps", "at")).alias("x")).select("tid", "n_words", "evaluation", "training", F.col("x.fps").alias("fp"), F.col("x.at").alias("at"))
     counted = posted.groupBy("fp").agg(F.count("*").alias("n"), F.max("evaluation").alias("e"), F.max("training").alias("t"))
-    known = counted.where(f"n > {HOT} or (e and t)").select("fp", (F.col("n") > HOT).alias("hot"))
-    marked = cut(posted.join(known, "fp"))
-    seeds = marked.where("not hot")
+    known = counted.where(f"n <= {HOT} and e and t").select("fp")
+    seeds = cut(posted.join(known, "fp"))
     left = seeds.where("evaluation").select("fp", F.col("tid").alias("a"), F.col("at").alias("at_a"), F.col("n_words").alias("n"))
     right = seeds.where("training").select("fp", F.col("tid").alias("b"), F.col("at").alias("at_b"), F.col("n_words").alias("m"))
     alike = F.least("n", "m") >= F.ceil(F.greatest("n", "m") * SAME - 1e-9)
-    by_seed = left.join(right, "fp").where("a <> b").where(alike).groupBy("a", "b").agg(F.collect_list(F.struct("at_a", "at_b")).alias("seeds"))
-
-    hot = marked.where("hot").groupBy("tid").agg(F.count("*").alias("n_hot"))
-    cold = texts.join(hot, "tid", "left").where(F.size("fps") - F.coalesce("n_hot", F.lit(0)) < MIN_COLD)
-    bare = cut(cold.select("tid", "n_words", "evaluation", "training", F.split("words", " ").alias("words")))
-    each = bare.select("tid", "n_words", "evaluation", "training", F.explode("words").alias("word")).groupBy("tid", "n_words", "evaluation", "training", "word").count()
-    numbered = each.select("tid", "n_words", "evaluation", "training", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy"), "word")
-    rarity = numbered.groupBy("word", "copy").agg(F.count("*").alias("df"))
-    ranked = numbered.join(rarity, ["word", "copy"]).selectExpr("*", "row_number() over (partition by tid order by df, word, copy) as rank")
-    prefix = ranked.where(f"rank <= floor(n_words * {1 - SAME:.6f} + 1e-9) + 1").select("tid", "evaluation", "training", "word", "copy")
-    by_word = (
-        prefix.where("evaluation").select(F.col("tid").alias("a"), "word", "copy")
-        .join(prefix.where("training").select(F.col("tid").alias("b"), "word", "copy"), ["word", "copy"])
-        .where("a <> b").select("a", "b").distinct()
-    )
-    candidates = by_seed.unionByName(by_word.select("a", "b", F.expr("cast(array() as array<struct<at_a:int,at_b:int>>)").alias("seeds")))
+    by_seed = left.join(right, "fp").where("a <> b").where(alike).select("a", "b", F.struct("at_a", "at_b").alias("seed"))
+
+    prefix = cut(prefix_table(texts))
+    left = prefix.where("evaluation").select("token", F.col("tid").alias("a"), F.col("rank").alias("rank_a"), F.col("n_words").alias("n"))
+    right = prefix.where("training").select("token", F.col("tid").alias("b"), F.col("rank").alias("rank_b"), F.col("n_words").alias("m"))
+    # Before the first word that both prefixes hold, a text has nothing of what the two share.
+    enough = F.least(F.col("n") - F.col("rank_a"), F.col("m") - F.col("rank_b")) + 1 >= F.ceil(F.greatest("n", "m") * SAME - 1e-9)
+    by_word = left.join(right, "token").where("a <> b").where(enough).select("a", "b", F.expr("cast(null as struct<at_a:int,at_b:int>)").alias("seed"))
+    candidates = by_seed.unionByName(by_word).groupBy("a", "b").agg(F.collect_list("seed").alias("seeds"))
 
     one = texts.select(F.col("tid").alias("a"), F.col("n_words").alias("n_a"), F.col("sketch").alias("sketch_a"))
     two = texts.select(F.col("tid").alias("b"), F.col("n_words").alias("n_b"), F.col("sketch").alias("sketch_b"))

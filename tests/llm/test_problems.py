@@ -282,6 +282,22 @@ def test_boilerplate_only_texts_are_found_by_their_words(spark):
     assert ("DEV-3", "H2-1") in got
 
 
+def test_large_families_of_edited_copies_are_whole(spark):
+    rng = random.Random(12)
+    words = vocabulary(rng)
+    text = [rng.choice(words) for _ in range(300)]
+    rows = []
+    for n in range(2 * overlap.HOT):
+        copy = list(text)
+        for k in rng.sample(range(len(copy)), 9):
+            copy[k] = f"own{n}word{k}"
+        rows.append((f"DEV-{n}", "dev", "s", " ".join(copy)) if n % 2 else (f"H2-{n}", "h2", "s", " ".join(copy)))
+    evenly = [f"zz{k}" if k % 11 == 5 else w for k, w in enumerate(rng.choice(words) for _ in range(110))]
+    rows += [("DEV-e", "dev", "s", " ".join(evenly)), ("CV-e", "test", "s", " ".join(f"yy{k}" if k % 11 == 5 else w for k, w in enumerate(evenly)))]
+    got = found_pairs(spark, rows)
+    assert len(got) == overlap.HOT**2 + 1 and ("CV-e", "DEV-e") in got
+
+
 def test_overlaps_of_odd_records(spark):
     rows = [("DEV-1", "dev", "s", "one two three"), ("H2-1", "h2", "s", "ONE  twо three"), ("H2-1", "h2", "s", "ONE  twо three"), ("H2-2", None, "s", "one two three"), ("H2-3", "h2", "s", ""), ("DEV-3", "dev", "s", ""), ("H2-4", "h2", "s", None), (None, "h2", "s", "one two three"), ("DEV-5", "dev", None, "a b c d e f g h i j"), ("CV-5", "test", None, "a b c d X f g h i j")]
     assert found_pairs(spark, rows) == {("DEV-1", "H2-1"), ("DEV-1", "H2-2"), ("CV-5", "DEV-5")}
