@@ -3,8 +3,9 @@
 Pass 1 reads each text once, keeps the sentences of its running prose and
 writes, per document, one hash and a few counts for each sentence. Stock
 clauses are then found over the whole corpus: a long sentence that stands word
-for word in a thousandth of all different texts (and in at least
-``STOCK_TEXTS``) is no document's own prose. Pass 2 turns the remaining
+for word in a hundredth of all different texts (and in at least
+``STOCK_TEXTS``), amid otherwise different prose, is no document's own prose.
+Near copies of one text count as one there. Pass 2 turns the remaining
 sentences' counts into distributions (length, vocabulary, syntax, cohesion)
 and grades them with trees fitted to the anchors.
 """
@@ -181,12 +182,42 @@ def sentence_table(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
 
 
 def stock_hashes(sentences: DataFrame) -> list[int]:
-    """Hashes of stock clauses: at most (sentences in a text) / STOCK_RATE of them, whatever the corpus."""
+    """Hashes of stock clauses: at most (sentences in a text) / STOCK_RATE of them, whatever the corpus.
+
+    A text whose other prose is mostly of sentences that are frequent
+    themselves may be one of many near copies. Such texts count once for each
+    least of their frequent other sentences, which near copies have in common
+    whatever sentences of their own they have; any other text counts by itself.
+    """
     texts = sentences.where("size(hashes) > 0").select("text_hash", "hashes", F.transform(F.sequence(F.lit(0), F.size("hashes") - 1), lambda k: F.element_at("counts", k * COUNTS + 1)).alias("n"))
-    each = texts.select("text_hash", F.explode(F.arrays_zip("hashes", "n")).alias("x")).where(f"x.n >= {STOCK_WORDS}").select("text_hash", F.col("x.hashes").alias("h"))
-    total = texts.agg(F.approx_count_distinct("text_hash", 0.01).alias("total")).first().total
-    counted = each.distinct().groupBy("h").agg(F.count("*").alias("n"))
-    return [r.h for r in counted.where(f"n >= {max(STOCK_TEXTS, STOCK_RATE * total)!r}").select("h").collect()]
+    texts = texts.dropDuplicates(["text_hash"])
+    each = texts.select("text_hash", F.explode(F.arrays_zip("hashes", "n")).alias("x")).select("text_hash", F.col("x.hashes").alias("h"), F.col("x.n").alias("n")).distinct()
+    least = max(STOCK_TEXTS, STOCK_RATE * texts.count())
+    counted = each.groupBy("h").agg(F.count("*").alias("texts"), F.max("n").alias("n"))
+    known = counted.where(f"texts >= {least / 2!r}").collect()
+    frequent = np.array(sorted(r.h for r in known), np.int64)
+    long = np.array(sorted(r.h for r in known if r.n >= STOCK_WORDS and r.texts >= least), np.int64)
+    if not len(long):
+        return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clauses, classes = [], []
+            at = batch.column(1).offsets.to_numpy()
+            at = at - at[0]
+            every, words = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            hit, often = np.isin(every, long), np.isin(every, frequent)
+            for own, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                for h in np.unique(every[a:b][hit[a:b]]).tolist():
+                    other = every[a:b] != h
+                    shared = other & often[a:b]
+                    copied = 2 * words[a:b][shared].sum() >= words[a:b][other].sum()
+                    clauses.append(h)
+                    classes.append(int(every[a:b][shared].min(initial=np.iinfo(np.int64).max)) if copied else own)
+            yield pa.RecordBatch.from_arrays([pa.array(clauses, pa.int64()), pa.array(classes, pa.int64())], ["h", "class"])
+
+    classes = texts.mapInArrow(run, "h long, class long").distinct().groupBy("h").agg(F.count("*").alias("n"))
+    return [r.h for r in classes.where(f"n >= {least!r}").select("h").collect()]
 
 
 def reading_levels(documents: DataFrame, anchors: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

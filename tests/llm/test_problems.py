@@ -447,6 +447,24 @@ def test_stock_clauses_are_set_aside(spark):
     assert all(r.band == "basic" for r in got)
 
 
+def test_near_copies_are_not_stock(spark):
+    held, *_ = anchors(spark)
+    rng = random.Random(13)
+    sentence = lambda n, k: f"Notwithstanding the considerable methodological heterogeneity of the evaluation frameworks, the administration will necessitate a comprehensive interdisciplinary verific{n}{k}ation of all organisations. ".translate(str.maketrans("0123456789", "abcdefghij"))
+    clause = "The applicant agrees that the details given above may be kept on file for the length of the round and will be removed on request. "
+    family = [sentence(n, "x") for n in range(9)]
+    docs = []
+    for n in range(60):
+        copy = [sentence(k, f"y{n}") if k in rng.sample(range(9), 2) else s for k, s in enumerate(family)]
+        docs.append((n, f"NOTE {n}\n\n" + "".join(copy).replace(" the ", "\nthe " if n % 2 else " the "), "a"))
+    docs += [(100 + n, "".join(f"My boss can read the {w} at home. " for w in rng.sample(vocabulary(rng, 90), 6)) + clause, "b") for n in range(60)]
+    docs += [(200, clause, "b"), (201, clause.upper(), "b")]
+    got = reading.reading_levels(frame(spark, docs, "doc_id long, text string, source string"), held).collect()
+    assert {r.band for r in got if r.doc_id < 100} == {"advanced"}
+    assert {r.band for r in got if 100 <= r.doc_id < 200} == {"basic"}
+    assert {r.band for r in got if r.doc_id >= 200} == {None}
+
+
 def test_grader_is_calibrated_by_cross_validation(spark):
     held, *_ = anchors(spark)
     grader = reading.fit_grader([(r.level, r.text) for r in held.collect()])
