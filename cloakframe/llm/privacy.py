@@ -400,9 +400,12 @@ def same_person(a: str, b: str) -> bool:
     return bool(words) and all(w in long for w in words) and all(any(v[0] == w for v in y) for w in x if len(w) == 1)
 
 
-def masked(text: str, spans: list[tuple[int, int, str]], key: bytes, record: str) -> tuple[str, str]:
-    """(text with numbered typed placeholders, text with surrogates); same entity, same number."""
-    made, numbers = Surrogates(key, record), {}
+def masked(text: str, spans: list[tuple[int, int, str]], key: bytes, record: str, made: Surrogates | None = None, numbers: dict | None = None) -> tuple[str, str]:
+    """(text with numbered typed placeholders, text with surrogates); same entity, same number.
+
+    ``made`` and ``numbers`` carry a record's replacements and numbers on to its other texts.
+    """
+    made, numbers = made or Surrogates(key, record), {} if numbers is None else numbers
     for a, b, label in spans:  # full names first, so that initials follow them
         if label == "NAME":
             made.name(text[a:b], text[:a])
@@ -474,6 +477,45 @@ def mask_surfaces(surfaces: DataFrame, secret: str) -> DataFrame:
     return rows.mapInArrow(run, "id string, item_no int, label string, masked string, surrogate string")
 
 
+def _with_leaks(records: DataFrame, errors: DataFrame) -> DataFrame:
+    """``id, text, leaks`` of each record or report, leaks being ``item_no, label, text``."""
+    once = records.where("id is not null and text is not null").select("id", "text").dropDuplicates(["id"])
+    reports = errors.where("id is not null").select(F.col("id").alias("id"), F.posexplode("fn_leaks").alias("k", "leak"))
+    reports = reports.select("id", (F.col("k") + 1).alias("item_no"), F.col("leak.label").alias("label"), F.col("leak.text").alias("text")).where("text is not null").distinct()
+    wrapped = reports.groupBy("id").agg(F.collect_list(F.struct("item_no", "label", "text")).alias("leaks"))
+    return once.join(wrapped, "id", "full_outer").select("id", "text", "leaks")
+
+
+def mask_leaks(records: DataFrame, errors: DataFrame, secret: str) -> DataFrame:
+    """``id, item_no, label, masked, surrogate`` of each text in the reports' ``fn_leaks``, once.
+
+    Items are those of ``all_items``; an entity has the number and surrogate
+    that ``mask_texts`` gives it in its record, other entities get further ones.
+    A text without an item comes out as it is, with a null label. Null ids and
+    texts are left out.
+    """
+    both = _with_leaks(records, errors).where("leaks is not null")
+    schema = "id string, item_no int, label string, masked string, surrogate string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, t, leaks in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                spans = detect(t)
+                names = {name_key(t[a:b]) for a, b, k in spans if k == "NAME"}
+                made, numbers = Surrogates(secret.encode(), i), {}
+                masked(t or "", spans, secret.encode(), i, made, numbers)
+                for x in sorted(leaks, key=lambda x: (x["item_no"], x["text"], x["label"] or "")):
+                    found = detect_leak(x["text"], x["label"], names)
+                    plain, fake = masked(x["text"], [found] if found else [], secret.encode(), i, made, numbers)
+                    out.append((i, x["item_no"], found[2] if found else None, plain, fake))
+            if out:
+                kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in schema.split(", ")])
+
+    return both.mapInArrow(run, schema)
+
+
 def all_items(records: DataFrame, errors: DataFrame) -> DataFrame:
     """``place, id, item_no, start_pos, end_pos, label`` of each item in the records and the leak reports, once.
 
@@ -481,11 +523,7 @@ def all_items(records: DataFrame, errors: DataFrame) -> DataFrame:
     record holds that name. Null ids are left out, null texts hold nothing,
     redelivered records and repeated reports count once.
     """
-    once = records.where("id is not null and text is not null").select("id", "text").dropDuplicates(["id"])
-    reports = errors.where("id is not null").select(F.col("id").alias("id"), F.posexplode("fn_leaks").alias("k", "leak"))
-    reports = reports.select("id", (F.col("k") + 1).alias("item_no"), F.col("leak.label").alias("label"), F.col("leak.text").alias("text")).where("text is not null").distinct()
-    wrapped = reports.groupBy("id").agg(F.collect_list(F.struct("item_no", "label", "text")).alias("leaks"))
-    both = once.join(wrapped, "id", "full_outer").select("id", "text", "leaks")
+    both = _with_leaks(records, errors)
     schema = "place string, id string, item_no int, start_pos int, end_pos int, label string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

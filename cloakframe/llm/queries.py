@@ -61,6 +61,11 @@ def p4_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.mask_surfaces(rows.select("id", (F.col("k") + 1).alias("item_no"), F.col("g.label").alias("label"), F.col("g.text").alias("text")), "a secret of this run")
 
 
+def p4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The judge errors' leaked texts, masked with their record's names, numbers and surrogates."""
+    return privacy.mask_leaks(table(spark, sf_dir, "datasets"), table(spark, sf_dir, "judge_errors__s3__h2__none"), "a secret of this run")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.record_pairs(*overlap.cross_split_overlaps(table(spark, sf_dir, "datasets"))).select("id_a", "id_b")
 
@@ -109,7 +114,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         p1_found, p1_stretches, p2_found, p2_canonical, p3_found, p3_pieces,
-        p4_found, p4_masked, p4_surfaces, p5_found, p5_report,
+        p4_found, p4_masked, p4_surfaces, p4_leaks, p5_found, p5_report,
         p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_levels, p8_profile,
     ]
     return {f.__name__: f for f in named}

@@ -217,6 +217,21 @@ def test_all_items(spark):
     assert {r.id: r.n_items for r in privacy.mask_texts(records.where("id is not null"), "s").collect()} == {"H2-1": 13, "H2-2": 0, "H2-3": 0}
 
 
+def test_leaked_texts_are_masked_as_in_their_record(spark):
+    from cloakframe.llm import queries
+
+    records = frame(spark, [("H2-1", RECORD), ("H2-1", RECORD), ("H2-2", None)], "id string, text string")
+    leaks = [(None, "seen as Corra Ashby", None), ("EDU_ORG", "Some College", None), ("NAME", "line: Nella Storm, page 2", None), (None, "found: holdan@inbox. test", None), (None, None, None)]
+    errors = frame(spark, [("H2-1", leaks), ("H2-1", leaks), ("H2-2", [("EMAIL", "a@b.example", None)]), ("H2-3", []), (None, leaks)], "id string, fn_leaks array<struct<label:string,text:string,visible:array<string>>>")
+    got = {(r.id, r.item_no): r for r in privacy.mask_leaks(records, errors, "key").collect()}
+    assert {k: (r.label, r.masked) for k, r in got.items()} == {
+        ("H2-1", 1): ("NAME", "seen as [NAME_1]"), ("H2-1", 2): (None, "Some College"), ("H2-1", 3): ("NAME", "line: [NAME_3], page 2"), ("H2-1", 4): ("EMAIL", "found: [EMAIL_2]"), ("H2-2", 1): ("EMAIL", "[EMAIL_1]"),
+    }
+    fake = privacy.masked(RECORD, privacy.detect(RECORD), b"key", "H2-1")[1]
+    assert got["H2-1", 1].surrogate == "seen as " + fake.split(" |")[0] and got["H2-1", 2].surrogate == "Some College"
+    assert "p4_leaks" in queries.queries()
+
+
 # ---- 5: overlaps
 
 
