@@ -72,8 +72,18 @@ def canonical_text(rows: DataFrame, key: str, number: str, text: str) -> DataFra
     return wanted.mapInArrow(run, schema)
 
 
+def all_surfaces(records: DataFrame, gold: DataFrame) -> DataFrame:
+    """``doc_id, span_no, text`` of each record text (0) and annotation surface."""
+    return records.select(F.col("id").alias("doc_id"), F.lit(0).alias("span_no"), "text").unionByName(gold.select("doc_id", F.col("span_no").cast("int").alias("span_no"), "text"))
+
+
+def canonical_surfaces(records: DataFrame, gold: DataFrame) -> DataFrame:
+    """``doc_id, span_no, canonical, changed`` of each record text (0) and annotation surface, once; null keys are left out."""
+    out = canonical_text(all_surfaces(records, gold), "doc_id", "span_no", "text").where("k is not null")
+    return out.select(F.col("k").alias("doc_id"), F.col("n").alias("span_no"), "canonical", "changed").distinct()
+
+
 def changed_surfaces(records: DataFrame, gold: DataFrame) -> DataFrame:
     """``doc_id, span_no`` of each record text (0) and annotation surface that the consistent form would change, once."""
-    surfaces = records.select(F.col("id").alias("doc_id"), F.lit(0).alias("span_no"), "text").unionByName(gold.select("doc_id", F.col("span_no").cast("int").alias("span_no"), "text"))
-    found = canonical_text(surfaces, "doc_id", "span_no", "text").where("changed and k is not null and n is not null")
+    found = canonical_text(all_surfaces(records, gold), "doc_id", "span_no", "text").where("changed and k is not null and n is not null")
     return found.select(F.col("k").alias("doc_id"), F.col("n").alias("span_no")).distinct()

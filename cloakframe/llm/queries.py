@@ -30,8 +30,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = canonical.canonical_text(table(spark, sf_dir, "gold"), "doc_id", "span_no", "text").where("k is not null")
-    return out.select(F.col("k").alias("doc_id"), F.col("n").alias("span_no"), "canonical", "changed").distinct()
+    return canonical.canonical_surfaces(table(spark, sf_dir, "datasets"), table(spark, sf_dir, "gold"))
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

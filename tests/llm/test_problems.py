@@ -114,6 +114,15 @@ def test_changed_surfaces(spark):
     assert canonical.changed_surfaces(records.limit(0), gold.limit(0)).count() == 0
 
 
+def test_canonical_query_covers_both_tables(spark, tmp_path):
+    from cloakframe.llm import queries
+
+    frame(spark, [("a", "x\u00a0y"), ("a", "x\u00a0y"), ("b", "xy"), ("c", None), (None, "x")], "id string, text string").write.parquet(f"{tmp_path}/datasets.parquet")
+    frame(spark, [("a", 1, "е-mail"), ("a", 2, "wеb"), ("a", 2, "wеb"), (None, 1, "x")], "doc_id string, span_no int, text string").write.parquet(f"{tmp_path}/gold.parquet")
+    got = sorted(queries.p2_canonical(spark, str(tmp_path)).collect())
+    assert [(*r,) for r in got] == [("a", 0, "x y", True), ("a", 1, "е-mail", False), ("a", 2, "web", True), ("b", 0, "xy", False), ("c", 0, None, False)]
+
+
 # ---- 3: pieces
 
 
