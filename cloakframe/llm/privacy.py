@@ -14,6 +14,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -155,6 +156,20 @@ def _squeezed(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+_SPACE_RUN = re.compile(r"\s{1,3}")
+_OTHER_SPACE = re.compile(r"\s{2,3}|[^\S ]")
+
+
+def _single_spaced(text: str) -> tuple[str, list[int], list[int]]:
+    """The text with one space for each 1 to 3 white-space characters, the positions behind shortened ones, and what to add from each on."""
+    at, shift = [], [0]
+    for m in _OTHER_SPACE.finditer(text):
+        if m.end() - m.start() > 1:
+            at.append(m.start() - shift[-1] + 1)
+            shift.append(shift[-1] + m.end() - m.start() - 1)
+    return _OTHER_SPACE.sub(" ", text), at, shift
+
+
 def find_names(text: str, taken: list[tuple[int, int, str]], low: str) -> list[tuple[int, int]]:
     """Spans of names in a text with plain letters; ``taken`` spans hold other items, ``low`` is the squeezed text."""
     roles = {" ".join(m[1].split()).lower() for m in _ROLE.finditer(text)}
@@ -205,17 +220,22 @@ def find_names(text: str, taken: list[tuple[int, int, str]], low: str) -> list[t
                 add(x.start(1), x.end(1))
     for m in _REFEREE.finditer(text):
         add(m.start(1), m.end(1))
-    lower = text.lower()
-    if len(lower) == len(text):
-        for name in {lower[a:b] for a, b in out if " " in text[a:b].strip()}:
+    names = {(a, b) for a, b in out if " " in text[a:b].strip()}
+    if names:
+        lower = text.lower()
+        if len(lower) != len(text):
+            lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        close, at, shift = _single_spaced(lower)
+        for name in {_SPACE_RUN.sub(" ", lower[a:b]) for a, b in names}:
             if all(len(p) == 1 for p in name.split()):
                 continue
-            at = lower.find(name)
-            while at >= 0:
-                end = at + len(name)
-                if not (at and _INSIDE.match(text[at - 1])) and not _NOT_AFTER.match(text, end):
-                    add(at, end)
-                at = lower.find(name, end)
+            k = close.find(name)
+            while k >= 0:
+                last = k + len(name)
+                start, end = k + shift[bisect_right(at, k)], last + shift[bisect_right(at, last - 1)]
+                if not (start and _INSIDE.match(text[start - 1])) and not _NOT_AFTER.match(text, end):
+                    add(start, end)
+                k = close.find(name, last)
     return out
 
 

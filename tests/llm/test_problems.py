@@ -188,6 +188,12 @@ def test_offsets_are_of_the_given_text():
     assert privacy.detect(None) == [] and privacy.detect("") == [] and privacy.detect("No data here at all.") == []
 
 
+def test_repeated_names_with_other_spacing():
+    for odd in ("", " \u0130stanbul"):
+        text = f"Corra Ashby | Clerk\n\nThe plan of{odd}   Corra\nAshby was kept,  and so\n\n was CORRA  Ashby's and Corra Ashby's desk. Not Corra\u2003   \nAshby."
+        assert [text[a:b] for a, b, _ in privacy.detect(text)] == ["Corra Ashby", "Corra\nAshby", "CORRA  Ashby", "Corra Ashby"]
+
+
 def test_placeholders_and_surrogates():
     spans = privacy.detect(RECORD)
     plain, fake = privacy.masked(RECORD, spans, b"key", "r1")
