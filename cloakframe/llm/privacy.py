@@ -144,7 +144,7 @@ _LETTER = rf"(?:[{_LOW}]|-)"
 _SPACED = re.compile(rf"^[ \t]*((?:{_LETTER}[ ]){{2,}}{_LETTER}(?:[ ]{{2,6}}(?:{_LETTER}[ ]){{1,}}[{_LOW}])+)(?=\s*(?:$|[|–\-,]))")
 _HEAD = re.compile(rf"^[ \t]*{_TITLE}({FULL})(?=[ \t  ]*(?:$|[|–,·/]|[ ]-[ ]))")
 _SURNAME_FIRST = re.compile(rf"^[ \t]*((?:{_PARTICLE}[ \t]{{1,3}}){{0,2}}{_TOKEN},[ \t  ]{{1,3}}(?:{_TOKEN}(?:[ \t]{_TOKEN}|[ \t]{_INITIAL})?|{_INITIAL}))(?=[ \t]*(?:$|[|–,·/]|[ ]-[ ]))")
-_CITED = re.compile(r"^[ \t•*\-–]*((?:[^\n()@\d]){4,120}?)[ \t  ]{0,3}\((?:19|20)\d\d[a-z]?\)[:.,]", re.M)
+_CITED = re.compile(r"^[ \t•*\-–]*((?:[^\n()@\d]){4,}?)[ \t  ]{0,3}\((?:19|20)\d\d[a-z]?\)[:.,]", re.M)
 _AUTHOR = re.compile(rf"((?:{_PARTICLE}[ \t]{{1,3}}){{0,2}}{_TOKEN},[ \t  ]{{1,3}}{_INITIAL}|{_INITIAL}[ \t  ]{{0,3}}(?:{_PARTICLE}[ \t]{{1,3}}){{0,2}}{_TOKEN}|(?:{_PARTICLE}[ \t]{{1,3}}){{0,2}}{_TOKEN}[ \t  ]{{1,3}}[{_UP}]{{1,2}}\b(?!\.))")
 _INSIDE = re.compile(r"[\w.@\-]")
 _NOT_AFTER = re.compile(r"[\w@\-]|\.\w|\s(?:&|plc\b|Ltd\b|Group\b|GmbH\b|AG\b)", re.I)

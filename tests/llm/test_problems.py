@@ -194,6 +194,12 @@ def test_repeated_names_with_other_spacing():
         assert [text[a:b] for a, b, _ in privacy.detect(text)] == ["Corra Ashby", "Corra\nAshby", "CORRA  Ashby", "Corra Ashby"]
 
 
+def test_long_author_lists():
+    authors = [f"{x}ordan, {x}." for x in "ABCDFGHJKLMNP"]
+    text = "\n\nPapers\n\nTexts\n" + ", ".join(authors) + " (2011): Marlin, 3(2), 61–105."
+    assert [text[a:b] for a, b, _ in privacy.detect(text)] == authors
+
+
 def test_placeholders_and_surrogates():
     spans = privacy.detect(RECORD)
     plain, fake = privacy.masked(RECORD, spans, b"key", "r1")
