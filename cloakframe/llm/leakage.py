@@ -11,63 +11,93 @@ the item with the document around them.
 
 The scan is vectorised across documents: all documents of a batch move their
 windows in lock-step, so the cost is a few array operations per step.
+
+Stock clauses never count. A sentence of an item is one if otherwise different
+items share it word for word, or if it stands by itself, without the item's
+words before and after it, in at least ``STOCK_RATE`` of the documents (and in
+``STOCK_DOCUMENTS``), amid different words each time. The scan notes where an
+item's sentence stands by itself, and what precedes it there; these notes are
+counted over the whole corpus, and the passages of items that prove to have
+such a sentence are found again, without it, from the words kept of them.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cloakframe.llm.lookalikes import comparable_words
-from cloakframe.session import collect_bounded
+from cloakframe.session import collect_bounded, cut
 
 PATTERN = 7
 STRIDE = 4
 MIN_WORDS = 25
 CHANGE_RATE = 15
 MAX_ITEMS = 50_000
-ITEMS_PER_BLOCK = 5_000
+MAX_CHARS = 64_000_000  # of all items together, shipped to every task
 STOCK_WORDS = 12
+STOCK_RATE = 0.002
+STOCK_DOCUMENTS = 8
+AROUND = 6  # words of the item on either side of a sentence that tell whether it stands by itself
+BEFORE = 12  # words of the document before such a sentence that tell one place from another
 _END = re.compile(r"(?<=[.!?…])\s+(?=[^a-zß-ÿ])")
-_TABLE_BITS = 20
-SCHEMA = "doc_id long, item_id long, doc_word int, item_word int, n_words int, n_changed int"
 
 
-def stock_sentences(texts: list[str]) -> set[tuple[str, ...]]:
-    """Sentences of at least ``STOCK_WORDS`` words that two or more items share word for word."""
-    seen: dict[tuple[str, ...], set[int]] = defaultdict(set)
-    for i, text in enumerate(texts):
-        for sentence in _END.split(text):
-            words = tuple(comparable_words(sentence))
+def sentences_of(text: str) -> list[tuple[str, ...]]:
+    return [words for s in _END.split(text) if (words := tuple(comparable_words(s)))]
+
+
+def stock_sentences(texts: list[list[tuple[str, ...]]]) -> set[tuple[str, ...]]:
+    """Sentences of at least ``STOCK_WORDS`` words that otherwise different items share word for word.
+
+    Items are otherwise different if the sentences that both hold make up less
+    than half of the words of either; one text under two ids shares all of it.
+    """
+    owners: dict[tuple[str, ...], list[int]] = defaultdict(list)
+    for i, sentences in enumerate(texts):
+        for words in {*sentences}:
             if len(words) >= STOCK_WORDS:
-                seen[words].add(i)
-    return {words for words, where in seen.items() if len(where) > 1}
+                owners[words].append(i)
+    out = set()
+    for words, (first, *rest) in owners.items():
+        held = {*texts[first]}
+        size = sum(map(len, texts[first]))
+        for other in rest:
+            shared = sum(len(w) for w in texts[other] if w in held)
+            if 2 * shared < min(size, sum(map(len, texts[other]))):
+                out.add(words)
+                break
+    return out
 
 
 class WuManber:
-    """Shift table, suffix buckets and patterns of one block of items."""
+    """Shift table, suffix buckets and patterns of all items."""
 
-    def __init__(self, items: list[tuple[int, str]], stock: set[tuple[str, ...]]):
+    def __init__(self, items: list[tuple[object, str]]):
         self.vocabulary: dict[str, int] = {}
         self.ids = [i for i, _ in items]
         self.words: list[np.ndarray] = []
-        for _, text in items:
-            words = comparable_words(text)
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
-            for clause in stock:
-                n = len(clause)
-                for k in range(len(words) - n + 1):
-                    if words[k] == clause[0] and tuple(words[k : k + n]) == clause:
-                        ids[k : k + n] = -1
-            self.words.append(ids)
+        self.sentences: list[list[tuple[int, int]]] = []
+        texts = [sentences_of(text) for _, text in items]
+        stock = stock_sentences(texts)
+        for sentences in texts:
+            ids, at = [], []
+            for words in sentences:
+                if len(words) >= STOCK_WORDS and words not in stock:
+                    at.append((len(ids), len(words)))
+                ids += [-1] * len(words) if words in stock else [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
+            self.words.append(np.array(ids, np.int64))
+            self.sentences.append(at)
         patterns = {}
         owners: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for n, ids in enumerate(self.words):
@@ -79,7 +109,8 @@ class WuManber:
                     owners[window.tobytes()].append((n, k))
         self.patterns = np.array([*patterns.values()], np.int64).reshape(-1, PATTERN)
         self.owners = [owners[key] for key in patterns]
-        self.shift = np.full(1 << _TABLE_BITS, PATTERN - 1, np.int8)
+        self.mask = (1 << min(24, max(20, len(patterns).bit_length() + 6))) - 1
+        self.shift = np.full(self.mask + 1, PATTERN - 1, np.int8)
         for j in range(PATTERN - 1):
             code = self.code(self.patterns[:, j], self.patterns[:, j + 1])
             np.minimum.at(self.shift, code, np.int8(PATTERN - 2 - j))
@@ -87,9 +118,8 @@ class WuManber:
         self.order = np.argsort(suffix, kind="stable")
         self.suffix = suffix[self.order]
 
-    @staticmethod
-    def code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return ((a * 1_000_003) ^ (b * 7_919)) & ((1 << _TABLE_BITS) - 1)
+    def code(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((a * 1_000_003) ^ (b * 7_919)) & self.mask
 
     def scan(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Confirmed (document, position of the window's first word, pattern), in lock-step over documents."""
@@ -116,7 +146,8 @@ class WuManber:
             live = at < ends[doc]
             doc, at = doc[live], at[live]
 
-    def passage(self, item: np.ndarray, text: np.ndarray, seeds: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
+    @staticmethod
+    def passage(item: np.ndarray, text: np.ndarray, seeds: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
         """The longest passage near the seeds: (document word, item word, words, changes), or None."""
         if len(item) < MIN_WORDS or not promising(item, text):
             return None
@@ -149,7 +180,23 @@ class WuManber:
         i, d = where[found[0]]
         return a + d, i, found[1], found[2]
 
-    def find(self, doc_ids: list, texts: list[str]) -> Iterator[tuple]:
+    def alone(self, n: int, text: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """(sentence, its place in the text) of each long sentence of an item that stands by itself near the seeds."""
+        item, out = self.words[n], []
+        for k, (at, size) in enumerate(self.sentences[n]):
+            for diagonal in {d - i for d, i in seeds if at <= i < at + size}:
+                lo, hi = max(0, -diagonal), min(len(item), len(text) - diagonal)
+                if lo > at or hi < at + size:
+                    continue
+                same = item[lo:hi] == text[lo + diagonal : hi + diagonal]
+                inside = same[at - lo : at + size - lo]
+                beside = [*same[max(0, at - AROUND - lo) : at - lo], *same[at + size - lo : at + size + AROUND - lo]]
+                if 10 * inside.sum() >= 9 * size and 2 * sum(beside) <= len(beside):
+                    out.append((k, at + diagonal))
+        return out
+
+    def find(self, texts: list[str]) -> Iterator[tuple]:
+        """(text, item, passage or None, sentences by themselves, what precedes them, first word kept, words kept, seeds)."""
         get, zero = self.vocabulary.get, repeat(0)
         flat_list: list[int] = []
         ends = np.zeros(len(texts), np.int64)
@@ -164,9 +211,26 @@ class WuManber:
                 for n, k in self.owners[p]:
                     seeds[d, n].append((first - int(starts[d]), k))
         for (d, n), where in seeds.items():
-            found = self.passage(self.words[n], flat[starts[d] : ends[d]], where)
-            if found:
-                yield doc_ids[d], self.ids[n], *found
+            text = flat[starts[d] : ends[d]]
+            found = self.passage(self.words[n], text, where)
+            alone = self.alone(n, text, where)
+            if not found and not alone:
+                continue
+            words = comparable_words(texts[d]) if alone else []
+            before = [xxhash.xxh3_64_intdigest(" ".join(words[max(0, at - BEFORE) : at])) - (1 << 63) for _, at in alone]
+            a = max(0, min(d - i for d, i in where) - 10)
+            b = max(d - i for d, i in where) + len(self.words[n]) + 10
+            kept, near = (text[a:b].tolist(), [x for d, i in where for x in (d - a, i)]) if found else ([], [])
+            yield d, n, found, [k for k, _ in alone], before, a, kept, near
+
+    def without(self, n: int, stock: Iterable[int], kept: list[int], seeds: list[int]) -> tuple[int, int, int, int] | None:
+        """The passage found again from the words kept, the item's stock sentences blanked."""
+        item = self.words[n].copy()
+        for k in stock:
+            at, size = self.sentences[n][k]
+            item[at : at + size] = -1
+        where = [(d, i) for d, i in zip(seeds[::2], seeds[1::2]) if (item[i : i + PATTERN] > 0).all()]
+        return self.passage(item, np.array(kept, np.int64), where) if where else None
 
 
 def promising(item: np.ndarray, text: np.ndarray) -> bool:
@@ -194,7 +258,7 @@ def longest_run(item: np.ndarray, text: np.ndarray, seeds: list[tuple[int, int]]
 
 
 def longest(score: np.ndarray, same: np.ndarray) -> tuple[int, int, int] | None:
-    """Longest stretch with a score of zero or more, begun and ended by equal words: (start, words, changes)."""
+    """Longest stretch with a score of zero or more, without changed words at its ends beyond ``MIN_WORDS``: (start, words, changes)."""
     if len(score) < MIN_WORDS or same.sum() < MIN_WORDS - MIN_WORDS // CHANGE_RATE:
         return None
     total = np.concatenate([[0], np.cumsum(score)])
@@ -211,43 +275,76 @@ def longest(score: np.ndarray, same: np.ndarray) -> tuple[int, int, int] | None:
     if best is None:
         return None
     i, n = best
+    while n > MIN_WORDS and not same[i + n - 1]:
+        n -= 1
+    while n > MIN_WORDS and not same[i]:
+        i, n = i + 1, n - 1
     inside = same[i : i + n]
     return i, n, int(n - inside.sum())
 
 
+def _typed(column: str, df: DataFrame) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """Every document with at least 25 running words of an item, at most one in fifteen changed.
 
-    Items are a stated query set that is documented not to grow; they are read
-    up to ``MAX_ITEMS`` (more raises) and searched in blocks against all rows.
-    Sentences that several items share are stock clauses and never count.
-    Null and empty texts on either side find nothing, repeated documents each
-    get their rows, repeated items count once, and extra columns are ignored.
+    Items are a stated query set that is documented not to grow: ``MAX_ITEMS``
+    of them and ``MAX_CHARS`` characters are shipped once to every task (more
+    raises) and searched in one pass over all documents. Sentences that
+    different items share, or that stand by themselves in many documents, are
+    stock clauses and never count. Null and empty texts on either side find
+    nothing, repeated documents each get their rows, repeated items count once,
+    ids keep their type, and extra columns are ignored.
     Returns one row for each document and item with the longest passage.
     """
+    spark = documents.sparkSession
     rows = collect_bounded(items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).dropna().distinct(), MAX_ITEMS, "items")
     held = sorted((r.i, r.t) for r in rows)
-    stock = stock_sentences([t for _, t in held])
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text != ''")
-    parts = []
-    for k in range(0, max(1, len(held)), ITEMS_PER_BLOCK):
-        block = held[k : k + ITEMS_PER_BLOCK]
-
-        def search(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
-            automaton = WuManber(block, stock)
-            for batch in batches:
-                found = [*automaton.find(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-                if found:
-                    columns = [*zip(*found)]
-                    kinds = [pa.int64(), pa.int64()] + [pa.int32()] * 4
-                    names = [x.split()[0] for x in SCHEMA.split(", ")]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
-
-        parts.append(docs.mapInArrow(search, SCHEMA))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if len(parts) == 1 and len({i for i, _ in held}) == len(held):
+    if sum(len(t) for _, t in held) > MAX_CHARS:
+        raise ValueError(f"items have more than {MAX_CHARS} characters; raise the documented bound on purpose")
+    shipped = spark.sparkContext.broadcast([*enumerate(t for _, t in held)])
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text != ''")
+    kinds = [pa.int32()] * 6 + [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    names = ["item", "doc_word", "item_word", "n_words", "n_changed", "kept_from", "alone", "before", "kept", "seeds"]
+    schema = f"doc_id {_typed('doc_id', docs)}, item int, doc_word int, item_word int, n_words int, n_changed int, kept_from int, alone array<int>, before array<long>, kept array<int>, seeds array<int>"
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = WuManber(shipped.value)
+        for batch in batches:
+            out, of = [], []
+            for d, n, found, alone, before, a, kept, seeds in automaton.find(batch.column(1).to_pylist()):
+                of.append(d)
+                out.append((n, *(found or (None,) * 4), a, alone, before, kept, seeds))
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], ["doc_id", *names])
+
+    notes = cut(docs.mapInArrow(search, schema))
+    least = max(STOCK_DOCUMENTS, STOCK_RATE * documents.count())
+    places = notes.select("item", F.explode(F.arrays_zip("alone", "before")).alias("x")).groupBy("item", F.col("x.alone").alias("k")).agg(F.count_distinct("x.before").alias("n"))
+    stock: dict[int, list[int]] = defaultdict(list)
+    for r in places.where(f"n >= {least!r}").collect():  # at most the items' sentences
+        stock[r.item].append(r.k)
+
+    ids = pa.array([i for i, _ in held], to_arrow_type(items.schema[item_id].dataType))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = WuManber(shipped.value) if stock else None
+        for batch in batches:
+            n_of = batch.column(1).to_pylist()
+            found = [*zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
+            again = [row for row, n in enumerate(n_of) if n in stock and found[row][0] is not None]
+            for row in again:
+                start, kept, seeds = (batch.column(k)[row].as_py() for k in (6, 9, 10))
+                shorter = automaton.without(n_of[row], stock[n_of[row]], kept, seeds)
+                found[row] = (shorter[0] + start, *shorter[1:]) if shorter else (None,) * 4
+            left = pa.array([row for row, f in enumerate(found) if f[0] is not None], pa.int64())
+            values = [pa.array(c, pa.int32()).take(left) for c in (zip(*found) if found else [[]] * 4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(left), ids.take(batch.column(1).take(left)), *values], ["doc_id", "item_id", *names[1:5]])
+
+    out = notes.mapInArrow(settle, f"doc_id {_typed('doc_id', docs)}, item_id {_typed(item_id, items)}, doc_word int, item_word int, n_words int, n_changed int")
+    if len({i for i, _ in held}) == len(held):
         return out
     best = F.max_by(F.struct("doc_word", "item_word", "n_words", "n_changed"), F.struct("n_words", -F.col("doc_word"))).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")

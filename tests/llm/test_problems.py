@@ -396,12 +396,35 @@ def test_stock_clauses_do_not_leak(spark):
     assert [r.n_documents for r in leakage.leaked_items(leakage.find_leaks(docs, items).where("item_id = 1")).collect()] == [1]
 
 
-def test_items_in_blocks(spark, monkeypatch):
+def test_stock_clauses_of_a_single_item(spark):
+    rng = random.Random(10)
+    words = vocabulary(rng)
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + ". "
+    clause = "The applicant agrees that the details given above may be kept on file for the length of the round and will be removed on written request at any time."
+    own = [say(30), say(28), say(32)]
+    items = frame(spark, [("x", own[0] + own[1] + clause), ("y", say(40) + own[2])], "item_id string, text string")
+    docs = [(f"c{n}", say(40) + clause) for n in range(30)]  # the clause alone, amid other words each time
+    docs += [(f"s{n}", say(40) + own[2]) for n in range(7)]  # a whole sentence, too seldom to be stock
+    docs += [(f"k{n}", "The very same words come first. " + own[0]) for n in range(30)]  # often, but always in one place
+    docs += [("l", say(20) + own[1] + clause), ("m", own[0] + own[1] + clause + say(9))]
+    got = {(r.doc_id, r.item_id): r for r in leakage.find_leaks(frame(spark, docs, "doc_id string, text string"), items).collect()}
+    assert {*got} == {*((f"s{n}", "y") for n in range(7)), *((f"k{n}", "x") for n in range(30)), ("l", "x"), ("m", "x")}
+    assert (got["l", "x"].doc_word, got["l", "x"].item_word, got["l", "x"].n_words) == (20, 30, 28) and got["m", "x"].n_words == 58
+
+
+def test_one_text_under_two_ids_is_not_stock(spark):
+    rng = random.Random(12)
+    words = vocabulary(rng)
+    text = " ".join(rng.choice(words) for _ in range(30)).capitalize() + ". " + " ".join(rng.choice(words) for _ in range(30)).capitalize() + "."
+    items = frame(spark, [(1, text), (2, text + " And more."), (3, text.upper())], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(frame(spark, [(9, text)], "doc_id long, text string"), items).collect()} == {(9, 1), (9, 2), (9, 3)}
+
+
+def test_items_that_repeat(spark):
     rng = random.Random(9)
     words = vocabulary(rng)
     items = [(n, " ".join(rng.choice(words) for _ in range(40))) for n in range(7)] + [(0, None), (3, "too short")]
     docs = frame(spark, [(n, t) for n, t in items[:7]], "doc_id long, text string")
-    monkeypatch.setattr(leakage, "ITEMS_PER_BLOCK", 2)
     got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(docs, frame(spark, items, "item_id long, text string")).collect()}
     assert got == {(n, n) for n in range(7)}
 
