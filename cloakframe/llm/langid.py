@@ -150,17 +150,26 @@ def fit_profiles(rows: list[tuple[str, str]], rounds: int = ROUNDS) -> Profiles:
 
 
 def assign(dots: np.ndarray, norms: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """A language for each sentence of one record, of at most two languages a record.
+    """A language for each sentence of one record, of as many languages as it clearly has.
 
-    The main language has the most words among the sentences' own choices; the
-    second is the one that explains the other sentences best. A sentence goes to
-    the second only by a clear margin: lines of names resemble any language.
+    The main language has the most words among the sentences' own choices; each
+    further one explains the sentences that clear a margin over all languages
+    found so far best. From the third on they need ``MIN_WORDS`` words together:
+    lines of names resemble any language.
     """
-    own = dots.argmax(1)
-    main = int(np.bincount(own, words, dots.shape[1]).argmax())
-    gain = np.maximum(dots - dots[:, [main]] - MARGIN * norms[:, None], 0).sum(0)
-    second = int(gain.argmax())
-    return np.where(dots[:, second] > dots[:, main] + MARGIN * norms, second, main)
+    out = np.full(len(dots), np.bincount(dots.argmax(1), words, dots.shape[1]).argmax())
+    best = dots[np.arange(len(dots)), out] + MARGIN * norms
+    for k in range(dots.shape[1] - 1):
+        over = np.maximum(dots - best[:, None], 0)
+        if k:
+            over[:, (words[:, None] * (over > 0)).sum(0) < MIN_WORDS] = 0
+        gain = over.sum(0)
+        if not gain.any():
+            break
+        mine = over[:, gain.argmax()] > 0
+        out[mine] = gain.argmax()
+        best[mine] = dots[mine, gain.argmax()] + MARGIN * norms[mine]
+    return out
 
 
 def identify(records: DataFrame, profiles: Profiles, key: str = "id", text: str = "text") -> DataFrame:
@@ -168,40 +177,51 @@ def identify(records: DataFrame, profiles: Profiles, key: str = "id", text: str
 
     A stretch is a run of sentences of running prose in one language; offsets
     are code points of the text, ends exclusive. ``confidence`` is the softmax
-    of the stretch's cosines with the prototypes. Null and empty texts and texts
-    without running prose have no stretch; repeated rows each get theirs.
+    of the stretch's cosines with the prototypes. A text without running prose
+    is one stretch of 0 words, its language that of all its letters and its
+    confidence halved; without letters, null and 0. Null and empty texts have
+    no stretch; repeated rows each get theirs.
     """
     schema = "id string, stretch_no int, start_pos int, end_pos int, lang string, confidence double, n_words int"
     rows = records.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where("t is not null and t != ''")
-    counts = profiles.counts
+    shipped = records.sparkSession.sparkContext.broadcast(profiles.table)  # as many rows as there are trigrams, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Profiles(counts)
+        known = Profiles.__new__(Profiles)
+        known.table = shipped.value
         for batch in batches:
             out: list[tuple] = []
             spans, of, keys, sizes = [], [], batch.column(0).to_pylist(), []
             for r, t in enumerate(batch.column(1).to_pylist()):
                 found = prose_sentences(t)
+                counted = [len(t[a:b].split()) for a, b, _ in found]
+                if not found:
+                    words = [w for w in "".join(c if c.isalpha() else " " for c in t).split()]
+                    if not words:
+                        out.append((keys[r], 0, 0, len(t), None, 0.0, 0))
+                        continue
+                    found, counted = [(0, len(t), words)], [0]
                 spans += found
                 of += [r] * len(found)
-                sizes += [len(t[a:b].split()) for a, b, _ in found]
-            if not spans:
-                continue
-            dots, norms = known.dots([w for _, _, w in spans])
-            n_words = np.array(sizes)
-            edges = np.flatnonzero(np.diff(of)) + 1
-            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(of)]):
-                lang = assign(dots[lo:hi], norms[lo:hi], n_words[lo:hi])
-                cuts = [0, *(np.flatnonzero(np.diff(lang)) + 1).tolist(), hi - lo]
-                for no, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    norm = np.sqrt((norms[lo + a : lo + b] ** 2).sum())
-                    cosine = dots[lo + a : lo + b].sum(0) / max(norm, 1e-9)
-                    p = np.exp(SHARPNESS * (cosine - cosine.max()))
-                    k = int(lang[a])
-                    out.append((keys[of[lo]], no, spans[lo + a][0], spans[lo + b - 1][1], LANGUAGES[k], float(p[k] / p.sum()), int(n_words[lo + a : lo + b].sum())))
-            columns = [*zip(*out)]
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [x.split()[0] for x in schema.split(", ")])
+                sizes += counted
+            if spans:
+                dots, norms = known.dots([w for _, _, w in spans])
+                n_words = np.array(sizes)
+                edges = np.flatnonzero(np.diff(of)) + 1
+                for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(of)]):
+                    lang = assign(dots[lo:hi], norms[lo:hi], np.maximum(n_words[lo:hi], 1))
+                    cuts = [0, *(np.flatnonzero(np.diff(lang)) + 1).tolist(), hi - lo]
+                    for no, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                        norm = np.sqrt((norms[lo + a : lo + b] ** 2).sum())
+                        cosine = dots[lo + a : lo + b].sum(0) / max(norm, 1e-9)
+                        p = np.exp(SHARPNESS * (cosine - cosine.max()))
+                        k = int(lang[a])
+                        total = int(n_words[lo + a : lo + b].sum())
+                        out.append((keys[of[lo]], no, spans[lo + a][0], spans[lo + b - 1][1], LANGUAGES[k], float(p[k] / p.sum()) * (1.0 if total else 0.5), total))
+            if out:
+                columns = [*zip(*out)]
+                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [x.split()[0] for x in schema.split(", ")])
 
     return rows.mapInArrow(run, schema)
 

@@ -115,8 +115,8 @@ def chained(a: list, b: list, seeds: list[tuple[int, int]]) -> int:
 
 def fingerprint_table(records: DataFrame, key: str = "id", text: str = "text", split: str = "split", source: str = "source") -> DataFrame:
     """``id, split, source, evaluation, tid, n_words, words, sketch, fps, at``; ``tid`` is the same for equal words."""
-    arrow = [("tid", pa.int64()), ("n_words", pa.int32()), ("words", pa.string()), ("sketch", pa.list_(pa.int16())), ("fps", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))]
-    schema = "id string, split string, source string, tid long, n_words int, words string, sketch array<short>, fps array<long>, at array<int>"
+    arrow = [("tid", pa.int64()), ("n_words", pa.int32()), ("words", pa.string()), ("sketch", pa.list_(pa.int32())), ("fps", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))]
+    schema = "id string, split string, source string, tid long, n_words int, words string, sketch array<int>, fps array<long>, at array<int>"
     rows = records.select(
         F.col(key).cast("string").alias("id"),
         split_name(F.col(split), F.col(key).cast("string")).alias("split"),
@@ -132,7 +132,7 @@ def fingerprint_table(records: DataFrame, key: str = "id", text: str = "text", s
                 joined = " ".join(words)
                 hashes = word_hashes(words)
                 fps, at = fingerprints(hashes)
-                sketch = np.minimum(np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 32767)
+                sketch = np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
                 for column, value in zip(out, (xxhash.xxh3_64_intdigest(joined) - (1 << 63), len(words), joined, sketch, fps, at)):
                     column.append(value)
             names = ["id", "split", "source", *(n for n, _ in arrow)]
@@ -194,26 +194,27 @@ def text_pairs(prepared: DataFrame, training: str = TRAINING) -> DataFrame:
     posted = texts.select("tid", "n_words", "evaluation", "training", F.explode(F.arrays_zip("fps", "at")).alias("x")).select("tid", "n_words", "evaluation", "training", F.col("x.fps").alias("fp"), F.col("x.at").alias("at"))
     counted = posted.groupBy("fp").agg(F.count("*").alias("n"), F.max("evaluation").alias("e"), F.max("training").alias("t"))
     known = counted.where(f"n <= {HOT} and e and t").select("fp")
-    seeds = cut(posted.join(known, "fp"))
+    seeds = cut(posted.join(known.hint("merge"), "fp"))
     left = seeds.where("evaluation").select("fp", F.col("tid").alias("a"), F.col("at").alias("at_a"), F.col("n_words").alias("n"))
     right = seeds.where("training").select("fp", F.col("tid").alias("b"), F.col("at").alias("at_b"), F.col("n_words").alias("m"))
     alike = F.least("n", "m") >= F.ceil(F.greatest("n", "m") * SAME - 1e-9)
-    by_seed = left.join(right, "fp").where("a <> b").where(alike).select("a", "b", F.struct("at_a", "at_b").alias("seed"))
+    by_seed = left.join(right.hint("merge"), "fp").where("a <> b").where(alike).select("a", "b", F.struct("at_a", "at_b").alias("seed"))
 
     prefix = cut(prefix_table(texts))
     left = prefix.where("evaluation").select("token", F.col("tid").alias("a"), F.col("rank").alias("rank_a"), F.col("n_words").alias("n"))
     right = prefix.where("training").select("token", F.col("tid").alias("b"), F.col("rank").alias("rank_b"), F.col("n_words").alias("m"))
     # Before the first word that both prefixes hold, a text has nothing of what the two share.
     enough = F.least(F.col("n") - F.col("rank_a"), F.col("m") - F.col("rank_b")) + 1 >= F.ceil(F.greatest("n", "m") * SAME - 1e-9)
-    by_word = left.join(right, "token").where("a <> b").where(enough).select("a", "b", F.expr("cast(null as struct<at_a:int,at_b:int>)").alias("seed"))
+    by_word = left.join(right.hint("merge"), "token").where("a <> b").where(enough).select("a", "b", F.expr("cast(null as struct<at_a:int,at_b:int>)").alias("seed"))
     candidates = by_seed.unionByName(by_word).groupBy("a", "b").agg(F.collect_list("seed").alias("seeds"))
 
-    one = texts.select(F.col("tid").alias("a"), F.col("n_words").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    two = texts.select(F.col("tid").alias("b"), F.col("n_words").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    # Neither the texts nor the candidates have a size bound, so these joins never broadcast.
+    one = texts.select(F.col("tid").alias("a"), F.col("n_words").alias("n_a"), F.col("sketch").alias("sketch_a")).hint("merge")
+    two = texts.select(F.col("tid").alias("b"), F.col("n_words").alias("n_b"), F.col("sketch").alias("sketch_b")).hint("merge")
     need = F.ceil(F.greatest("n_a", "n_b") * SAME - 1e-9)
-    shared = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
+    shared = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     close = candidates.join(one, "a").join(two, "b").where((F.least("n_a", "n_b") >= need) & (shared >= need)).select("a", "b", "seeds", "n_a", "n_b")
-    full = close.join(texts.select(F.col("tid").alias("a"), F.col("words").alias("words_a")), "a").join(texts.select(F.col("tid").alias("b"), F.col("words").alias("words_b")), "b")
+    full = close.join(texts.select(F.col("tid").alias("a"), F.col("words").alias("words_a")).hint("merge"), "a").join(texts.select(F.col("tid").alias("b"), F.col("words").alias("words_b")).hint("merge"), "b")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +253,7 @@ def record_pairs(members: DataFrame, pairs: DataFrame, training: str = TRAINING)
     e = members.where(F.col("split") != training).select(F.col("id").alias("x"), F.col("tid").alias("a"))
     t = members.where(F.col("split") == training).select(F.col("id").alias("y"), F.col("tid").alias("b"))
     coverage = F.round(F.col("same") / F.greatest("n_a", "n_b"), 6)
-    rows = pairs.join(e, "a").join(t, "b").where("x <> y")
+    rows = pairs.join(e.hint("merge"), "a").join(t.hint("merge"), "b").where("x <> y")
     return rows.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), coverage.alias("coverage")).distinct()
 
 
@@ -263,5 +264,5 @@ def overlap_report(members: DataFrame, pairs: DataFrame, training: str = TRAININ
         .unionByName(pairs.select(F.col("b").alias("tid"), F.lit(False).alias("e"), (F.col("same") / F.col("n_b")).alias("c")))
         .groupBy("tid", "e").agg(F.max("c").alias("c"))
     )
-    rows = members.withColumn("e", F.col("split") != training).join(best, ["tid", "e"], "left")
+    rows = members.withColumn("e", F.col("split") != training).join(best.hint("merge"), ["tid", "e"], "left")
     return rows.groupBy("split", "source").agg(F.count("*").alias("n_records"), F.count("c").alias("n_overlapping"), F.round(F.avg("c"), 6).alias("mean_coverage"))

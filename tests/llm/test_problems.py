@@ -61,6 +61,17 @@ def test_languages_and_stretches(spark, profiles):
     assert [p.lang for p in parts] == ["en", "de"] and parts[0].end_pos <= parts[1].start_pos and all(0.5 < p.confidence <= 1 for p in parts)
 
 
+def test_three_languages_and_no_prose(spark, profiles):
+    rows = [("t", EN * 5 + "\n" + DE * 4 + "\n" + ES * 3), ("n", "Data Engineer\nLeeds"), ("z", "12 / 34"), ("s", EN * 9 + "\nHauptstrasse Berlin Kiel")]
+    got = {}
+    for r in langid.identify(frame(spark, rows, "id string, text string"), profiles).collect():
+        got.setdefault(r.id, []).append((r.lang, r.n_words > 0, r.confidence))
+    assert [x[0] for x in got["t"]] == ["en", "de", "es"] and [x[0] for x in got["s"]] == ["en"]
+    assert len(got["n"]) == 1 and not got["n"][0][1] and 0 < got["n"][0][2] <= 0.5 and got["z"] == [(None, False, 0.0)]
+    df = frame(spark, [(i, t, "en") for i, t in rows], "id string, text string, lang string")
+    assert {(r.id, r.lang) for r in langid.record_languages(df, profiles).collect()} == {("t", "en"), ("t", "de"), ("t", "es"), ("s", "en")}
+
+
 def test_language_of_a_very_long_text_and_of_none(spark, profiles):
     df = frame(spark, [("x", (EN + "\n\n") * 2000)], "id string, text string")
     assert [r.lang for r in langid.identify(df, profiles).collect()] == ["en"]
