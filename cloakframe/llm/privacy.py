@@ -4,8 +4,10 @@ Detection works on a text with look-alikes made plain and returns offsets in
 the text as given. Names are found by their place (head of the record and
 signature, introductions, supervisors, referees, citations) and then wherever
 the record repeats them. Each item becomes a typed placeholder, and each entity
-gets a keyed surrogate of its type: parts of a name keep gender and case,
-numbers keep their format, and different entities never share a surrogate.
+gets a keyed surrogate of its type: parts of a name keep gender, script and
+case, numbers keep their format, addresses of a host keep its ending, and
+different entities of a record never share a surrogate. An item counts only
+with its surrogate: ``all_items`` draws it, checks it and returns it.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +28,7 @@ from cloakframe.llm.prose import folded
 
 LABELS = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
 
-_UP, _LOW = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮİĶĹĽŁŃŇŐŒŔŘŚŞŠŢŤŪŮŰŹŻŽ", "^\\W\\d_"
+_UP, _LOW = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮİĶĹĽŁŃŇŐŒŔŘŚŞŠŢŤŪŮŰŹŻŽΑ-ΫЀ-Я", "^\\W\\d_"
 
 # --- e-mail addresses
 _LOCAL = r"(?<![\w.+\-])[\w](?:[\w.+\-]*[\w])?"
@@ -323,15 +326,28 @@ def name_key(name: str) -> str:
     return ("".join(parts) if parts and all(len(p) == 1 for p in parts) else " ".join(parts)).lower()
 
 
+PARTICLES = frozenset("van von de der den dos das da do del della di la le af zu zum ten ter".split())
+# Titles and forms of address that tell a gender, and given names of men that end in a.
+SHE = re.compile(r"(?i)\b(?:ms|mrs|miss|frau|mme|mlle|sra|dra|doña|dott\.ssa|sig\.ra|pani|mevr|fru|rouva|née)\b\.?\s*$")
+HE = re.compile(r"(?i)\b(?:mr|herr|herrn|m|sr|don|sig|pan|dhr)\b\.?\s*$")
+MEN_IN_A = frozenset("luca andrea nicola mattia elia enea mika jukka pekka esa ilkka juha sasha kuba barnaba joshua ezra noa costa никита илья фома лука".split())
+_SCRIPTS = tuple((chr(lo), chr(hi)) for lo, hi in ((0x41, 0x24F), (0x370, 0x3FF), (0x400, 0x52F), (0x531, 0x586), (0x5D0, 0x5EA), (0x620, 0x64A), (0x904, 0x939), (0x10D0, 0x10F0), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)))
+
+
 class Surrogates:
-    """Keyed replacements within one record: same entity, same replacement; different entities, different ones."""
+    """Keyed replacements within one record: same entity, same replacement; different entities, different ones.
+
+    The key is secret; with ``record`` None the same name gets the same
+    surrogate in every record, else records cannot be linked by theirs.
+    """
 
     FEMALE = ("Alma", "Berta", "Cora", "Delia", "Edda", "Flora", "Greta", "Hanna", "Ida", "Jana", "Karla", "Lina", "Marta", "Nora", "Olga", "Paula", "Rosa", "Silvia", "Tilda", "Vera")
     MALE = ("Adam", "Bruno", "Carlo", "David", "Edgar", "Felix", "Georg", "Hugo", "Ivan", "Jakob", "Konrad", "Leo", "Martin", "Nils", "Oskar", "Paul", "Robert", "Simon", "Theo", "Viktor")
+    EITHER = ("Alex", "Robin", "Kim", "Charlie", "Sascha", "Dominique", "Noel", "Toni", "Luca", "Mika", "Sam", "Jona", "Chris", "Kai", "Eli", "Nico", "Jules", "Andrea", "Remy", "Pat")
     SYLLABLES = ("bal", "cor", "den", "fal", "gar", "hel", "kol", "lam", "mor", "nal", "pol", "ras", "sel", "tor", "var", "wen")
 
-    def __init__(self, key: bytes, record: str):
-        self.key, self.record = key, record
+    def __init__(self, key: bytes, record: str | None):
+        self.key, self.record = key, record or ""
         self.made: dict[tuple[str, str], str] = {}
         self.used: set[str] = set()
 
@@ -339,11 +355,15 @@ class Surrogates:
         message = f"{kind}\x1f{value}\x1f{self.record}\x1f{draw}".encode()
         return int.from_bytes(hmac.new(self.key, message, hashlib.sha256).digest()[:16], "big")
 
-    def _draw(self, kind: str, value: str, make) -> str:
+    def _draw(self, kind: str, value: str, make, longer: bool = False) -> str:
+        """The entity's surrogate, drawn again until no other entity has it; ``longer`` ones gain a syllable after 50 draws."""
         if (kind, value) not in self.made:
-            for draw in range(1_000):
-                out = make(self._number(kind, value, draw))
-                if out.lower() not in self.used and out.lower() != value:
+            for draw in count():
+                n = self._number(kind, value, draw)
+                out = make(n)
+                if longer and draw >= 50:
+                    out += "".join(self.SYLLABLES[n >> 8 * k & 15] for k in range(draw // 50))
+                if out.lower() not in self.used and out.lower() != value or draw >= 1_000 and not longer:
                     break
             self.used.add(out.lower())
             self.made[kind, value] = out
@@ -352,29 +372,42 @@ class Surrogates:
     def _cased(self, like: str, word: str) -> str:
         return word.upper() if like.isupper() and len(like) > 1 else word.lower() if like.islower() else word[:1].upper() + word[1:].lower()
 
+    def _lettered(self, like: str, n: int) -> str:
+        """Other letters of the same script for a word that is not Latin; its length and signs stay."""
+        lo, hi = next(((a, b) for a, b in _SCRIPTS if a <= like[0] <= b), (like[0], like[0]))
+        letters = [c for c in map(chr, range(ord(lo), min(ord(hi), ord(lo) + 400) + 1)) if c.isalpha() and c == c.lower()]
+        out = []
+        for _ in like:
+            n, k = divmod(n or self._number("letters", like, len(out)), max(1, len(letters)))
+            out.append(letters[k] if letters else like[0])
+        return "".join(out)
+
     def name(self, text: str, before: str) -> str:
         """Token by token, so a surname alone or initials still belong to the full name's surrogate."""
         spaced = all(len(p) == 1 for p in text.split())
         if spaced:
             words = [w.replace(" ", "") for w in re.split(r" {2,}", text)]
-            return "  ".join(" ".join(self.name(w.title(), before).upper()) for w in words)
-        female = re.search(r"(?i)\b(?:ms|mrs|frau|mme|dra|sig\.ra|pani|mevr|fru|rouva)\b\.?\s*$", before[-10:])
+            return "  ".join(" ".join(w.upper()) for w in self.name(" ".join(w.title() for w in words), before).split())
         tokens = re.findall(r"[^\W\d_]+", text)
         first = next((t for t in tokens if len(t) > 1), "")
 
         def one(m: re.Match) -> str:
             t = m[0]
-            if len(t) == 1:
-                known = next((v for (kind, value), v in self.made.items() if kind == "part" and value[:1] == t.lower()), None)
-                return (known or self._draw("initial", t.lower(), lambda n: "ABCDEFGHIJKLMNOPRSTUVWZ"[n % 23]))[:1].upper()
-            if t.lower() in ("van", "von", "de", "der", "den", "dos", "das", "da", "do", "del", "della", "di", "la", "le", "af"):
+            low = t.lower()
+            if len(t) == 1 and t.upper() != low:
+                known = next((v for (kind, value), v in self.made.items() if kind == "part" and value[:1] == low), None)
+                return (known or self._draw("initial", low, lambda n: "ABCDEFGHIJKLMNOPRSTUVWZ"[n % 23]))[:1].upper()
+            if low in PARTICLES:
                 return t
+            if not ("A" <= t[0] <= "\u024f"):
+                return self._cased(t, self._draw("part", low, lambda n: self._lettered(t, n))) if t.upper() != low else self._draw("part", t, lambda n: self._lettered(t, n))
             if t == first and len(tokens) > 1:
-                names = self.FEMALE if female or t.lower().endswith("a") else self.MALE
-                make = lambda n: names[n % len(names)] + ("" if n % 7 else self.SYLLABLES[n // 31 % 16])
-            else:
-                make = lambda n: self.SYLLABLES[n % 16].title() + self.SYLLABLES[n // 16 % 16] + ("" if n % 3 else self.SYLLABLES[n // 256 % 16])
-            return self._cased(t, self._draw("part", t.lower(), make))
+                she = SHE.search(before[-12:]) or not HE.search(before[-12:]) and low[-1] == "a" and low not in MEN_IN_A
+                he = HE.search(before[-12:]) or low in MEN_IN_A or low[-1] in "or" or low[-2:] in ("us", "as")
+                names = self.FEMALE if she else self.MALE if he else self.EITHER
+                return self._cased(t, self._draw("part", low, lambda n: names[n % len(names)], True))
+            make = lambda n: self.SYLLABLES[n % 16].title() + self.SYLLABLES[n // 16 % 16] + ("" if n % 3 else self.SYLLABLES[n // 256 % 16])
+            return self._cased(t, self._draw("part", low, make, True))
 
         return re.sub(r"[^\W\d_]+", one, text)
 
@@ -392,8 +425,32 @@ class Surrogates:
         return self._draw(kind, re.sub(r"\W", "", text).lower(), make)
 
     def email(self, text: str) -> str:
-        head = re.match(r"[\w.+\-]+", text)
-        return self._draw("EMAIL", re.sub(r"\s", "", text).lower(), lambda n: self._cased(text, f"user{n % 10_000_000}")) + text[head.end() :] if head else text
+        """Its words replaced one by one, those of the record's names as there; joints, spelled signs and the host's ending stay."""
+        value = canonical("EMAIL", text)
+        words = [*re.finditer(r"[^\W_]+", text)]
+        spelled = {m.start(1) for m in _SPELLED.finditer(text)}
+
+        def build(initials: bool) -> str:
+            out, at = [], 0
+            for k, m in enumerate(words):
+                word, new = m[0], m[0]
+                if k < len(words) - 1 and m.start() not in spelled:
+                    begun = next((v for (kind, p), v in self.made.items() if kind == "part" and p[:1] == word.lower()), None) if initials and len(word) == 1 else None
+                    new = self.made.get(("part", word.lower())) or (begun or "")[:1]
+                    new = new or self._draw("mail", word.lower(), lambda n: self.SYLLABLES[n % 16] + self.SYLLABLES[n // 16 % 16] + ("" if n % 3 else self.SYLLABLES[n // 256 % 16]), True)
+                    new = self._cased(word, new)
+                out += [text[at : m.start()], new]
+                at = m.end()
+            return "".join([*out, text[at:]])
+
+        if ("EMAIL", value) not in self.made:
+            new = build(True)
+            if canonical("EMAIL", new) in self.used:
+                new = build(False)
+            self.used.add(canonical("EMAIL", new))
+            self.made["EMAIL", value] = new
+        known = self.made["EMAIL", value]
+        return known if [*re.finditer(r"[\W_]+", known)] == [*re.finditer(r"[\W_]+", text)] else build(canonical("EMAIL", build(True)) == canonical("EMAIL", known))
 
     def address(self, text: str) -> str:
         def make(n: int) -> str:
@@ -410,6 +467,38 @@ class Surrogates:
         return self.email(text) if label == "EMAIL" else self.address(text) if label == "ADDRESS" else self.formatted(label, text)
 
 
+_SPELLED = re.compile(r"(?i)[\s\[({]+(at|ät|arroba|dot|punkt|punto|point)(?=[\s\])}])")
+_SIGN = re.compile(r"(?i)[\s\[({]+(?:(at|ät|arroba)|dot|punkt|punto|point)[\s\])}]+")
+
+
+def canonical(label: str, text: str) -> str:
+    """What two mentions of one entity have in common: case, spacing, signs and the spelling of addresses aside."""
+    if label == "NAME":
+        return name_key(text)
+    if label == "EMAIL":
+        return re.sub(r"\s", "", _SIGN.sub(lambda m: "@" if m[1] else ".", text)).lower()
+    return re.sub(r"\W", "", text).lower()
+
+
+def shape(text: str) -> str:
+    """A value's format: 9 for digits, A and a for letters, all other signs as they are."""
+    return re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", re.sub(r"\d", "9", text))
+
+
+def _name_words(text: str) -> list[str]:
+    spaced = all(len(p) == 1 for p in text.split())
+    return re.split(r"\s{2,}", text.strip()) if spaced else text.split()
+
+
+def fits(label: str, text: str, fake: str) -> bool:
+    """Whether a surrogate has its entity's type: format of numbers, words and case of names, signs of addresses, and is another value."""
+    if label in ("PHONE", "ID"):
+        return shape(fake) == shape(text) and (fake != text or not any(map(str.isalnum, text)))
+    if label == "NAME":
+        return len(_name_words(fake)) == len(_name_words(text)) and fake.isupper() == text.isupper()
+    return re.sub(r"[^\W_]+", "w", fake) == re.sub(r"[^\W_]+", "w", text)
+
+
 def same_person(a: str, b: str) -> bool:
     """Whether one name's words all occur in the other, its initials as first letters of words or initials there."""
     x, y = (sorted(set(re.findall(r"[^\W\d_]+", n))) for n in (a, b))
@@ -420,24 +509,33 @@ def same_person(a: str, b: str) -> bool:
     return bool(words) and all(w in long for w in words) and all(any(v[0] == w for v in y) for w in x if len(w) == 1)
 
 
-def masked(text: str, spans: list[tuple[int, int, str]], key: bytes, record: str, made: Surrogates | None = None, numbers: dict | None = None) -> tuple[str, str]:
-    """(text with numbered typed placeholders, text with surrogates); same entity, same number.
-
-    ``made`` and ``numbers`` carry a record's replacements and numbers on to its other texts.
-    """
-    made, numbers = made or Surrogates(key, record), {} if numbers is None else numbers
-    for a, b, label in spans:  # full names first, so that initials follow them
+def replaced(text: str, spans: list[tuple[int, int, str]], made: Surrogates, numbers: dict) -> list[tuple[int, int, str, str, str, str, bool]]:
+    """(start, end, label, entity, surrogate, its canonical value, whether it fits) of each span; the entity is its label and number."""
+    for a, b, label in spans:  # full names first, so that initials and addresses follow them
         if label == "NAME":
             made.name(text[a:b], text[:a])
-    plain, fake, at = [], [], 0
+    out = []
     for a, b, label in spans:
-        entity = (label, name_key(text[a:b]) if label == "NAME" else re.sub(r"\W", "", text[a:b]).lower())
+        entity = (label, canonical(label, text[a:b]))
         if label == "NAME" and entity not in numbers:
             known = next((n for (kind, other), n in numbers.items() if kind == label and same_person(entity[1], other)), None)
             numbers[entity] = known or max((n for (kind, _), n in numbers.items() if kind == label), default=0) + 1
         number = numbers.setdefault(entity, sum(k[0] == label for k in numbers) + 1)
-        plain += [text[at:a], f"[{label}_{number}]"]
-        fake += [text[at:a], made.replace(label, text[a:b], text[:a])]
+        fake = made.replace(label, text[a:b], text[max(0, a - 12) : a])
+        out.append((a, b, label, f"{label}_{number}", fake, canonical(label, fake), fits(label, text[a:b], fake)))
+    return out
+
+
+def masked(text: str, spans: list[tuple[int, int, str]], key: bytes, record: str, made: Surrogates | None = None, numbers: dict | None = None) -> tuple[str, str]:
+    """(text with numbered typed placeholders, text with surrogates); same entity, same number.
+
+    ``made`` and ``numbers`` carry a record's replacements and numbers on to its other texts.
+    """
+    made, numbers = made or Surrogates(key, record), {} if numbers is None else numbers
+    plain, fake, at = [], [], 0
+    for a, b, _, entity, surrogate, _, _ in replaced(text, spans, made, numbers):
+        plain += [text[at:a], f"[{entity}]"]
+        fake += [text[at:a], surrogate]
         at = b
     return "".join([*plain, text[at:]]), "".join([*fake, text[at:]])
 
@@ -536,29 +634,45 @@ def mask_leaks(records: DataFrame, errors: DataFrame, secret: str) -> DataFrame:
     return both.mapInArrow(run, schema)
 
 
-def all_items(records: DataFrame, errors: DataFrame) -> DataFrame:
-    """``place, id, item_no, start_pos, end_pos, label`` of each item in the records and the leak reports, once.
+def all_items(records: DataFrame, errors: DataFrame, secret: str) -> DataFrame:
+    """``place, id, item_no, start_pos, end_pos, label, entity, surrogate, value, fits`` of each item in the records and the leak reports, once.
 
-    A report's bare surface counts as a name if it is labelled so or if its
-    record holds that name. Null ids are left out, null texts hold nothing,
-    redelivered records and repeated reports count once.
+    ``entity`` numbers a record's entities as the placeholders do, ``surrogate``
+    is the item's keyed replacement and ``fits`` tells whether it has the item's
+    type and format. A report's bare surface counts as a name if it is labelled
+    so or if its record holds that name. Null ids are left out, null texts hold
+    nothing, redelivered records and repeated reports count once.
     """
     both = _with_leaks(records, errors)
-    schema = "place string, id string, item_no int, start_pos int, end_pos int, label string"
+    schema = "place string, id string, item_no int, start_pos int, end_pos int, label string, entity string, surrogate string, value string, fits boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for i, t, leaks in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 spans = detect(t)
-                out += [("datasets", i, 0, a, b, k) for a, b, k in spans]
+                made, numbers = Surrogates(secret.encode(), i), {}
+                out += [("datasets", i, 0, *x) for x in replaced(t or "", spans, made, numbers)]
                 if leaks:
                     names = {name_key(t[a:b]) for a, b, k in spans if k == "NAME"}
-                    for x in leaks:
+                    for x in sorted(leaks, key=lambda x: (x["item_no"], x["text"], x["label"] or "")):
                         if found := detect_leak(x["text"], x["label"], names):
-                            out.append(("judge", i, x["item_no"], *found))
+                            out += [("judge", i, x["item_no"], *y) for y in replaced(x["text"], [found], made, numbers)]
             if out:
-                kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+                kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in schema.split(", ")])
 
     return both.mapInArrow(run, schema)
+
+
+def surrogate_checks(items: DataFrame) -> DataFrame:
+    """``test, n_violations`` over ``all_items``: format and type kept; one surrogate for an entity; none shared by two entities of a record.
+
+    Surrogates are compared in their canonical form. An entity of type NAME has
+    as many as its mentions have forms (full name, surname, initials).
+    """
+    wrong = items.agg(F.count_if(~F.col("fits")).alias("n")).select(F.lit("type and format").alias("test"), "n")
+    numbers = items.where("label <> 'NAME'")
+    split = numbers.groupBy("id", "label", "entity").agg(F.count_distinct("value").alias("k")).agg(F.count_if(F.col("k") > 1).alias("n")).select(F.lit("one surrogate an entity").alias("test"), "n")
+    shared = items.groupBy("id", "label", "value").agg(F.count_distinct("entity").alias("k")).agg(F.count_if(F.col("k") > 1).alias("n")).select(F.lit("distinct entities").alias("test"), "n")
+    return wrong.unionByName(split).unionByName(shared).withColumnRenamed("n", "n_violations")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,23 +47,37 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.select("id", "split", F.explode("pieces").alias("p")).select("id", "split", "p.*")
 
 
+def _secret(spark: SparkSession) -> str:
+    """The key of the surrogates: the session's ``spark.cloakframe.surrogate.key``, else a new random one for this query."""
+    return spark.conf.get("spark.cloakframe.surrogate.key", None) or secrets.token_hex(16)
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.all_items(table(spark, sf_dir, "datasets"), table(spark, sf_dir, "judge_errors__s3__h2__none"), _secret(spark))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return privacy.all_items(table(spark, sf_dir, "datasets"), table(spark, sf_dir, "judge_errors__s3__h2__none"))
+    return _items(spark, sf_dir).select("place", "id", "item_no", "start_pos", "end_pos", "label")
+
+
+def p4_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of what a surrogate promises, over all items: format, coreference, distinctness."""
+    return privacy.surrogate_checks(_items(spark, sf_dir))
 
 
 def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return privacy.mask_texts(table(spark, sf_dir, "datasets").dropDuplicates(["id"]), "a secret of this run")
+    return privacy.mask_texts(table(spark, sf_dir, "datasets").dropDuplicates(["id"]), _secret(spark))
 
 
 def p4_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The annotation's surfaces, each wholly masked by its detected or, failing that, its annotated type."""
     rows = table(spark, sf_dir, "datasets").where("gold is not null").dropDuplicates(["id"]).select("id", F.posexplode("gold").alias("k", "g"))
-    return privacy.mask_surfaces(rows.select("id", (F.col("k") + 1).alias("item_no"), F.col("g.label").alias("label"), F.col("g.text").alias("text")), "a secret of this run")
+    return privacy.mask_surfaces(rows.select("id", (F.col("k") + 1).alias("item_no"), F.col("g.label").alias("label"), F.col("g.text").alias("text")), _secret(spark))
 
 
 def p4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The judge errors' leaked texts, masked with their record's names, numbers and surrogates."""
-    return privacy.mask_leaks(table(spark, sf_dir, "datasets"), table(spark, sf_dir, "judge_errors__s3__h2__none"), "a secret of this run")
+    return privacy.mask_leaks(table(spark, sf_dir, "datasets"), table(spark, sf_dir, "judge_errors__s3__h2__none"), _secret(spark))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +128,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         p1_found, p1_stretches, p2_found, p2_canonical, p3_found, p3_pieces,
-        p4_found, p4_masked, p4_surfaces, p4_leaks, p5_found, p5_report,
+        p4_found, p4_masked, p4_surfaces, p4_leaks, p4_checks, p5_found, p5_report,
         p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_levels, p8_profile,
     ]
     return {f.__name__: f for f in named}

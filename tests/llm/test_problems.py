@@ -230,6 +230,28 @@ def test_surrogates_stay_distinct():
     assert made.name("NAMAA SURAX", "") == names[0].upper()
 
 
+def test_surrogates_keep_script_gender_format_and_coreference():
+    made = privacy.Surrogates(b"k", "r")
+    cyrillic = made.name("Иван Петров", "")
+    assert cyrillic.istitle() and all("А" <= c <= "я" or c in " ёЁѐёђѓєѕіїјљњћќѝўџ" or 0x400 <= ord(c) <= 0x52F for c in cyrillic) and cyrillic != "Иван Петров" and made.name("ПЕТРОВ", "") == cyrillic.split()[1].upper()
+    assert made.name("Maria Keller", "Frau ").split()[0] in made.FEMALE and made.name("Luca Rossi", "").split()[0] in made.MALE and made.name("Karin Holt", "Herr ").split()[0] in made.MALE
+    given, last = made.name("Maria Keller", "Frau ").lower().split()
+    assert made.email("m.keller@keller-family.example") == f"{given[0]}.{last}@{last}-" + made.email("m.keller@keller-family.example").split("-")[1]
+    assert "family" not in made.email("m.keller@keller-family.example") and made.email("m.keller@keller-family.example").endswith(".example")
+    spelled = made.email("m.keller [at] keller-family [dot] example")
+    assert privacy.canonical("EMAIL", spelled) == privacy.canonical("EMAIL", made.email("m.keller@keller-family.example")) and " [at] " in spelled
+    assert len({made.email(f"{c}{d}@mail.example") for c in "abcdefgh" for d in "xyz1"}) == 32
+    assert len({made.name(f"Ab{chr(97 + k // 26)}{chr(97 + k % 26)} Holt", "") for k in range(600)}) == 600
+    assert made.formatted("PHONE", "+44 20 7946 0000").startswith("+44 ") and privacy.shape(made.formatted("ID", "AB 12-3c")) == "AA 99-9a"
+    wide = privacy.Surrogates(b"k", None)
+    assert wide.name("Ada Byrne", "") == privacy.Surrogates(b"k", None).name("Ada Byrne", "") and wide.name("Ada Byrne", "") != privacy.Surrogates(b"k", "r2").name("Ada Byrne", "")
+
+
+def test_names_of_other_scripts_are_found():
+    text = "\n\nx\n\nMy name is Иван Петров and I write.\n"
+    assert [text[a:b] for a, b, _ in privacy.detect(text)] == ["Иван Петров"]
+
+
 def test_leak_texts():
     names = {"lorley ashhurst"}
     cases = [("still there: 151 bis, impasse Pontgeais)", None, "151 bis, impasse Pontgeais"), ("seen as +49 53 555 0153, page 2", "PHONE", "+49 53 555 0153"), ("(Lorley Ashhurst again", None, "Lorley Ashhurst"), ("line: L. Pennhurst, page 2", "NAME", "L. Pennhurst"), ("Wendwell", "LOCATION", None), ("Somebody Else", None, None), (None, "NAME", None), ("", None, None)]
@@ -242,10 +264,11 @@ def test_all_items(spark):
     records = frame(spark, [("H2-1", RECORD, 1), ("H2-1", RECORD, 2), ("H2-2", None, 1), (None, RECORD, 1), ("H2-3", "", 1)], "id string, text string, item_no int")
     leak = "array<struct<label:string,text:string,visible:array<string>>>"
     errors = frame(spark, [("H2-1", [(None, "seen as Corra Ashby", None), ("EDU_ORG", "Some College", None)]), ("H2-1", [(None, "seen as Corra Ashby", None), ("EDU_ORG", "Some College", None)]), ("H2-9", [("EMAIL", "a@b.example", None)]), ("H2-3", None), (None, [("EMAIL", "a@b.example", None)])], f"id string, fn_leaks {leak}")
-    got = privacy.all_items(records, errors).collect()
+    got = privacy.all_items(records, errors, "k").collect()
+    assert all(r.fits for r in got) and {r.n_violations for r in privacy.surrogate_checks(privacy.all_items(records, errors, "k")).collect()} == {0}
     assert len(got) == len(set(got)) == 13 + 2
     assert {(r.id, r.item_no, r.label) for r in got if r.place == "judge"} == {("H2-1", 1, "NAME"), ("H2-9", 1, "EMAIL")}
-    assert privacy.all_items(records.limit(0), errors.limit(0)).count() == 0
+    assert privacy.all_items(records.limit(0), errors.limit(0), "k").count() == 0
     assert {r.id: r.n_items for r in privacy.mask_texts(records.where("id is not null"), "s").collect()} == {"H2-1": 13, "H2-2": 0, "H2-3": 0}
 
 
