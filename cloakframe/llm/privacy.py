@@ -509,20 +509,24 @@ def same_person(a: str, b: str) -> bool:
     return bool(words) and all(w in long for w in words) and all(any(v[0] == w for v in y) for w in x if len(w) == 1)
 
 
+_WIDE = {c: " " for c in (0xA0, 0x2002, 0x2003, 0x2007, 0x2009, 0x202F, 0x3000)}
+
+
 def replaced(text: str, spans: list[tuple[int, int, str]], made: Surrogates, numbers: dict) -> list[tuple[int, int, str, str, str, str, bool]]:
     """(start, end, label, entity, surrogate, its canonical value, whether it fits) of each span; the entity is its label and number."""
-    for a, b, label in spans:  # full names first, so that initials and addresses follow them
+    plain = [folded(text[a:b])[0].translate(_WIDE) for a, b, _ in spans]
+    for (a, _, label), surface in zip(spans, plain):  # full names first, so that initials and addresses follow them
         if label == "NAME":
-            made.name(text[a:b], text[:a])
+            made.name(surface, text[max(0, a - 12) : a])
     out = []
-    for a, b, label in spans:
-        entity = (label, canonical(label, text[a:b]))
+    for (a, b, label), surface in zip(spans, plain):
+        entity = (label, canonical(label, surface))
         if label == "NAME" and entity not in numbers:
             known = next((n for (kind, other), n in numbers.items() if kind == label and same_person(entity[1], other)), None)
             numbers[entity] = known or max((n for (kind, _), n in numbers.items() if kind == label), default=0) + 1
         number = numbers.setdefault(entity, sum(k[0] == label for k in numbers) + 1)
-        fake = made.replace(label, text[a:b], text[max(0, a - 12) : a])
-        out.append((a, b, label, f"{label}_{number}", fake, canonical(label, fake), fits(label, text[a:b], fake)))
+        fake = made.replace(label, surface, text[max(0, a - 12) : a])
+        out.append((a, b, label, f"{label}_{number}", fake, canonical(label, fake), fits(label, surface, fake)))
     return out
 
 
