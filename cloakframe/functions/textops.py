@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -16,17 +17,29 @@ MARK = "\x01"
 SPAN = "struct<start_pos:int,end_pos:int,text:string>"
 
 
+CHUNK = 64
+
+
 def words_any(words: Iterable[str], whole: str = "b") -> str:
-    """An alternation of literal words, longest first; ``whole='b'`` bounds it by word edges."""
+    """An alternation of literal words, longest first; ``whole='b'`` bounds it by word edges. Java, RE2 and Python read it alike (RE2 the unbounded form)."""
     from re import escape
 
-    body = "|".join(escape(w).replace(r"\ ", " ").replace("/", "/") for w in sorted(set(words), key=lambda w: (-len(w), w)))
+    body = "|".join(escape(w).replace(r"\ ", " ").replace(r"\#", "#").replace(r"\&", "&") for w in sorted(set(words), key=lambda w: (-len(w), w)))
     return rf"(?<![\p{{L}}\p{{N}}_])(?:{body})(?![\p{{L}}\p{{N}}_])" if whole == "b" else f"(?:{body})"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def prefix_ends(lengths: Column) -> Column:
-    """Running sums of an array of lengths, in one pass."""
-    return F.aggregate(lengths, F.expr("cast(array() as array<int>)"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + n)))
+    """Running sums of an array: within chunks of ``CHUNK``, then over the chunks' totals, so that a long array is not copied at every step."""
+    empty = F.expr("cast(array() as array<int>)")
+    one = lambda xs: F.aggregate(xs, empty, lambda acc, n: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + n)))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(lengths), F.lit(1)) - 1) / CHUNK).cast("int")), lambda k: one(F.slice(lengths, k * CHUNK + 1, F.lit(CHUNK))))
+    last = lambda q: F.coalesce(F.get(q, F.size(q) - 1), F.lit(0))
+    return let(chunks, lambda p: let(F.concat(F.array(F.lit(0)), one(F.transform(p, last))), lambda b: F.flatten(F.transform(p, lambda q, k: F.transform(q, lambda x: x + F.get(b, k))))))
 
 
 def unmarked(text: Column) -> Column:
@@ -35,14 +48,10 @@ def unmarked(text: Column) -> Column:
 
 
 def _laid_out(parts: Column) -> Column:
-    """Consecutive parts with their offsets, in one fold."""
-    empty = F.expr("cast(array() as array<struct<start_pos:int,end_pos:int,text:string>>)")
-
-    def step(acc: Column, p: Column) -> Column:
-        at = F.coalesce(F.get(acc, F.size(acc) - 1)["end_pos"], F.lit(0))
-        return F.concat(acc, F.array(F.struct(at.alias("start_pos"), (at + F.length(p)).alias("end_pos"), p.alias("text"))))
-
-    return F.aggregate(parts, empty, step)
+    """Consecutive parts with their offsets."""
+    ends = lambda p: prefix_ends(F.transform(p, lambda x: F.length(x)))
+    part = lambda x, e: F.struct((e - F.length(x)).alias("start_pos"), e.alias("end_pos"), x.alias("text"))
+    return let(parts, lambda p: F.zip_with(p, ends(p), part))
 
 
 def matches(text: Column, pattern: str, group: bool = False) -> Column:
@@ -57,13 +66,12 @@ def matches(text: Column, pattern: str, group: bool = False) -> Column:
 
 def line_array(text: Column) -> Column:
     """``array<struct<line_no, start_pos, end_pos, line>>``; a trailing newline yields a last empty line."""
-    empty = F.expr("cast(array() as array<struct<line_no:int,start_pos:int,end_pos:int,line:string>>)")
 
-    def step(acc: Column, p: Column) -> Column:
-        at = F.coalesce(F.get(acc, F.size(acc) - 1)["end_pos"] + 1, F.lit(0))
-        return F.concat(acc, F.array(F.struct(F.size(acc).alias("line_no"), at.alias("start_pos"), (at + F.length(p)).alias("end_pos"), p.alias("line"))))
+    def lines(p: Column) -> Column:
+        line = lambda x, i, e: F.struct(i.cast("int").alias("line_no"), (F.get(e, i) - F.length(x) - 1).alias("start_pos"), (F.get(e, i) - 1).alias("end_pos"), x.alias("line"))
+        return let(prefix_ends(F.transform(p, lambda x: F.length(x) + 1)), lambda e: F.transform(p, lambda x, i: line(x, i, e)))
 
-    return F.aggregate(F.split(text, "\n", -1), empty, step)
+    return let(F.split(text, "\n", -1), lines)
 
 
 def token_array(text: Column) -> Column:
@@ -81,14 +89,16 @@ def heading_text(line: Column) -> Column:
     return F.btrim(F.rtrim(F.btrim(F.btrim(line), F.lit("#*_ ")), F.lit(":")))
 
 
+EVERY_SECTION_WORD = sorted({w for words in fixed.SECTION_WORDS.values() for w in words})
+
+
 def is_section_title(line: Column) -> Column:
     """A short line that is or begins with a section word and looks like a heading."""
     raw = heading_text(line)
     low = F.lower(raw)
-    every = [w for v in fixed.SECTION_WORDS.values() for w in v.split("|")]
-    begins = low.rlike(rf"^{words_any(every, '')}(?: |$)")
-    shaped = ((F.upper(raw) == raw) & (F.lower(raw) != raw)) | F.rtrim(line).endswith(":") | F.ltrim(line).startswith("#") | low.isin(sorted(set(every))) | (F.size(F.split(low, r"\s+")) <= 4)
-    return (F.length(low) > 0) & (F.length(low) <= 45) & begins & shaped
+    begins = low.rlike(rf"^{words_any(EVERY_SECTION_WORD, '')}(?: |$)")
+    shaped = ((F.upper(raw) == raw) & (F.lower(raw) != raw)) | F.rtrim(line).endswith(":") | F.ltrim(line).startswith("#") | low.isin(EVERY_SECTION_WORD) | (F.size(F.split(low, r"\s+")) <= 4)
+    return F.when(F.length(low).between(1, 45), begins & shaped).otherwise(False)
 
 
 def section_of_heading(line: Column) -> Column:
@@ -96,48 +106,55 @@ def section_of_heading(line: Column) -> Column:
     low = F.lower(F.rtrim(F.btrim(F.btrim(line), F.lit("#*_ ")), F.lit(":")))
     out = F.lit("other")
     for name, words in reversed(fixed.SECTION_WORDS.items()):
-        out = F.when(low.rlike(rf"^{words_any(words.split('|'), '')}"), F.lit(name)).otherwise(out)
+        out = F.when(low.rlike(rf"^{words_any(words, '')}"), F.lit(name)).otherwise(out)
     return out
 
 
 YEAR = r"(?:19|20)\d{2}"
-YEAR_SPAN = rf"(?iU){YEAR}\s*[-–—]\s*(?:{YEAR}|present|now|today|heute|actuel|presente|nu|nyt|oggi|atual)|\b{YEAR}\b.*\b{YEAR}\b"
+YEAR_SPAN = rf"{YEAR}\s*[-–—]\s*(?:{YEAR}|{words_any(fixed.NOW_WORDS, '')})|\b{YEAR}\b.*\b{YEAR}\b"
 EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
+DOB_KEY = words_any(fixed.KV_KEYS["DOB"], "")
+#: A line is a line of contacts if it holds any of these.
+CONTACT = (EMAIL, r"\+\d{1,3}[\s\d().-]{6,}", rf"(?:^|[^\p{{L}}\p{{N}}_]){words_any(fixed.PHONE_KEYS, '')}\.?\s*[:.]")
+SCHOOL = words_any(fixed.EDU_KEYWORDS, "")
+NO_SCHOOL = words_any(fixed.EDU_EXCLUDE, "")
+SCHOOL_ACRONYM = rf"(?<![\p{{L}}\p{{N}}_-]){words_any(fixed.EDU_ACRONYMS, '')}(?![\p{{L}}\p{{N}}_-])"
 
 
 def ends_header(line: Column) -> Column:
     """A dated or long line of content, which closes the header."""
     n = F.size(F.filter(F.split(line, r"(?U)\s+"), lambda w: F.length(w) > 0))
-    return line.rlike(YEAR_SPAN) | (n > 14) | (line.rlike(rf"\b{YEAR}\b") & (n > 4) & ~line.rlike(rf"(?iu){fixed.KV_KEYS['DOB']}"))
+    return line.rlike(rf"(?iuU){YEAR_SPAN}") | (n > 14) | (line.rlike(rf"\b{YEAR}\b") & (n > 4) & ~line.rlike(rf"(?iu){DOB_KEY}"))
 
 
 def is_contact_line(line: Column) -> Column:
-    return line.rlike(EMAIL) | line.rlike(r"\+\d{1,3}[\s\d().-]{6,}") | line.rlike(rf"(?iuU)(?:^|\W)(?:{fixed.PHONE_KEYS})\.?\s*[:.]")
+    mail, number, key = CONTACT
+    return line.rlike(mail) | line.rlike(number) | line.rlike(rf"(?iuU){key}")
 
 
 def sectioned_lines(text: Column) -> Column:
-    """``array<struct<line_no, start_pos, end_pos, line, section, contact>>`` by a fold over the document's own lines.
+    """``array<struct<line_no, start_pos, end_pos, line, section, contact>>``.
 
-    A heading switches the section, a rule starts the footer, and the first line
-    of content ends the header. The event applies to its own line.
+    A heading or a rule gives its section to all lines up to the next one; the
+    lines before the first are header, from a line of content on other.
     """
 
-    def event(x: Column) -> Column:
-        return F.when(F.btrim(x["line"]).isin(*fixed.RULES_OFF), F.lit("footer")).when(is_section_title(x["line"]), section_of_heading(x["line"])).when(ends_header(x["line"]), F.lit("<body>"))
+    def sections(lines: Column, marks: Column) -> Column:
+        n = F.size(lines)
+        heads = F.filter(F.sequence(F.lit(1), n), lambda i: F.get(marks, i - 1).isNotNull())
 
-    empty = F.expr("cast(array() as array<struct<line_no:int,start_pos:int,end_pos:int,line:string,section:string,contact:boolean>>)")
+        def spread(h: Column) -> Column:
+            head = F.coalesce(F.get(h, F.lit(0)), n + 1) - 1
+            first = F.array_position(F.transform(F.slice(lines, F.lit(1), head), lambda x: ends_header(x["line"])), True).cast("int")
+            header = F.when(first > 0, first - 1).otherwise(head)
+            rest = F.flatten(F.transform(h, lambda i, k: F.array_repeat(F.get(marks, i - 1), F.coalesce(F.get(h, k + 1), n + 1) - i)))
+            return let(header, lambda m: F.concat(F.array_repeat(F.lit("header"), m), F.array_repeat(F.lit("other"), head - m), rest))
 
-    def step(acc: Column, y: Column) -> Column:
-        now = F.coalesce(F.get(acc, F.size(acc) - 1)["section"], F.lit("header"))
-        body = F.when(now == "header", F.lit("other")).otherwise(now)
-        section = F.when(y["e"].isNull(), now).when(y["e"] == "<body>", body).otherwise(y["e"])
-        return F.concat(
-            acc,
-            F.array(F.struct(*[y["x"][c].alias(c) for c in ("line_no", "start_pos", "end_pos", "line")], section.alias("section"), y["c"].alias("contact"))),
-        )
+        return let(heads, spread)
 
-    events = F.transform(line_array(text), lambda x: F.struct(x.alias("x"), event(x).alias("e"), is_contact_line(x["line"]).alias("c")))
-    return F.aggregate(events, empty, step)
+    mark = lambda x: F.when(F.btrim(x["line"]).isin(*fixed.RULES_OFF), F.lit("footer")).when(is_section_title(x["line"]), section_of_heading(x["line"]))
+    row = lambda x, s: F.struct(*[x[c].alias(c) for c in ("line_no", "start_pos", "end_pos", "line")], s.alias("section"), is_contact_line(x["line"]).alias("contact"))
+    return let(line_array(text), lambda lines: F.zip_with(lines, let(F.transform(lines, mark), lambda marks: sections(lines, marks)), row))
 
 
 def contact_zone(section: Column, contact: Column) -> Column:
@@ -149,6 +166,18 @@ def line_at(lines: Column, pos: Column) -> Column:
     return F.get(F.filter(lines, lambda x: (x["start_pos"] <= pos) & (pos <= x["end_pos"])), F.lit(0))
 
 
+NAMED_LANGUAGES = "en de fr es it nl sv fi pl pt da no ru ar zh ja ko hi ur tr el".split()
+NAMING_LANGUAGES = "en de fr es it nl sv fi pl pt da nb".split()
+
+
+@lru_cache(1)
+def language_names() -> tuple[str, ...]:
+    """Names of ``NAMED_LANGUAGES`` in each of ``NAMING_LANGUAGES``, from the JVM's locale data, and the words for a native language."""
+    locale = SparkSession.getActiveSession().sparkContext._jvm.java.util.Locale
+    made = {locale.forLanguageTag(one).getDisplayLanguage(locale.forLanguageTag(tongue)).lower() for one in NAMED_LANGUAGES for tongue in NAMING_LANGUAGES}
+    return tuple(sorted({w for name in made for w in name.split()} | {*fixed.NATIVE_WORDS}))
+
+
 def contains_any(text: Column, words: Iterable[str]) -> Column:
     return text.rlike(words_any(words, ""))
 
@@ -156,8 +185,7 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
 def is_edu(text: Column) -> Column:
     """Names a school: a keyword inside or a whole acronym, and nothing that excludes it."""
     low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    acronym = text.rlike(rf"(?<![\p{{L}}\p{{N}}_-])(?:{'|'.join(fixed.EDU_ACRONYMS)})(?![\p{{L}}\p{{N}}_-])")
-    return ~contains_any(low, fixed.EDU_EXCLUDE) & (contains_any(low, fixed.EDU_KEYWORDS) | acronym)
+    return ~low.rlike(NO_SCHOOL) & (low.rlike(SCHOOL) | text.rlike(SCHOOL_ACRONYM))
 
 
 def is_tech(token: Column, terms: Iterable[str] = fixed.TECH) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,24 +25,6 @@ def overlap(a: Column, b: Column) -> Column:
 # ---- inside one row: arrays of spans
 
 
-def merge_array(spans: Column) -> Column:
-    """Overlapping or touching spans of an array merged, sorted; the first span's label stays.
-
-    Order is start ascending, end descending, then ``ord``; elements need
-    ``start_pos, end_pos, label, ord``.
-    """
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start_pos"].alias("s"), (-s["end_pos"]).alias("e"), s["ord"].alias("o"), s["label"].alias("l"))))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        own = F.struct(x["s"].cast("int").alias("start_pos"), (-x["e"]).cast("int").alias("end_pos"), x["l"].alias("label"))
-        grown = F.struct(last["start_pos"].alias("start_pos"), F.greatest(last["end_pos"], (-x["e"]).cast("int")).alias("end_pos"), last["label"].alias("label"))
-        joins = (F.size(acc) > 0) & (x["s"] <= last["end_pos"])
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(own)))
-
-    return F.aggregate(ordered, F.expr(f"cast(array() as {ISLANDS})"), step)
-
-
 def covered_length(start: Column, end: Column, islands: Column) -> Column:
     """Characters of [start, end) under disjoint islands; 0 where there are none or the array is null."""
     inside = lambda i: F.greatest(F.lit(0), F.least(end, i["end_pos"]) - F.greatest(start, i["start_pos"]))
@@ -48,14 +33,10 @@ def covered_length(start: Column, end: Column, islands: Column) -> Column:
 
 def masked_text(text: Column, islands: Column, template: str = "[%s]") -> Column:
     """The text with each island replaced by its formatted label; disjoint sorted islands."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, i: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, i["start_pos"] - acc["at"])
-        return F.struct(F.concat(acc["out"], gap, F.format_string(template, i["label"])).alias("out"), i["end_pos"].alias("at"))
-
-    done = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"]))
-    return F.when(F.size(islands) > 0, F.aggregate(islands, start, step, done)).otherwise(text)
+    before = lambda k: F.coalesce(F.get(islands, k - 1)["end_pos"], F.lit(0))
+    piece = lambda i, k: F.concat(F.substring(text, before(k) + 1, i["start_pos"] - before(k)), F.format_string(template, i["label"]))
+    rest = F.substring(text, before(F.size(islands)) + 1, F.length(text))
+    return F.when(F.size(islands) > 0, F.concat(F.array_join(F.transform(islands, piece), ""), rest)).otherwise(text)
 
 
 # ---- between rows: tables of spans
@@ -68,27 +49,48 @@ def extract(docs: DataFrame, pattern: str, label: str, src: str, group: bool = F
     )
 
 
-def occurrence_starts(text: Column, surface: Column) -> Column:
-    """Starts of every non-overlapping literal occurrence, from the left; empty for an empty surface."""
-    parts = F.split(F.replace(textops.unmarked(text), surface, F.lit(textops.MARK)), textops.MARK, -1)
-    ends = textops.prefix_ends(F.transform(parts, lambda p: F.length(p)))
-    starts = F.transform(ends, lambda e, i: (e + i * F.length(surface)).cast("int"))
-    return F.when(F.length(surface) > 0, F.slice(starts, F.lit(1), F.greatest(F.size(starts) - 1, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
+def occurrences(text: str, surface: str) -> Iterator[int]:
+    """Starts of every non-overlapping literal occurrence, from the left; none for an empty surface."""
+    at = text.find(surface) if surface else -1
+    while at >= 0:
+        yield at
+        at = text.find(surface, at + len(surface))
 
 
 def locate_all(docs: DataFrame, surfaces: DataFrame, strict: bool = False) -> DataFrame:
     """Every occurrence of each ``doc_id, surface`` (other columns are kept) in the document's ``text``.
 
-    With a column ``nth`` only that occurrence (from 0) is kept where it is set.
-    ``strict`` raises for a surface that does not occur.
+    A document's surfaces come as one array, so its text is shuffled once
+    however many there are. With a column ``nth`` only that occurrence (from 0)
+    is kept where it is set. ``strict`` raises for a surface that does not occur.
     """
-    found = surfaces.join(docs.select("doc_id", "text"), "doc_id").withColumn("_at", occurrence_starts(F.col("text"), F.col("surface"))).drop("text")
-    if strict:
-        found = found.withColumn("_at", F.when(F.size("_at") == 0, F.raise_error(F.concat(F.lit("surface not found: "), "surface"))).otherwise(F.col("_at")))
-    if "nth" in surfaces.columns:
-        found = found.withColumn("_at", F.when(F.col("nth").isNull(), F.col("_at")).when(F.col("nth") < F.size("_at"), F.array(F.get("_at", "nth"))))
-    rest = [c for c in surfaces.columns if c != "nth"]
-    return found.select(*rest, F.explode("_at").alias("start_pos")).withColumn("end_pos", (F.col("start_pos") + F.length("surface")).cast("int"))
+    kept = [c for c in surfaces.columns if c != "doc_id"]
+    packed = surfaces.where("surface is not null").groupBy("doc_id").agg(F.collect_list(F.struct("surface", *[c for c in kept if c != "surface"])).alias("_s"))
+    rows = docs.select("doc_id", "text").join(packed, "doc_id")
+    kind = rows.schema["_s"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column(2).flatten()
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))
+            texts, words = batch.column(1).to_pylist(), wanted.field(0).to_pylist()
+            of, nos, starts = [], [], []
+            for k, (row, word) in enumerate(zip(owner.tolist(), words)):
+                n = 0
+                for n, at in enumerate(occurrences(texts[row] or "", word), 1):
+                    of.append(k)
+                    nos.append(n - 1)
+                    starts.append(at)
+                if strict and not n:
+                    raise ValueError(f"surface not found: {word}")
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner).take(at)), wanted.take(at), pa.array(nos, pa.int32()), pa.array(starts, pa.int32())], ["doc_id", "_s", "_n", "start_pos"])
+
+    found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, _s {kind}, _n int, start_pos int")
+    if "nth" in kept:
+        found = found.where("_s.nth is null or _s.nth = _n")
+    out = [c for c in surfaces.columns if c not in ("nth", "doc_id")]
+    return found.select("doc_id", *[F.col(f"_s.{c}").alias(c) for c in out], "start_pos", (F.col("start_pos") + F.length("_s.surface")).cast("int").alias("end_pos"))
 
 
 def merge_spans(spans: DataFrame, keys: Sequence[str] = ("doc_id",), order: str = "span_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.functions import fixed, textops
-from cloakframe.operators import scoring
+from cloakframe.operators import rules, scoring
 from cloakframe.operators import spans as sp
 from cloakframe.plans import experiments as ex
 from cloakframe.plans import frames as fr
@@ -68,23 +68,21 @@ def tokens_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_words(words: list[str]) -> str:
-    from re import escape
+    return textops.words_any(words, "").replace("'", "''")
 
-    return "|".join(escape(w).replace(r"\ ", " ").replace("'", "''") for w in sorted(set(words), key=lambda w: (-len(w), w)))
 
-
-_EVERY = [w for v in fixed.SECTION_WORDS.values() for w in v.split("|")]
+_EVERY = textops.EVERY_SECTION_WORD
 _RAW = "trim(rtrim(trim(trim(line, chr(32)), '#*_ '), ':'), chr(32))"
-_SPAN_YEARS = r"(?i)(?:19|20)\d{2}\s*[-–—]\s*(?:(?:19|20)\d{2}|present|now|today|heute|actuel|presente|nu|nyt|oggi|atual)|\b(?:19|20)\d{2}\b.*\b(?:19|20)\d{2}\b"
+_SPAN_YEARS = f"(?i){textops.YEAR_SPAN}"
 _EMAIL_SQL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
 _SECTIONED = f"""{_LINES},
     h as (select *, {_RAW} as raw from l),
-    i as (select *, length(raw) > 0 and length(raw) <= 45 and regexp_matches(lower(raw), '^(?:{_sql_words(_EVERY)})(?: |$)')
-            and ((upper(raw) = raw and lower(raw) <> raw) or rtrim(line) like '%:' or ltrim(line) like '#%' or lower(raw) in ({', '.join(fr.q(w) for w in sorted(set(_EVERY)))}) or len(string_split_regex(lower(raw), '\\s+')) <= 4) as title from h),
+    i as (select *, length(raw) > 0 and length(raw) <= 45 and regexp_matches(lower(raw), '^{_sql_words(_EVERY)}(?: |$)')
+            and ((upper(raw) = raw and lower(raw) <> raw) or rtrim(line) like '%:' or ltrim(line) like '#%' or lower(raw) in ({', '.join(map(fr.q, _EVERY))}) or len(string_split_regex(lower(raw), '\\s+')) <= 4) as title from h),
     k as (select *, case when trim(line, chr(32)) in ('---', '___', '***') then 'footer'
-            when title then case {' '.join(f"when regexp_matches(lower(raw), '^(?:{_sql_words(w.split('|'))})') then {fr.q(n)}" for n, w in fixed.SECTION_WORDS.items())} else 'other' end
+            when title then case {' '.join(f"when regexp_matches(lower(raw), '^{_sql_words(w)}') then {fr.q(n)}" for n, w in fixed.SECTION_WORDS.items())} else 'other' end
             when regexp_matches(line, '{_SPAN_YEARS}') or len(list_filter(string_split_regex(line, '[{fr._WHITE}]+'), lambda w: length(w) > 0)) > 14
-                or (regexp_matches(line, '\\b(?:19|20)\\d{{2}}\\b') and len(list_filter(string_split_regex(line, '[{fr._WHITE}]+'), lambda w: length(w) > 0)) > 4 and not regexp_matches(line, '(?i){fixed.KV_KEYS['DOB'].replace("'", "''")}')) then '<body>' end as event from i),
+                or (regexp_matches(line, '\\b(?:19|20)\\d{{2}}\\b') and len(list_filter(string_split_regex(line, '[{fr._WHITE}]+'), lambda w: length(w) > 0)) > 4 and not regexp_matches(line, '(?i){_sql_words(fixed.KV_KEYS['DOB'])}')) then '<body>' end as event from i),
     n as (select *, min(case when event is not null then line_no end) over (partition by doc_id) as first_event from k),
     sec as (select doc_id, line_no, line, start_pos, coalesce(last_value(case when event = '<body>' then case when line_no = first_event then 'other' end else event end ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and current row), 'header') as section from n)"""
 
@@ -97,7 +95,7 @@ def line_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     rf"""with {fr.SQL_DOCS}, {_LINES} select doc_id, cast(line_no as integer) as line_no from l
-    where regexp_matches(line, '{_EMAIL_SQL}') or regexp_matches(line, '\+\d{{1,3}}[\s\d().-]{{6,}}') or regexp_matches(line, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{fixed.PHONE_KEYS})\.?\s*[:.]')"""
+    where regexp_matches(line, '{_EMAIL_SQL}') or regexp_matches(line, '\+\d{{1,3}}[\s\d().-]{{6,}}') or regexp_matches(line, '(?i)(?:^|[^\p{{L}}\p{{N}}_]){_sql_words(fixed.PHONE_KEYS)}\.?\s*[:.]')"""
 )
 def contact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir).select("doc_id", F.explode(textops.line_array(F.col("text"))).alias("l"))
@@ -121,19 +119,24 @@ def corpus_email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.extract(table(spark, sf_dir, "documents").where("text is not null"), textops.EMAIL, "EMAIL", "re").select("doc_id", "start_pos", "end_pos", "surface")
 
 
-_ORCID = r"\b\d{4}-\d{4}-\d{4}-\d{3}[\dX]\b"
-_IBAN = r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?\b"
+def _rule_spans(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """Spans of some rules, by the scan that the pipeline uses."""
+    return rules.scan(_docs(spark, sf_dir)).where(F.col("rule").isin(*names)).select("doc_id", "start_pos", "end_pos", "surface")
+
+
+@query(f"with {fr.SQL_DOCS} {_spans_sql('docs', 'doc_id', _EMAIL_SQL)}")
+def rule_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule_spans(spark, sf_dir, "R01")
 
 
-@query(f"with {fr.SQL_DOCS} {_spans_sql('docs', 'doc_id', _ORCID)}")
-def orcid_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp.extract(_docs(spark, sf_dir), _ORCID, "ID", "re").select("doc_id", "start_pos", "end_pos", "surface")
+@query(f"with {fr.SQL_DOCS} {_spans_sql('docs', 'doc_id', rules.ORCID.pattern)}")
+def rule_orcids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule_spans(spark, sf_dir, "R09")
 
 
-@query(rf"with {fr.SQL_DOCS} select * from ({_spans_sql('docs', 'doc_id', _IBAN)}) where length(regexp_replace(surface, '\D', '', 'g')) >= 10")
-def iban_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sp.extract(_docs(spark, sf_dir), _IBAN, "ID", "re").select("doc_id", "start_pos", "end_pos", "surface")
-    return rows.where(F.length(F.regexp_replace("surface", r"\D", "")) >= 10)
+@query(rf"with {fr.SQL_DOCS} select * from ({_spans_sql('docs', 'doc_id', rules.IBAN.pattern)}) where length(regexp_replace(surface, '\D', '', 'g')) >= 10 and length(replace(surface, ' ', '')) <= 34")
+def rule_ibans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule_spans(spark, sf_dir, "R08")
 
 
 # ---- span algebra

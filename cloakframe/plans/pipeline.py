@@ -1,77 +1,171 @@
-"""From documents and detector spans to masked text and scores."""
+"""From documents and detector spans to masked text and scores.
+
+A document is one row throughout: its text, its lines and an array of its
+spans. Rules, segments and occurrences are found in two Arrow passes, all
+decisions between them are column expressions over the arrays. With rules only
+nothing is shuffled; detector spans are voted on where they lie, thinned to one
+of each kind and place, and joined to their document once. There is no
+checkpoint, as nothing is computed twice.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterator, Sequence
+from dataclasses import replace
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.operators import identity, policy, rules, scoring
+from cloakframe.functions import textops
+from cloakframe.operators import identity, judge, policy, rules, scoring
 from cloakframe.operators import spans as sp
 from cloakframe.operators.policy import Config
-from cloakframe.session import cut
 
-COLUMNS = ["doc_id", "ord", "start_pos", "end_pos", "label", "src", "score", "surface", "section", "line", "line_start", "contact", "before", "after"]
+CONTEXT = ("ord", "start_pos", "end_pos", "label", "src", "score", "surface", "section", "line", "line_start", "contact", "before", "after")
+COLUMNS = ["doc_id", *CONTEXT]
 FINAL = ["doc_id", "span_id", "start_pos", "end_pos", "label", "src", "surface"]
+STEP = 1 << 40
+_KINDS = {"ord": pa.int64(), "start_pos": pa.int32(), "end_pos": pa.int32(), "score": pa.float64(), "line_start": pa.int32(), "contact": pa.bool_()}
+_SPAN = pa.struct([(c, _KINDS.get(c, pa.string())) for c in CONTEXT])
+_SPAN_SQL = "ord:bigint,start_pos:int,end_pos:int,label:string,src:string,score:double,surface:string,section:string,line:string,line_start:int,contact:boolean,before:string,after:string"
+_SEGMENT = pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32()), ("surface", pa.string()), ("line", pa.string()), ("contact", pa.bool_())])
+_SEGMENT_SQL = "array<struct<start_pos:int,end_pos:int,surface:string,line:string,contact:boolean>>"
+_GIVEN = "array<struct<ord:bigint,start_pos:int,end_pos:int,label:string,src:string,score:double>>"
+_ISLAND = pa.list_(pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32()), ("label", pa.string())]))
+
+
+def voted(detected: DataFrame, cfg: Config = Config()) -> DataFrame:  # noqa: B008
+    """Detector spans after the vote as ``doc_id, given``: an array in their order, equal ones once."""
+    kept = sp.vote(detected, cfg.vote_k)
+    once = kept.groupBy("doc_id", "start_pos", "end_pos", "label", F.coalesce("src", F.lit("")).alias("src")).agg(F.min(F.col("span_id").cast("long")).alias("ord"), F.max("score").alias("score"))
+    return once.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("ord", "start_pos", "end_pos", "label", "src", F.col("score").cast("double").alias("score")))).alias("given"))
+
+
+def segments(p: rules.Page, lines: Sequence[rules.Line], outer: str, inner: str) -> Iterator[dict]:
+    """Parts of lines between the outer signs and then the inner pattern, without spaces and commas at their ends."""
+    cut = re.compile(rf"[{outer}]+|{inner}")
+    for x in lines:
+        at = 0
+        for a, b in [*(m.span() for m in cut.finditer(x.line)), (len(x.line), 0)]:
+            part = x.line[at:a]
+            body = part.strip(" ,;")
+            if body:
+                start = x.start + at + part.index(body)
+                yield {"start_pos": start, "end_pos": start + len(body), "surface": body, "line": x.line, "contact": x.contact}
+            at = b
+
+
+def prepared(docs: DataFrame, given: DataFrame | None, cfg: Config) -> DataFrame:
+    """``doc_id, text, spans, places, parts``: all candidates in context, in order (detectors, rules, header name), and the segments of contact zones and lines."""
+    rows = docs if "_lines" in docs.columns else rules.with_lines(docs)
+    rows = rows.join(given, "doc_id", "left") if given is not None else rows.withColumn("given", F.expr(f"cast(null as {_GIVEN})"))
+    header = policy.header_name(F.col("_lines")) if cfg.regex and cfg.header_name_rule else F.expr("cast(null as struct<start_pos:int,end_pos:int,surface:string>)")
+    switches = {"kv_address": cfg.kv_address, "edu_acronyms": cfg.edu_acronyms}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, places, parts = [], [], []
+            givens, heads = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for row, p in rules.pages(batch):
+                found = [(x["ord"], x["start_pos"], x["end_pos"], x["label"], x["src"], x["score"], p.line(x["start_pos"])) for x in givens[row] or ()]
+                if cfg.regex:
+                    found += [(STEP + n, a, b, label, src, 1.0, x) for n, (a, b, label, src, _, x) in enumerate(rules.scan_page(p, **switches))]
+                if h := heads[row]:
+                    found.append((2 * STEP, h["start_pos"], h["end_pos"], "NAME", "re-headername", 1.0, p.line(h["start_pos"])))
+                spans.append([dict(zip(CONTEXT, (*s[:6], *rules.in_context(p.text, s[1], s[2], s[6])))) for s in found])
+                places.append([*segments(p, [x for x in p.lines if x.zone], "|\n\t•·", r"\s+[-–—]\s+|\s+/\s+|\s{3,}")])
+                parts.append([*segments(p, [x for x in p.lines if x.contact], "|\n\t", r"\s+[-–—/•·]\s+|\s{3,}")])
+            arrays = [pa.array(spans, pa.list_(_SPAN)), pa.array(places, pa.list_(_SEGMENT)), pa.array(parts, pa.list_(_SEGMENT))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "text", "spans", "places", "parts"])
+
+    schema = f"doc_id string, text string, spans array<struct<{_SPAN_SQL}>>, places {_SEGMENT_SQL}, parts {_SEGMENT_SQL}"
+    return rows.select("doc_id", "text", "_lines", "given", header.alias("head")).mapInArrow(run, schema)
 
 
-def _context(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    placed = sp.with_context(docs, spans)
-    return placed.join(docs.select("doc_id", "text"), "doc_id").select(*placed.columns, *rules.around(F.col("text"), F.col("start_pos"), F.col("end_pos")))
+def candidates(docs: DataFrame, detected: DataFrame | None, cfg: Config = Config()) -> DataFrame:  # noqa: B008
+    """Rows of ``prepared``'s spans."""
+    rows = prepared(docs, voted(detected, cfg) if detected is not None else None, cfg)
+    return rows.select("doc_id", F.explode("spans").alias("s")).select("doc_id", *[F.col(f"s.{c}").alias(c) for c in CONTEXT])
 
 
-def candidates(docs: DataFrame, detected: DataFrame | None, cfg: Config = Config()) -> DataFrame:  # noqa: B008
-    """Detector spans after the vote, then rules, then the header name, in that order (``ord``)."""
-    parts = []
-    if detected is not None:
-        voted = sp.vote(detected, cfg.vote_k).select("doc_id", F.col("span_id").cast("long").alias("ord"), "start_pos", "end_pos", "label", F.coalesce("src", F.lit("")).alias("src"), "score", "surface")
-        parts.append(_context(docs, voted).select(*COLUMNS))
-    step = 1 << 40
-    if cfg.regex:
-        switches = {"kv_address": cfg.kv_address, "edu_acronyms": cfg.edu_acronyms}
-        parts.append(rules.scan(docs, switches).withColumns({"ord": F.col("ord") + step, "score": F.lit(1.0)}).select(*COLUMNS))
-        if cfg.header_name_rule:
-            head = policy.header_names(docs).withColumns({"ord": F.lit(2 * step), "score": F.lit(1.0)})
-            parts.append(_context(docs, head).select(*COLUMNS))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def judged(docs: DataFrame, detected: DataFrame | None, cfg: Config, replies: DataFrame, mode: str, drop_labels: Sequence[str] | None) -> DataFrame:
+    """Candidates after a judge's recorded replies, as ``doc_id, given``."""
+    rows = candidates(docs, detected, cfg).withColumnRenamed("ord", "span_id")
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    after = judge.adjudicated(texts, rows, replies, mode, drop_labels).withColumn("ord", F.coalesce("span_id", F.lit(3 * STEP) + F.col("start_pos")))
+    scored = after.join(rows.select("doc_id", F.col("span_id").alias("ord"), "score"), ["doc_id", "ord"], "left")
+    return scored.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "start_pos", "end_pos", "label", "src", F.coalesce("score", F.lit(1.0)).alias("score")))).alias("given"))
 
 
-def run(docs: DataFrame, detected: DataFrame | None = None, cfg: Config = Config()) -> DataFrame:  # noqa: B008
-    """Final spans of each document: ``doc_id, span_id, start_pos, end_pos, label, src, surface``; ``span_id`` is their order.
+def found(docs: DataFrame, detected: DataFrame | None = None, cfg: Config = Config(), replies: DataFrame | None = None, mode: str = "full", drop_labels: Sequence[str] | None = None) -> DataFrame:  # noqa: B008
+    """``doc_id, text, spans``: each document's final spans, in order, as ``array<struct<start_pos,end_pos,label,src,surface>>``.
 
-    Order: detectors and vote, rules, header name, policy (which adds places and
-    contact segments), propagation, safety net; each stage reads all before it.
-    Stages that several later ones read are cut by a checkpoint, so that nothing is computed twice.
+    Order: detectors and vote, rules, header name, judge, policy, places,
+    contact segments, propagation, safety net; each stage reads all before it.
     """
-    docs = cut(rules.with_lines(docs))
-    base = candidates(docs, detected, cfg)
+    if replies is not None and not cfg.raw:
+        rows = prepared(docs, judged(docs, detected, cfg, replies, mode, drop_labels), replace(cfg, regex=False, vote_k=1))
+    else:
+        rows = prepared(docs, voted(detected, cfg) if detected is not None else None, cfg)
+    short = lambda s, section: F.struct(*[s[c].alias(c) for c in ("start_pos", "end_pos", "label", "src", "surface")], section.alias("section"))
     if cfg.raw:
-        return base.withColumn("span_id", F.col("ord")).select(*FINAL)
-    kept = cut(policy.apply(base, cfg) if cfg.policy else base)
-    step = 1 << 40
-    ordered = kept.withColumn("span_id", F.col("ord"))
+        return rows.select("doc_id", "text", F.transform("spans", lambda s: _plain(s)).alias("spans"))
+    own = policy.kept(F.col("spans"), CONTEXT, cfg) if cfg.policy else F.col("spans")
+    rows = rows.withColumn("spans", F.transform(own, lambda s: short(s, s["section"])))
+    added = lambda spans: F.transform(spans, lambda s: short(s, F.lit("")))
     if cfg.policy and cfg.location_lines:
-        places = policy.location_lines(docs, kept).withColumn("span_id", F.col("start_pos").cast("long") + 3 * step)
-        ordered = ordered.select(*FINAL, "section").unionByName(_context(docs, places).select(*FINAL, "section"))
-    else:
-        ordered = ordered.select(*FINAL, "section")
+        rows = rows.withColumn("spans", textops.let(F.col("spans"), lambda k: F.concat(k, added(policy.places(F.col("places"), k)))))
     if cfg.policy and cfg.contact_line_rule:
-        segments = policy.contact_segments(docs, ordered).withColumn("span_id", F.col("start_pos").cast("long") + 4 * step)
-        ordered = ordered.unionByName(_context(docs, segments).select(*FINAL, "section"))
-    ordered = cut(ordered)
-    spread = identity.propagate(docs, ordered, cfg.propagate).withColumn("span_id", F.col("start_pos").cast("long") + 5 * step)
-    every = ordered.select(*FINAL).unionByName(spread.select(*FINAL))
-    if cfg.safety_net:
-        every = cut(every)
-        net = identity.safety_net(docs, every).withColumn("span_id", F.col("start_pos").cast("long") + 6 * step)
-        every = every.unionByName(net.select(*FINAL))
-    return every
+        rows = rows.withColumn("spans", textops.let(F.col("spans"), lambda k: F.concat(k, added(policy.contact_segments(F.col("parts"), k)))))
+    rows = rows.withColumn("names", identity.known_names(F.col("spans"), cfg.propagate))
+    done = identity.spread(rows, cfg.propagate != "none", cfg.safety_net)
+    return done.select("doc_id", "text", F.concat(F.transform("spans", lambda s: _plain(s)), "found").alias("spans"))
+
+
+def _plain(s: Column) -> Column:
+    return F.struct(*[s[c].alias(c) for c in ("start_pos", "end_pos", "label", "src", "surface")])
+
+
+def as_rows(documents: DataFrame) -> DataFrame:
+    """Final spans as rows; ``span_id`` is their order in the document."""
+    rows = documents.select("doc_id", F.posexplode("spans").alias("n", "s"))
+    return rows.select("doc_id", F.col("n").cast("long").alias("span_id"), "s.start_pos", "s.end_pos", "s.label", "s.src", "s.surface")
+
+
+def run(docs: DataFrame, detected: DataFrame | None = None, cfg: Config = Config()) -> DataFrame:  # noqa: B008
+    """Final spans of each document as rows: ``doc_id, span_id, start_pos, end_pos, label, src, surface``."""
+    return as_rows(found(docs, detected, cfg))
+
+
+def islands(documents: DataFrame) -> DataFrame:
+    """``doc_id, text, islands``: a document's spans merged where they overlap or touch, by one walk in order."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for spans in batch.column(2).to_pylist():
+                merged: list[dict] = []
+                for s in sorted(spans, key=lambda s: (s["start_pos"], -s["end_pos"])):
+                    if merged and s["start_pos"] <= merged[-1]["end_pos"]:
+                        merged[-1]["end_pos"] = max(merged[-1]["end_pos"], s["end_pos"])
+                    else:
+                        merged.append(s)
+                out.append(merged)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, _ISLAND)], ["doc_id", "text", "islands"])
+
+    rows = documents.select("doc_id", "text", F.transform("spans", lambda s: F.struct(s["start_pos"].alias("start_pos"), s["end_pos"].alias("end_pos"), s["label"].alias("label"))).alias("s"))
+    return rows.mapInArrow(walk, f"doc_id string, text string, islands {sp.ISLANDS}")
+
+
+def masked(documents: DataFrame, template: str = "[%s]") -> DataFrame:
+    """``doc_id, masked, n_masked`` of ``found`` documents, masked or not; nothing is shuffled."""
+    return islands(documents).select("doc_id", sp.masked_text(F.col("text"), F.col("islands"), template).alias("masked"), F.size("islands").alias("n_masked"))
 
 
 def mask(docs: DataFrame, spans: DataFrame, template: str = "[%s]") -> DataFrame:
-    """``doc_id, masked, n_masked``: every document, masked or not."""
+    """``doc_id, masked, n_masked`` for rows of spans: every document, masked or not."""
     merged = scoring.islands_by(spans, ["doc_id"], "islands")
     none = F.expr(f"cast(array() as {sp.ISLANDS})")
     rows = docs.join(merged, "doc_id", "left").withColumn("islands", F.coalesce("islands", none))
@@ -82,8 +176,3 @@ def evaluate(docs: DataFrame, gold: DataFrame, spans: DataFrame, name: str) -> D
     """Corpus scores of one stack on every split."""
     scores = scoring.doc_scores(docs, gold, spans.withColumn("stack", F.lit(name)), [(name,)], ["stack"])
     return scoring.corpus_scores(scores, ["split", "stack"])
-
-
-def numbered(spans: DataFrame) -> DataFrame:
-    """``span_id`` as a dense order within each document."""
-    return spans.withColumn("span_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("span_id")).cast("long"))

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.functions import textops
-from cloakframe.operators import detectors, identity, judge, policy, rules, scoring
+from cloakframe.operators import detectors, judge, policy, rules, scoring
+from cloakframe.operators import spans as sp
 from cloakframe.plans import catalogue, pipeline
 from cloakframe.plans import frames as fr
 from cloakframe.plans.catalogue import query
-from cloakframe.session import cut
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,13 +31,12 @@ def header_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def policy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detector spans and rule spans after the policy."""
     documents = fr.docs(spark, sf_dir)
-    return policy.apply(pipeline.candidates(cut(rules.with_lines(documents)), fr.spans(spark, sf_dir, documents))).select("doc_id", "start_pos", "end_pos", "label", "src")
+    return policy.apply(pipeline.candidates(documents, fr.spans(spark, sf_dir, documents))).select("doc_id", "start_pos", "end_pos", "label", "src")
 
 
 @query()
 def propagated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = cut(rules.with_lines(fr.docs(spark, sf_dir)))
-    return identity.propagate(documents, cut(policy.apply(pipeline.candidates(documents, None))))
+    return _found(spark, sf_dir).where("src = 'prop'")
 
 
 @query()
@@ -48,7 +47,7 @@ def pipeline_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: rules, policy, propagation and safety net over every record, merged and masked."""
-    return pipeline.mask(fr.docs(spark, sf_dir), _found(spark, sf_dir))
+    return pipeline.masked(pipeline.found(fr.docs(spark, sf_dir)))
 
 
 @query()
@@ -78,7 +77,7 @@ def training_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judge_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = fr.docs(spark, sf_dir)
     models = fr.spans(spark, sf_dir, documents).where("det <> 'rules'")
-    return judge.questions(pipeline._context(documents, models))
+    return judge.questions(sp.with_context(documents, models))
 
 
 @query()

@@ -52,10 +52,16 @@ def as_rows(spark: SparkSession, stacks: Iterable[Stack], splits: Sequence[str])
     return spark.createDataFrame(rows, "stack string, split string, detectors map<string,double>, cfg string")
 
 
-def run_stack(docs: DataFrame, gold: DataFrame, spans: DataFrame, stack: Stack) -> tuple[DataFrame, DataFrame]:
-    """(corpus scores on every split, masked texts) of one stack over recorded detector spans."""
-    found = pipeline.run(docs, detectors.floor(spans, stack.detectors) if stack.detectors else None, config_of(stack))
-    return pipeline.evaluate(docs, gold, found, stack.name), pipeline.mask(docs, found)
+def run_stack(docs: DataFrame, gold: DataFrame, spans: DataFrame, stack: Stack, replies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(corpus scores on every split, masked texts) of one stack over recorded detector spans and, for a judge, its replies ``doc_id, out``."""
+    judge = stack.adjudicator or {}
+    if stack.adjudicator and replies is None:
+        raise ValueError(f"{stack.name} has a judge; give its recorded replies")
+    found = pipeline.found(
+        docs, detectors.floor(spans, stack.detectors) if stack.detectors else None, config_of(stack),
+        replies if stack.adjudicator else None, str(judge.get("mode", "full")), judge.get("drop_labels"),
+    )
+    return pipeline.evaluate(docs, gold, pipeline.as_rows(found), stack.name), pipeline.masked(found)
 
 
 def evaluate_all(docs: DataFrame, gold: DataFrame, spans: DataFrame, stacks: Iterable[Stack]) -> DataFrame:

@@ -19,7 +19,7 @@ def mask_stream(docs: DataFrame, out: str, checkpoint: str, cfg: Config = Config
 
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select("doc_id", "text").where("text is not null").dropDuplicates(["doc_id"])
-        pipeline.mask(rows, pipeline.run(rows, None, cfg)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        pipeline.masked(pipeline.found(rows, None, cfg)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     writer = docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -4,8 +4,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cloakframe.functions import fixed, lines, textops
-from cloakframe.operators import scoring
+from cloakframe.functions import fixed, textops
+from cloakframe.operators import rules, scoring
 
 CV = "Ada Byrne | Test Engineer\nada.byrne@mail.example\nLeeds, UK\n\nWORK HISTORY\n2016 - 2019  Clerk, Acme Ltd\nEducation:\nBSc, University of Leeds, 2001\n## Skills\nPython, Java, SQL, Docker\n---\nAda Byrne"
 ODD = "a b \U0001f600 x@y.z end\n\n\ttab 　q"
@@ -47,7 +47,6 @@ def test_null_text_gives_null(spark):
 )
 def test_headings(spark, line, title):
     assert rows(spark, [line], textops.is_section_title) == [title]
-    assert lines.is_section_title(line) is title
 
 
 def test_sections_are_carried_forward(spark):
@@ -60,16 +59,23 @@ def test_sections_are_carried_forward(spark):
     assert names[10:] == ["footer"] * 2
 
 
-def test_both_forms_of_sections_agree(spark, small):
-    texts = [r.text for r in spark.read.parquet(f"{small}/datasets.parquet").select("text").distinct().collect()] + [CV, ODD, ""]
-    for text, got in zip(texts, rows(spark, texts, textops.sectioned_lines)):
-        assert [(x.start_pos, x.end_pos, x.section, x.contact) for x in got] == [(x.start, x.end, x.section, x.contact) for x in lines.sectioned(text)]
+def test_long_texts_take_linear_time(spark):
+    """A text of a megabyte: offsets and sections as in a walk over its lines."""
+    text = "".join(f"line {n} of the text\n" if n % 1000 else "Skills:\n" for n in range(50_000))
+    found = rows(spark, [text], textops.sectioned_lines)[0]
+    assert len(text) > 1_000_000 and [x.line for x in found] == text.split("\n")
+    assert all(text[x.start_pos : x.end_pos] == x.line for x in found[::997]) and {x.section for x in found} == {"skills"}
+    assert len(rows(spark, [text], textops.token_array)[0]) == len(text.split())
+
+
+def test_language_names_come_from_locale_data(spark):
+    assert {"english", "deutsch", "englanti", "angielski", "svenska", "muttersprache"} <= {*textops.language_names()} and "leeds" not in textops.language_names()
 
 
 @pytest.mark.parametrize("text,school", [("University of Leeds", True), ("Acme Ltd", False), ("MIT,", True), ("MITTENS", False), ("University Hospital", False)])
 def test_schools(spark, text, school):
     assert rows(spark, [text], textops.is_edu) == [school]
-    assert lines.is_edu(text) is school
+    assert rules.is_edu(text) is school
 
 
 def test_contact_lines_and_lists(spark):
