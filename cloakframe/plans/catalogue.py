@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.functions import fixed, textops
-from cloakframe.operators import rules, scoring
+from cloakframe.operators import scoring
 from cloakframe.operators import spans as sp
 from cloakframe.plans import experiments as ex
 from cloakframe.plans import frames as fr
@@ -30,7 +30,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from cloakframe.plans import pipeline_queries  # noqa: F401  registers its own
+    from cloakframe.plans import pipeline_queries, rule_queries  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
@@ -119,26 +119,6 @@ def corpus_email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.extract(table(spark, sf_dir, "documents").where("text is not null"), textops.EMAIL, "EMAIL", "re").select("doc_id", "start_pos", "end_pos", "surface")
 
 
-def _rule_spans(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    """Spans of some rules, by the scan that the pipeline uses."""
-    return rules.scan(_docs(spark, sf_dir)).where(F.col("rule").isin(*names)).select("doc_id", "start_pos", "end_pos", "surface")
-
-
-@query(f"with {fr.SQL_DOCS} {_spans_sql('docs', 'doc_id', _EMAIL_SQL)}")
-def rule_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rule_spans(spark, sf_dir, "R01")
-
-
-@query(f"with {fr.SQL_DOCS} {_spans_sql('docs', 'doc_id', rules.ORCID.pattern)}")
-def rule_orcids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rule_spans(spark, sf_dir, "R09")
-
-
-@query(rf"with {fr.SQL_DOCS} select * from ({_spans_sql('docs', 'doc_id', rules.IBAN.pattern)}) where length(regexp_replace(surface, '\D', '', 'g')) >= 10 and length(replace(surface, ' ', '')) <= 34")
-def rule_ibans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rule_spans(spark, sf_dir, "R08")
-
-
 # ---- span algebra
 
 

@@ -14,6 +14,25 @@ LAYOUTS = ("plain", "keyed", "footer")
 SCHEMA = "id string, lang string, layout string, text string, gold array<struct<start:int,end:int,label:string,required:boolean,text:string>>"
 
 
+#: Texts with hits and near misses of the rules, for queries and tests; all data in them are invented.
+RULE_TEXTS = (
+    "write ada.byrne@mail.example now, or a@b or @ x",
+    "call zero one two three four five six seven, or one two three",
+    "see @adab and x@y.z and @ab and (@ada_b.c).",
+    "IBAN shape GB29 NWBK 6016 1331 9268 19 and GB29 NWBK and DE89370400440532013000.",
+    "orcid 0000-0002-1825-0097 and 0000-0002-1825-009X and 1000-0002-1825-00977",
+    "member #1234567, #12345, x#7654321 and # 998877",
+    "born in Porto, née à Lyon, geboren in Bad Ems. born at home",
+    "links https://x.example/a, www.ada.example and linkedin.com/in/ada but not github.com",
+    "age: 34, Alter 45, age 345 and ages 12; ikä-51",
+    "Nationality: Irish\nNationalité française\nNationality Irish / British today",
+    "an Irish citizen, a British/Irish national and an irish citizen",
+    "(she/her) he/him (xe/xem) he/she they/them",
+    "Geburtsort: Graz\nbirthplace Ames, Iowa\nplace of birth: porto",
+    "My name is Ada Byrne and I am Senior Engineer. Ich bin Karl von Holt. Mi chiamo Elena Rossi",
+)
+
+
 class Builder:
     """Appends text and notes the spans that are put into it."""
 
