@@ -173,7 +173,10 @@ NAMING_LANGUAGES = "en de fr es it nl sv fi pl pt da nb".split()
 @lru_cache(1)
 def language_names() -> tuple[str, ...]:
     """Names of ``NAMED_LANGUAGES`` in each of ``NAMING_LANGUAGES``, from the JVM's locale data, and the words for a native language."""
-    locale = SparkSession.getActiveSession().sparkContext._jvm.java.util.Locale
+    session = SparkSession.getActiveSession()
+    if session is None:
+        raise RuntimeError("the names of languages come from the session's JVM; start one first")
+    locale = session.sparkContext._jvm.java.util.Locale
     made = {locale.forLanguageTag(one).getDisplayLanguage(locale.forLanguageTag(tongue)).lower() for one in NAMED_LANGUAGES for tongue in NAMING_LANGUAGES}
     return tuple(sorted({w for name in made for w in name.split()} | {*fixed.NATIVE_WORDS}))
 

@@ -16,10 +16,10 @@ from cloakframe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+_SQL: dict[str, str | Callable[[], str | None]] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | Callable[[], str | None] | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql:
@@ -30,14 +30,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from cloakframe.plans import pipeline_queries, rule_queries  # noqa: F401  register their own
+    from cloakframe.plans import pipeline_queries, policy_queries, rule_queries  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     queries()
-    return dict(_SQL)
+    made = {name: sql() if callable(sql) else sql for name, sql in _SQL.items()}
+    return {name: sql for name, sql in made.items() if sql}
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
