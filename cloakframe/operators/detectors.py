@@ -6,7 +6,9 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,28 +106,30 @@ def chunks(docs: DataFrame, limit: int) -> DataFrame:
 
 
 def line_windows(docs: DataFrame, limit: int, overlap_lines: int) -> DataFrame:
-    """As ``chunks``, consecutive ones sharing up to ``overlap_lines`` lines; each advances by a line at least."""
+    """As ``chunks``, consecutive ones sharing up to ``overlap_lines`` lines; each advances by a line at least.
+
+    A window's last line follows from the lines' running lengths by binary search.
+    """
     schema = "doc_id string, chunk_no int, start_pos int, end_pos int, chunk string"
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for d, t in zip(batch["doc_id"], batch["text"]):
-                lines = re.findall(r"[^\n]*\n|[^\n]+", t or "")
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                breaks = [m.end() for m in re.finditer("\n", t or "")]
+                at = np.unique([0, *breaks, len(t or "")])
                 first = no = 0
-                while first < len(lines):
-                    last, size = first + 1, len(lines[first])
-                    while last < len(lines) and size + len(lines[last]) <= limit:
-                        size += len(lines[last])
-                        last += 1
-                    start = sum(map(len, lines[:first]))
-                    out.append((d, no, start, start + size, "".join(lines[first:last])))
-                    if last >= len(lines):
+                while first < len(at) - 1:
+                    last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
+                    out.append((d, no, int(at[first]), int(at[last]), t[at[first] : at[last]]))
+                    if last == len(at) - 1:
                         break
                     first, no = max(first + 1, last - overlap_lines), no + 1
-            yield pd.DataFrame(out, columns=["doc_id", "chunk_no", "start_pos", "end_pos", "chunk"])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(each, schema)
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(each, schema)
 
 
 def by_chunks(run: Detector, limit: int) -> Detector:

@@ -343,9 +343,22 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sweep(spark, sf_dir).select(*_SHORT.split(", "), "f2")
 
 
-@query()
+@query(
+    f"""with {_SWEPT},
+    et as (select g.doc_id, g.span_no, g.start_pos + k.s as s, g.start_pos + k.e as e from g join (
+        select doc_id, span_no, start_pos + length(surface) - length(ltrim(surface, {fr.q(fixed.STRIP)})) as s, start_pos + length(surface) - length(ltrim(surface, {fr.q(fixed.STRIP)})) + length(trim(surface, {fr.q(fixed.STRIP)})) as e, trim(surface, {fr.q(fixed.STRIP)}) as tok
+        from ({fr.sql_matches('(select doc_id, span_no, surface as text from g where required)', f'[^{fr._WHITE}]+', 'doc_id, span_no')}) where length(trim(surface, {fr.q(fixed.STRIP)})) > 0) k
+        on k.doc_id = g.doc_id and k.span_no = g.span_no where g.required and lower(k.tok) not in ({', '.join(map(fr.q, fixed.CONNECTORS))})),
+    held as (select t.doc_id, t.span_no, t.s, i.det, i.threshold from et t join ip i on i.doc_id = t.doc_id and i.start_pos < t.e and t.s < i.end_pos
+        group by t.doc_id, t.span_no, t.s, t.e, i.det, i.threshold having sum(least(t.e, i.end_pos) - greatest(t.s, i.start_pos)) * 2 >= t.e - t.s),
+    lk as (select d.det, th.threshold, count(distinct et.doc_id) as leak_docs from et join docs on docs.doc_id = et.doc_id and docs.split = 'devhard', {_DETS} d, th
+        where not exists (select 1 from held where held.doc_id = et.doc_id and held.span_no = et.span_no and held.s = et.s and held.det = d.det and held.threshold = th.threshold) group by d.det, th.threshold),
+    fs as (select sw.det, sw.threshold, coalesce(lk.leak_docs, 0) as leak_docs, round(case when p + r = 0 then 0 else 5 * p * r / (4 * p + r) end, 6) as f2
+        from ({_WITH_PR} sw where split = 'devhard') sw left join lk on lk.det = sw.det and lk.threshold = sw.threshold)
+    select det, threshold, f2, leak_docs from fs qualify row_number() over (partition by det order by f2 desc, leak_docs, threshold) = 1"""
+)
 def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ex.best_threshold(_sweep(spark, sf_dir), "devhard")
+    return ex.best_threshold(_sweep(spark, sf_dir), "devhard").select("det", "threshold", "f2", "leak_docs")
 
 
 _FAMILY = "regexp_replace(stack, '#[0-9]+$', '')"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.functions import textops
+from cloakframe.functions import fixed, textops
 from cloakframe.operators import detectors, judge, policy, rules, scoring
 from cloakframe.operators import spans as sp
 from cloakframe.plans import catalogue, pipeline
@@ -22,7 +22,27 @@ def rule_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.scan(fr.docs(spark, sf_dir)).select("doc_id", "ord", "start_pos", "end_pos", "label", "src", "rule", "surface", "section")
 
 
-@query()
+_NOT_W, _W_END = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+_WORDS = lambda words: textops.words_any(words, "").replace("'", "''")
+_HEADER_SQL = rf"""with {fr.SQL_DOCS}, {catalogue._SECTIONED},
+    hc as (select doc_id, min(line_no) as c from sec where section in ({", ".join(map(fr.q, fixed.CONTENT_SECTIONS))}) group by doc_id),
+    hf as (select sec.*, i.title, trim(trim(sec.line, ' '), '#*_ ') as t, row_number() over (partition by sec.doc_id order by sec.line_no) as seen from sec
+        join i on i.doc_id = sec.doc_id and i.line_no = sec.line_no left join hc on hc.doc_id = sec.doc_id
+        where length(trim(trim(sec.line, ' '), '#*_ ')) > 0 and sec.line_no < coalesce(hc.c, 2000000000)),
+    hn as (select *, trim(regexp_replace(case when regexp_full_match(t, '[^,]+,\s*[^,]+') then t else string_split_regex(t, '\s{{3,}}|\s[–—|·•]\s|,\s')[1] end,
+        ',?\s*\b(?:{"|".join(c.replace(".", "[.]") for c in sorted(fixed.CREDENTIALS, key=len, reverse=True))})\b\.?', '', 'g'), ' ,') as name from hf where seen <= 5),
+    hv as (select *, list_transform(string_split_regex(name, '\s+'), lambda w: trim(w, '(),')) as w,
+        title or regexp_matches(t, '(?i)^(?:europass\s+)?{_WORDS(fixed.DOCUMENT_TITLES)}(?:\s*[-–:]\s*.*)?$') or regexp_matches(t, '[\d@|:]|https?:') as passed from hn),
+    hj as (select *, case when passed then 'skip' when not regexp_matches(name, '(?i){_NOT_W}{_WORDS(fixed.TITLE_WORDS)}{_W_END}') and len(w) between 2 and 7
+            and len(list_filter(w, lambda x: not (x = '' or regexp_matches(x, '^[\p{{Lu}}\p{{Lo}}]') or lower(x) in ({", ".join(map(fr.q, fixed.NAME_PARTICLES))})))) = 0
+            and len(list_filter(w, lambda x: not (lower(x) in ({", ".join(map(fr.q, sorted({*textops.EVERY_SECTION_WORD, *fixed.FIELD_LABELS})))})))) > 0 and strpos(line, name) > 0 then 'name'
+            when seen = 1 then 'skip' else 'stop' end as v from hv),
+    hk as (select *, row_number() over (partition by doc_id order by seen) as r from hj where v <> 'skip')
+    select doc_id, cast(start_pos + strpos(line, name) - 1 as integer) as start_pos, cast(start_pos + strpos(line, name) - 1 + length(name) as integer) as end_pos, 'NAME' as label, 're-headername' as src, name as surface
+    from hk where r = 1 and v = 'name'"""
+
+
+@query(_HEADER_SQL)
 def header_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.header_names(fr.docs(spark, sf_dir))
 
@@ -56,30 +76,72 @@ def rules_only_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.evaluate(documents, fr.gold(spark, sf_dir, documents), pipeline.run(documents), "rules only")
 
 
-@query()
+_LIMIT, _SHARED = 1200, 2
+_BROKEN = """ln as (select doc_id, i, a[i] as line, length(a[i]) as n, len(a) as k, cast(list_sum(list_transform(a[1:i], lambda z: length(z))) as bigint) as up_to
+        from (select doc_id, a, unnest(range(1, len(a) + 1)) as i from (select doc_id, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') as a from docs)))"""
+_CHUNKS = f"""{fr.SQL_DOCS}, {_BROKEN},
+    packed as (select doc_id, i, n, 0 as chunk_no, n as filled from ln where i = 1
+        union all select ln.doc_id, ln.i, ln.n, case when p.filled + ln.n > {_LIMIT} then p.chunk_no + 1 else p.chunk_no end, case when p.filled + ln.n > {_LIMIT} then ln.n else p.filled + ln.n end
+        from packed p join ln on ln.doc_id = p.doc_id and ln.i = p.i + 1),
+    ch as (select packed.doc_id, packed.chunk_no, min(ln.up_to - ln.n) as start_pos, max(ln.up_to) as end_pos, string_agg(ln.line, '' order by ln.i) as chunk
+        from packed join ln on ln.doc_id = packed.doc_id and ln.i = packed.i group by packed.doc_id, packed.chunk_no)"""
+
+
+@query(f"with recursive {_CHUNKS} select doc_id, chunk_no, cast(start_pos as integer) as start_pos, cast(end_pos as integer) as end_pos, chunk from ch")
 def chunked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.chunks(fr.docs(spark, sf_dir), 1200)
+    return detectors.chunks(fr.docs(spark, sf_dir), _LIMIT)
 
 
-@query()
+@query(
+    f"""with recursive {fr.SQL_DOCS}, {_BROKEN},
+    reach as (select x.doc_id, x.i, x.k, x.up_to - x.n as start_pos, greatest(x.i, max(case when y.up_to - x.up_to + x.n <= {_LIMIT} then y.i else 0 end)) as last
+        from ln x join ln y on y.doc_id = x.doc_id and y.i >= x.i group by x.doc_id, x.i, x.k, x.up_to, x.n),
+    walk as (select doc_id, 0 as chunk_no, i, last, k from reach where i = 1
+        union all select r.doc_id, w.chunk_no + 1, r.i, r.last, r.k from walk w join reach r on r.doc_id = w.doc_id and w.last < w.k and r.i = greatest(w.i + 1, w.last + 1 - {_SHARED}))
+    select w.doc_id, w.chunk_no, cast(min(ln.up_to - ln.n) as integer) as start_pos, cast(max(ln.up_to) as integer) as end_pos, string_agg(ln.line, '' order by ln.i) as chunk
+    from walk w join ln on ln.doc_id = w.doc_id and ln.i between w.i and w.last group by w.doc_id, w.chunk_no"""
+)
 def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.line_windows(fr.docs(spark, sf_dir), 1200, 2)
+    return detectors.line_windows(fr.docs(spark, sf_dir), _LIMIT, _SHARED)
 
 
-@query()
+@query(
+    f"""with recursive {_CHUNKS}, {fr.SQL_GOLD}, x as (select distinct ch.doc_id, ch.chunk_no, g.label, g.surface from ch join g on g.doc_id = ch.doc_id and g.required and g.start_pos >= ch.start_pos and g.end_pos <= ch.end_pos)
+    select doc_id, chunk_no, label, string_agg(surface, chr(10) order by surface) as surfaces from x group by all"""
+)
 def training_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = fr.docs(spark, sf_dir)
-    rows = detectors.training_examples(documents, fr.gold(spark, sf_dir, documents), 1200)
+    rows = detectors.training_examples(documents, fr.gold(spark, sf_dir, documents), _LIMIT)
     return rows.withColumn("surfaces", F.array_join("surfaces", "\n"))
 
 
-@query()
+@query(
+    f"""with {fr.SQL_DOCS}, {fr.SQL_SPANS}, {catalogue._SECTIONED},
+    o as (select s.doc_id, s.span_id, trim(s.surface, ' ') as surface, s.label, coalesce(sec.line, '') as line from s left join sec on sec.doc_id = s.doc_id and s.start_pos between sec.start_pos and sec.start_pos + length(sec.line)
+        where s.det <> 'rules' and s.src not in ({", ".join(map(fr.q, judge.TRUSTED))}) and s.label in ({", ".join(map(fr.q, judge.REVIEWED))})),
+    u as (select doc_id, surface, label, min(span_id) as f, arg_min(line, span_id) as line from o group by all),
+    r as (select *, row_number() over (partition by doc_id order by f, surface, label) - 1 as c from u)
+    select doc_id, string_agg(c || '. [' || label || '] ' || surface || ' | ' || left(trim(line, ' '), 140), chr(10) order by c) as question from r group by doc_id"""
+)
 def judge_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = fr.docs(spark, sf_dir)
     models = fr.spans(spark, sf_dir, documents).where("det <> 'rules'")
     return judge.questions(sp.with_context(documents, models))
 
 
+@query(
+    f"""with {catalogue._SCORED} select ev.doc_id, ev.det, ev.span_no, ev.label, g.surface as text, string_agg(ev.tok, ' ' order by ev.s) as visible
+    from ev join g on g.doc_id = ev.doc_id and g.span_no = ev.span_no where ev.visible group by all"""
+)
+def recorded_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each recorded detector leaves visible, in the form of the judge's error rows, a row for each leak."""
+    documents = fr.docs(spark, sf_dir)
+    scores = scoring.doc_scores(documents, fr.gold(spark, sf_dir, documents), fr.spans(spark, sf_dir, documents), [(d,) for d in fr.DETECTORS])
+    leaked = F.filter("ent_flags", lambda e: e["leaked"])
+    rows = scores.select("doc_id", "det", F.explode(F.arrays_zip("leaks", leaked.alias("flags"))).alias("x"))
+    return rows.select("doc_id", "det", F.col("x.flags.span_no").alias("span_no"), F.col("x.leaks.label").alias("label"), F.col("x.leaks.text").alias("text"), F.array_join("x.leaks.visible", " ").alias("visible"))
+
+
 @query()
 def leaks_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-document errors of the rules-only stack, in the form of the judge's error rows."""
