@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.functions import fixed, textops
 from cloakframe.operators import spans as sp
 
 SPAN_SCHEMA = "doc_id string, start_pos int, end_pos int, label string, src string, score double"
@@ -53,6 +54,50 @@ def plug_in(load: Callable[[], Callable[[str], list[tuple[int, int, str, float]]
     return run
 
 
+#: Kind of detector -> its labels' map; labels of the kinds in ``DROPPING`` that the map lacks are dropped, others become OTHER.
+LABEL_MAPS = {"tagger": fixed.TAGGER_LABELS, "engine": fixed.ENGINE_LABELS, "spanner": fixed.SPANNER_LABELS, "spanner2": fixed.SPANNER_2_LABELS, "filter": fixed.FILTER_LABELS}
+DROPPING = ("tagger",)
+
+
+def free_label(label: Column) -> Column:
+    """A label in free wording: exact, else by the first part it contains, else OTHER."""
+    low = F.lower(label)
+    by_part = F.lit("OTHER")
+    for part, known in reversed(fixed.FREE_LABEL_PARTS):
+        by_part = F.when(low.contains(part), F.lit(known)).otherwise(by_part)
+    exact = F.create_map(*[F.lit(x) for p in fixed.FREE_LABELS.items() for x in p])
+    return F.coalesce(F.element_at(exact, low), by_part)
+
+
+def detector_label(kind: str, label: Column) -> Column:
+    """What a detector's label means: by its kind's map; the filter's other labels by their wording; null for what is dropped."""
+    known = F.element_at(F.create_map(*[F.lit(x) for p in LABEL_MAPS[kind].items() for x in p]), label)
+    if kind == "filter":
+        return F.coalesce(known, free_label(label))
+    return known if kind in DROPPING else F.coalesce(known, F.lit("OTHER"))
+
+
+def adapted(entities: DataFrame, kind: str, src: str, least: float = 0.0, score: float | None = None) -> DataFrame:
+    """A model's recorded entities ``doc_id, start_pos, end_pos, label, score`` as spans: floor, label map, source; ``score`` for models that give none."""
+    scored = entities.withColumn("score", F.lit(score) if score is not None else F.coalesce("score", F.lit(1.0))).where(F.col("score") >= least)
+    named = scored.withColumns({"label": detector_label(kind, F.col("label")), "src": F.lit(src)}).where("label is not null")
+    return named.select("doc_id", "start_pos", "end_pos", "label", "src", "score")
+
+
+def detect_lang(text: Column) -> Column:
+    """The language, of those with a tagger, of which a text has most frequent short words; English where none leads."""
+    words = F.split(F.lower(text), r"[^\p{L}]+")
+
+    def among(known: Sequence[str]) -> Callable[[Column], Column]:
+        return lambda x: x.isin(*known)
+
+    def best(w: Column) -> Column:
+        counts = F.array(*[F.struct(F.size(F.filter(w, among(known))).alias("n"), F.lit(-i).alias("rank"), F.lit(k).alias("lang")) for i, (k, known) in enumerate(fixed.LANGUAGE_WORDS.items())])
+        return textops.let(F.array_max(counts), lambda x: F.when(x["n"] > 0, x["lang"]).otherwise("ENGLISH"))
+
+    return F.when(text.isNull(), "ENGLISH").otherwise(textops.let(words, best))
+
+
 @dataclass(frozen=True)
 class Stack:
     """A named combination: score floor by detector, and pipeline switches."""
@@ -132,6 +177,28 @@ def line_windows(docs: DataFrame, limit: int, overlap_lines: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(each, schema)
 
 
+def char_windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """Windows of ``size`` characters that share ``overlap``, each drawn out to the end of its last word: ``doc_id, chunk_no, start_pos, end_pos, chunk``."""
+    step = max(1, size - overlap)
+    text = F.col("text")
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - 1 - min(overlap, size - 1)), F.lit(step))
+    rows = docs.where("length(text) > 0").select("doc_id", "text", F.posexplode(starts).alias("chunk_no", "start_pos"))
+    tail = F.regexp_extract(F.substring(text, F.col("start_pos") + size + 1, F.lit(100)), r"^[\p{L}\p{N}_]*", 0)
+    inside = F.substring(text, F.col("start_pos") + size, F.lit(1)).rlike(r"[\p{L}\p{N}_]")
+    end = F.least(F.length(text), F.col("start_pos") + size + F.when(inside, F.length(tail)).otherwise(0))
+    return rows.select("doc_id", "chunk_no", "start_pos", end.alias("end_pos"), F.substring(text, F.col("start_pos") + 1, end - F.col("start_pos")).alias("chunk"))
+
+
+def merged_windows(found: DataFrame) -> DataFrame:
+    """Spans of overlapping windows: equal places and labels once with the best score; of spans that overlap with one label the better, then the longer, stays."""
+    once = found.groupBy("doc_id", "start_pos", "end_pos", "label", "src").agg(F.max("score").alias("score"))
+    other = sp._bucketed(once).withColumnsRenamed({"start_pos": "_s", "end_pos": "_e", "score": "_p"}).select("doc_id", "label", "src", "_bucket", "_s", "_e", "_p")
+    pairs = sp._bucketed(once).join(other, ["doc_id", "label", "src", "_bucket"]).where("start_pos < _e and _s < end_pos and (start_pos <> _s or end_pos <> _e)")
+    better = F.struct("_p", F.col("_e") - F.col("_s"), -F.col("_s")) > F.struct("score", F.col("end_pos") - F.col("start_pos"), -F.col("start_pos"))
+    beaten = pairs.where(better).select("doc_id", "start_pos", "end_pos", "label", "src").distinct()
+    return once.join(beaten, ["doc_id", "start_pos", "end_pos", "label", "src"], "left_anti")
+
+
 def by_chunks(run: Detector, limit: int) -> Detector:
     """A detector run on chunks, its offsets shifted back into the document."""
 
@@ -166,7 +233,25 @@ def training_examples(docs: DataFrame, gold: DataFrame, limit: int) -> DataFrame
 
 
 def allow_list(terms: Sequence[str], more: Sequence[str] = ()) -> list[str]:
-    return sorted({*terms, *more})
+    """Terms of two and more characters, as given and capitalised."""
+    words = {w for w in (*terms, *more) if len(w) > 1}
+    return sorted(words | {w.capitalize() for w in words})
+
+
+def allowed_out(found: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """Spans whose surface is no allowed term."""
+    return found.where(~F.btrim("surface").isin(*terms))
+
+
+def context_words() -> list[str]:
+    """Words beside which a weak match is surer: all field labels and one-word keys."""
+    return sorted({*fixed.FIELD_LABELS, *(k for keys in fixed.KV_KEYS.values() for k in keys if k.isalpha())})
+
+
+def in_context(found: DataFrame, words: Sequence[str], boost: float = 0.35, least: float = 0.4) -> DataFrame:
+    """Scores raised by ``boost``, to ``least`` at least and 1 at most, where one of the words stands in ``before``."""
+    near = F.lower("before").rlike(textops.words_any(words))
+    return found.withColumn("score", F.when(near, F.least(F.lit(1.0), F.greatest(F.col("score") + boost, F.lit(least)))).otherwise(F.col("score")))
 
 
 def by_language(runs: dict[str, Detector], default: str = "en") -> Detector:

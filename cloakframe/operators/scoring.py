@@ -180,11 +180,27 @@ def fp_examples(scores: DataFrame, keys: Sequence[str], n: int = FP_EXAMPLES) ->
     return first.groupBy(*keys).agg(F.array_sort(F.collect_list("tok")).alias("examples"))
 
 
+EXAMPLES = 8
+
+
+def _first_few(rows: DataFrame, keys: Sequence[str], value: str, n: int) -> DataFrame:
+    """The first ``n`` different values of each group in code-point order, by a top-n that never gathers a group."""
+    ranked = rows.select(*keys, value).distinct().selectExpr("*", f"row_number() over (partition by {', '.join(keys)} order by {value}) as _n").where(f"_n <= {n}")
+    return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("examples"))
+
+
 def error_sources(predicted: DataFrame, gold: DataFrame, n: int = 15) -> DataFrame:
-    """The ``n`` (src, label) with most predictions that touch no gold span, with eight examples each."""
-    wrong = sp.uncovered(predicted, gold)
-    counted = wrong.groupBy("src", "label").agg(F.count("*").alias("n_wrong"), F.min("surface").alias("first_surface"))
-    return counted.orderBy(F.desc("n_wrong"), "src", "label").limit(n)
+    """The ``n`` (src, label) with most predictions that touch no gold span, with ``EXAMPLES`` example surfaces of at most 50 characters each."""
+    wrong = sp.uncovered(predicted, gold).select(F.coalesce("src", F.lit("")).alias("src"), "label", F.left("surface", F.lit(50)).alias("surface"))
+    counted = wrong.groupBy("src", "label").agg(F.count("*").alias("n_wrong")).orderBy(F.desc("n_wrong"), "src", "label").limit(n)
+    shown = _first_few(wrong.join(F.broadcast(counted.select("src", "label")), ["src", "label"], "left_semi"), ["src", "label"], "surface", EXAMPLES)
+    return counted.join(shown, ["src", "label"])
+
+
+def leaks_by_label(scores: DataFrame, keys: Sequence[str], n: int = 10) -> DataFrame:
+    """Leaked entities by label with ``n`` examples ``document: surface``."""
+    rows = scores.select(*keys, "doc_id", F.explode("leaks").alias("l")).select(*keys, F.col("l.label").alias("label"), F.concat_ws(": ", "doc_id", F.left("l.text", F.lit(50))).alias("example"))
+    return rows.groupBy(*keys, "label").agg(F.count("*").alias("n_leaks")).join(_first_few(rows, [*keys, "label"], "example", n), [*keys, "label"])
 
 
 def trace(predicted: DataFrame) -> DataFrame:

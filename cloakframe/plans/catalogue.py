@@ -234,10 +234,10 @@ def detector_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _docs(spark, sf_dir)
-    return scoring.doc_scores(documents, fr.gold(spark, sf_dir, documents), fr.spans(spark, sf_dir, documents), [(d,) for d in fr.DETECTORS])
+    return scoring.doc_scores(documents, fr.gold(spark, sf_dir, documents), fr.spans(spark, sf_dir, documents), [(d,) for d in fr.detectors(spark, sf_dir)])
 
 
-_DETS = "(select unnest([" + ", ".join(map(fr.q, fr.DETECTORS)) + "]) as det)"
+_DETS = "(select distinct det from candidate_spans where span_id is not null and det is not null)"
 
 
 def _cover(relation: str, extra: str = "") -> str:
@@ -294,10 +294,21 @@ def leak_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "det", "e.label", "e.span_no")
 
 
-@query(f"with {fr.SQL_DOCS}, {fr.SQL_GOLD}, {fr.SQL_SPANS} select src, label, count(*) as n_wrong, min(surface) as first_surface from s where not {_TOUCH} group by src, label order by n_wrong desc, src, label limit 15")
+@query(
+    f"""with {fr.SQL_DOCS}, {fr.SQL_GOLD}, {fr.SQL_SPANS} select coalesce(src, '') as src, label, count(*) as n_wrong, array_to_string(list_sort(list(distinct left(surface, 50)))[1:8], ' | ') as examples
+    from s where not {_TOUCH} group by 1, 2 order by n_wrong desc, 1, 2 limit 15"""
+)
 def error_sources_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _docs(spark, sf_dir)
-    return scoring.error_sources(fr.spans(spark, sf_dir, documents), fr.gold(spark, sf_dir, documents))
+    return scoring.error_sources(fr.spans(spark, sf_dir, documents), fr.gold(spark, sf_dir, documents)).withColumn("examples", F.array_join("examples", " | "))
+
+
+@query(
+    f"""with {_SCORED} select en.det, en.label, count(*) as n_leaks, array_to_string(list_sort(list(distinct en.doc_id || ': ' || left(g.surface, 50)))[1:10], ' | ') as examples
+    from en join g on g.doc_id = en.doc_id and g.span_no = en.span_no where leaked group by en.det, en.label"""
+)
+def leaks_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.leaks_by_label(_scores(spark, sf_dir), ["det"]).withColumn("examples", F.array_join("examples", " | "))
 
 
 @query(
@@ -332,7 +343,7 @@ _SWEPT = f"""{fr.SQL_DOCS}, {fr.SQL_GOLD}, {fr.SQL_SPANS}, {fr.SQL_TOKENS}, th a
 
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _docs(spark, sf_dir)
-    return ex.sweep(documents, fr.gold(spark, sf_dir, documents), fr.spans(spark, sf_dir, documents), fr.DETECTORS)
+    return ex.sweep(documents, fr.gold(spark, sf_dir, documents), fr.spans(spark, sf_dir, documents), fr.detectors(spark, sf_dir))
 
 
 _SHORT = "split, det, threshold, docs, req, req_hit, pred, pred_ok"
@@ -369,6 +380,11 @@ def leaderboard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.top_runs(fr.runs(spark, sf_dir)).select("run_id", "stack", "f2", "fp_per_doc")
 
 
+@query(f"with {fr.SQL_RUNS} select run_id, stack, split, round(f2, 6) as f2, docs, leak_docs from runs order by f2 desc nulls last, fp_per_doc asc nulls last, run_id limit 1")
+def best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ex.best_run(fr.runs(spark, sf_dir)).select("run_id", "stack", "split", F.round("f2", 6).alias("f2"), "docs", "leak_docs")
+
+
 @query(f"with {fr.SQL_RUNS} select family, split, run_id, f2 from (select *, {_FAMILY} as family, row_number() over (partition by {_FAMILY}, split order by f2 desc nulls last, fp_per_doc asc nulls last, run_id) as r from runs) where r = 1")
 def best_per_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fr.runs(spark, sf_dir).withColumn("family", F.regexp_replace("stack", "#[0-9]+$", ""))

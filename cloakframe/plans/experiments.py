@@ -47,6 +47,25 @@ def gated(swept: DataFrame, on_split: str, least_f2: float) -> DataFrame:
     return best_threshold(swept, on_split).where(F.col("f2") >= least_f2)
 
 
+def union_sweep(docs: DataFrame, gold: DataFrame, spans: DataFrame, base: str, partners: DataFrame) -> DataFrame:
+    """The second pass: the base detector's spans with each partner's, every detector at its own threshold, scored on every split.
+
+    ``partners`` are rows ``det, threshold`` as ``gated`` returns them, the
+    base among them; partners that the gate left out are not tried.
+    """
+    own = spans.join(F.broadcast(partners.select("det", "threshold")), "det").where(F.coalesce("score", F.lit(0.0)) >= F.col("threshold"))
+    names = sorted(r.det for r in partners.select("det").distinct().collect() if r.det != base)  # one row for each detector
+    alone = own.where(F.col("det") == base)
+    mixed = alone.withColumn("pair", F.explode(F.array(*map(F.lit, names)))).unionByName(own.where(F.col("det") != base).withColumn("pair", F.col("det"))) if names else alone.withColumn("pair", F.lit(base)).limit(0)
+    scores = scoring.doc_scores(docs, gold, mixed, [(n,) for n in names], ["pair"])
+    return scoring.corpus_scores(scores, ["split", "pair"])
+
+
+def best_run(runs: DataFrame) -> DataFrame:
+    """The whole row of the run with the best F2; ties as in ``best_per_stack``."""
+    return top_runs(runs, 1)
+
+
 def unscored(runs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Stack and split pairs that still have no run."""
     return wanted.join(runs.select("stack", "split").distinct(), ["stack", "split"], "left_anti")

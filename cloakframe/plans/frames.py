@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.functions import fixed, textops
-from cloakframe.session import spread, table
+from cloakframe.session import collect_bounded, spread, table
 
-DETECTORS = ("rules", "tagger_s", "tagger_l", "spanner", "spanner_ft", "filter_tok", "hosted_mix")
+MAX_DETECTORS = 200
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,12 @@ def spans(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:
     return _clip(first, documents).withColumn("label", F.coalesce(textops.unified_label(F.col("label")), F.lit("OTHER"))).drop("seen_at")
 
 
+def detectors(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The detectors that have a recorded span: as many as there are models, at most ``MAX_DETECTORS``."""
+    rows = table(spark, sf_dir, "candidate_spans").where("span_id is not null and det is not null").select("det").distinct()
+    return sorted(r.det for r in collect_bounded(rows, MAX_DETECTORS, "detectors"))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs once each, with the split's full name; ``log_order`` is the order of the log."""
     rows = table(spark, sf_dir, "leaderboard").where("run_id is not null").dropDuplicates(["run_id"])

@@ -4,8 +4,8 @@ A document is one row throughout: its text, its lines and an array of its
 spans. Rules, segments and occurrences are found in two Arrow passes, all
 decisions between them are column expressions over the arrays. With rules only
 nothing is shuffled; detector spans are voted on where they lie, thinned to one
-of each kind and place, and joined to their document once. There is no
-checkpoint, as nothing is computed twice.
+of each kind and place, and joined to their document once. Only a
+judge's candidates, which are read several times, are cut by a checkpoint.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from cloakframe.functions import textops
 from cloakframe.operators import identity, judge, policy, rules, scoring
 from cloakframe.operators import spans as sp
 from cloakframe.operators.policy import Config
+from cloakframe.session import cut
 
 CONTEXT = ("ord", "start_pos", "end_pos", "label", "src", "score", "surface", "section", "line", "line_start", "contact", "before", "after")
 COLUMNS = ["doc_id", *CONTEXT]
@@ -92,7 +93,7 @@ def candidates(docs: DataFrame, detected: DataFrame | None, cfg: Config = Config
 
 def judged(docs: DataFrame, detected: DataFrame | None, cfg: Config, replies: DataFrame, mode: str, drop_labels: Sequence[str] | None) -> DataFrame:
     """Candidates after a judge's recorded replies, as ``doc_id, given``."""
-    rows = candidates(docs, detected, cfg).withColumnRenamed("ord", "span_id")
+    rows = cut(candidates(docs, detected, cfg).withColumnRenamed("ord", "span_id"))  # read three times below
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     after = judge.adjudicated(texts, rows, replies, mode, drop_labels).withColumn("ord", F.coalesce("span_id", F.lit(3 * STEP) + F.col("start_pos")))
     scored = after.join(rows.select("doc_id", F.col("span_id").alias("ord"), "score"), ["doc_id", "ord"], "left")

@@ -136,7 +136,7 @@ def judge_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recorded_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each recorded detector leaves visible, in the form of the judge's error rows, a row for each leak."""
     documents = fr.docs(spark, sf_dir)
-    scores = scoring.doc_scores(documents, fr.gold(spark, sf_dir, documents), fr.spans(spark, sf_dir, documents), [(d,) for d in fr.DETECTORS])
+    scores = scoring.doc_scores(documents, fr.gold(spark, sf_dir, documents), fr.spans(spark, sf_dir, documents), [(d,) for d in fr.detectors(spark, sf_dir)])
     leaked = F.filter("ent_flags", lambda e: e["leaked"])
     rows = scores.select("doc_id", "det", F.explode(F.arrays_zip("leaks", leaked.alias("flags"))).alias("x"))
     return rows.select("doc_id", "det", F.col("x.flags.span_no").alias("span_no"), F.col("x.leaks.label").alias("label"), F.col("x.leaks.text").alias("text"), F.array_join("x.leaks.visible", " ").alias("visible"))
@@ -158,23 +158,140 @@ def parameter_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.runs(spark, sf_dir).select("run_id", F.coalesce(F.get_json_object("params", "$.vote_k"), F.lit("")).alias("vote_k"), kind.alias("kind"))
 
 
-@query(f"select label as raw_label, {fr.sql_label('label')} as label, count(*) as n from candidate_spans where label is not null group by 1, 2")
+@query(f"select label as raw_label, coalesce({fr.sql_label('label')}, 'OTHER') as label, count(*) as n from candidate_spans group by 1, 2")
 def unified_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null label counts as OTHER."""
+    rows = fr.table(spark, sf_dir, "candidate_spans")
+    return rows.groupBy(F.col("label").alias("raw_label"), F.coalesce(textops.unified_label(F.col("label")), F.lit("OTHER")).alias("label")).agg(F.count("*").alias("n"))
+
+
+#: Which kind each recorded detector is of.
+KINDS = {"tagger_s": "tagger", "tagger_l": "tagger", "spanner": "spanner", "spanner_ft": "spanner2", "filter_tok": "filter", "hosted_mix": "engine"}
+
+
+def _sql_map(column: str, known: dict[str, str], otherwise: str) -> str:
+    return f"case {column} {' '.join(f'when {fr.q(a)} then {fr.q(b)}' for a, b in known.items())} else {otherwise} end"
+
+
+_FREE = f"case lower(label) {' '.join(f'when {fr.q(a)} then {fr.q(b)}' for a, b in fixed.FREE_LABELS.items())} else case {' '.join(f'when contains(lower(label), {fr.q(a)}) then {fr.q(b)}' for a, b in fixed.FREE_LABEL_PARTS)} else 'OTHER' end end"
+_BY_KIND = " ".join(f"when {fr.q(det)} then {_sql_map('label', detectors.LABEL_MAPS[kind], 'null' if kind in detectors.DROPPING else _FREE if kind == 'filter' else chr(39) + 'OTHER' + chr(39))}" for det, kind in KINDS.items())
+
+
+@query(f"select * from (select det, label as raw_label, case det {_BY_KIND} end as label, count(*) as n from candidate_spans where det in ({', '.join(map(fr.q, KINDS))}) and label is not null group by 1, 2, 3) where label is not null")
+def labels_by_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each detector's labels by the map of its kind; what that map drops is gone."""
     rows = fr.table(spark, sf_dir, "candidate_spans").where("label is not null")
-    return rows.groupBy(F.col("label").alias("raw_label"), textops.unified_label(F.col("label")).alias("label")).agg(F.count("*").alias("n"))
+    out = None
+    for det, kind in KINDS.items():
+        part = rows.where(F.col("det") == det).groupBy("det", F.col("label").alias("raw_label"), detectors.detector_label(kind, F.col("label")).alias("label")).agg(F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out.where("label is not null")
+
+
+_HITS = ", ".join(f"len(list_filter(w, lambda x: x in ({', '.join(map(fr.q, words))}))) as n{i}" for i, words in enumerate(fixed.LANGUAGE_WORDS.values()))
+_MOST = f"greatest({', '.join(f'n{i}' for i in range(len(fixed.LANGUAGE_WORDS)))})"
+
+
+@query(
+    f"""with {fr.SQL_DOCS}, h as (select doc_id, {_HITS} from (select doc_id, string_split_regex(lower(text), '[^\\p{{L}}]+') as w from docs))
+    select doc_id, case when {_MOST} = 0 then 'ENGLISH' {" ".join(f"when n{i} = {_MOST} then {fr.q(k)}" for i, k in enumerate(fixed.LANGUAGE_WORDS))} end as lang from h"""
+)
+def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fr.docs(spark, sf_dir).select("doc_id", detectors.detect_lang(F.col("text")).alias("lang"))
+
+
+@query(
+    f"""with {fr.SQL_DOCS}, w as (select doc_id, text, unnest(range(0, greatest(0, length(text) - 51) + 1, 200)) as a from docs where length(text) > 0),
+    e as (select *, least(length(text), a + 250 + case when regexp_matches(substr(text, a + 250, 1), '[\\p{{L}}\\p{{N}}_]') then length(regexp_extract(substr(text, a + 251, 100), '^[\\p{{L}}\\p{{N}}_]*')) else 0 end) as b from w)
+    select doc_id, cast(a as integer) as start_pos, cast(b as integer) as end_pos, md5(substr(text, a + 1, b - a)) as chunk_md5 from e"""
+)
+def char_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.char_windows(fr.docs(spark, sf_dir), 250, 50).select("doc_id", "start_pos", "end_pos", F.md5("chunk").alias("chunk_md5"))
+
+
+@query(
+    f"""with {fr.SQL_DOCS}, {fr.SQL_SPANS}, o as (select doc_id, start_pos, end_pos, label, coalesce(src, '') as src, max(coalesce(score, 0)) as score from s group by all)
+    select doc_id, start_pos, end_pos, label, src, round(score, 6) as score from o x where not exists (select 1 from o y where y.doc_id = x.doc_id and y.label = x.label and y.src = x.src and x.start_pos < y.end_pos and y.start_pos < x.end_pos
+        and (x.start_pos <> y.start_pos or x.end_pos <> y.end_pos) and (y.score > x.score or (y.score = x.score and (y.end_pos - y.start_pos > x.end_pos - x.start_pos or (y.end_pos - y.start_pos = x.end_pos - x.start_pos and y.start_pos < x.start_pos)))))"""
+)
+def merged_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded spans as if from overlapping windows: of those that overlap with one label and source the best stay."""
+    rows = fr.spans(spark, sf_dir, fr.docs(spark, sf_dir)).withColumns({"src": F.coalesce("src", F.lit("")), "score": F.coalesce("score", F.lit(0.0))})
+    return detectors.merged_windows(rows.select("doc_id", "start_pos", "end_pos", "label", "src", "score")).withColumn("score", F.round("score", 6))
+
+
+def _replies(documents: DataFrame, models: DataFrame, gold: DataFrame) -> DataFrame:
+    """Made-up replies of a judge: every odd candidate is to stay visible, and each document's first gold surface was missed."""
+    numbered = sp.review_candidates(models.where(~F.col("src").isin(*judge.TRUSTED) & F.col("label").isin(*judge.REVIEWED)))
+    verdict = F.map_from_entries(F.collect_list(F.struct(F.col("candidate").cast("string"), F.when(F.col("candidate") % 2 == 1, "keep visible").otherwise("mask"))))
+    missed = gold.groupBy("doc_id").agg(F.min_by(F.struct(F.col("surface").alias("text"), "label"), "span_no").alias("m"))
+    rows = numbered.groupBy("doc_id").agg(verdict.alias("d")).join(missed, "doc_id", "full_outer")
+    none = F.expr("cast(map() as map<string,string>)")
+    return rows.select("doc_id", F.concat(F.lit("Here it is: "), F.to_json(F.struct(F.coalesce("d", none).alias("decisions"), F.array_compact(F.array("m")).alias("missed")))).alias("out"))
+
+
+@query(
+    f"""with {fr.SQL_DOCS}, {fr.SQL_SPANS}, {fr.SQL_GOLD}, z as (select * replace (coalesce(src, '') as src) from s where det <> 'rules'),
+    o as (select *, trim(surface, ' ') as t from z where src not in ({", ".join(map(fr.q, judge.TRUSTED))}) and label in ({", ".join(map(fr.q, judge.REVIEWED))})),
+    u as (select doc_id, t, label, row_number() over (partition by doc_id order by min(span_id), t, label) - 1 as c from o group by doc_id, t, label),
+    w as (select doc_id, trim(arg_min(surface, span_no), ' ') as surface, case when upper(trim(arg_min(label, span_no), ' ')) in ({", ".join(map(fr.q, fixed.REPLY_LABELS))}) then upper(trim(arg_min(label, span_no), ' ')) else 'OTHER' end as label from g group by doc_id),
+    added as ({catalogue._LOCATE.format("(select * from w where length(surface) >= 2)")})
+    select doc_id, span_id, start_pos, end_pos, label, src from z where src in ({", ".join(map(fr.q, judge.TRUSTED))}) or label not in ({", ".join(map(fr.q, judge.REVIEWED))})
+    union all select o.doc_id, o.span_id, o.start_pos, o.end_pos, o.label, o.src || '+adj' from o join u on u.doc_id = o.doc_id and u.t = o.t and u.label = o.label where u.c % 2 = 0
+    union all select doc_id, null, start_pos, end_pos, label, 're-llm-add' from added"""
+)
+def judged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded model spans after a judge whose replies are made up by a rule."""
+    documents = fr.docs(spark, sf_dir)
+    models = fr.spans(spark, sf_dir, documents).where("det <> 'rules'").withColumn("src", F.coalesce("src", F.lit("")))
+    replies = _replies(documents, models, fr.gold(spark, sf_dir, documents))
+    return judge.adjudicated(documents, models, replies).select("doc_id", "span_id", "start_pos", "end_pos", "label", "src")
+
+
+@query(
+    f"""with {fr.SQL_DOCS}, {fr.SQL_GOLD}, w as (select distinct doc_id, trim(surface, ' ') as surface, case when upper(trim(label, ' ')) in ({", ".join(map(fr.q, fixed.REPLY_LABELS))}) then upper(trim(label, ' ')) else 'OTHER' end as label from g where length(trim(surface, ' ')) >= 2)
+    {catalogue._LOCATE.format("w")}"""
+)
+def extracted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of recorded extraction replies, here made up from the annotation."""
+    documents = fr.docs(spark, sf_dir)
+    items = F.collect_list(F.struct(F.col("surface").alias("text"), "label"))
+    replies = fr.gold(spark, sf_dir, documents).groupBy("doc_id").agg(F.concat(F.lit("Sure. "), F.to_json(F.struct(items.alias("pii")))).alias("out"))
+    return judge.extracted(documents, replies).select("doc_id", "surface", "label", "start_pos", "end_pos")
+
+
+@query()
+def stack_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline over recorded detectors that vote two by two, with a judge's replies, masked."""
+    documents = fr.docs(spark, sf_dir)
+    recorded = fr.spans(spark, sf_dir, documents).where("det <> 'rules'")
+    models = recorded.withColumn("src", F.coalesce("src", F.lit("")))
+    replies = _replies(documents, models, fr.gold(spark, sf_dir, documents))
+    return pipeline.masked(pipeline.found(documents, recorded, policy.Config(vote_k=2), replies))
+
+
+@query()
+def partner_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second pass of a sweep: one tagger's spans with those of each detector that passes a gate, at their best thresholds."""
+    from cloakframe.plans import experiments as ex
+
+    documents = fr.docs(spark, sf_dir)
+    gold, spans = fr.gold(spark, sf_dir, documents), fr.spans(spark, sf_dir, documents)
+    partners = ex.gated(catalogue._sweep(spark, sf_dir), "devhard", 0.05)
+    return ex.union_sweep(documents, gold, spans, "tagger_l", partners)
 
 
 assert catalogue  # the queries above register themselves there
 
 
 @query(
-    "select cast(epoch(date_trunc('hour', seen_at)) as bigint) as since, label, count(*) as n_spans from candidate_spans where seen_at is not null and label is not null group by 1, 2"
+    "select cast(epoch(date_trunc('hour', seen_at)) as bigint) as since, label, count(*) as n_spans from candidate_spans where seen_at is not null group by 1, 2"
 )
 def label_counts_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming aggregate run over a table as one batch."""
     from cloakframe.streaming.masking import label_counts
 
-    return label_counts(fr.table(spark, sf_dir, "candidate_spans").where("label is not null")).withColumn("since", F.unix_timestamp("since"))
+    return label_counts(fr.table(spark, sf_dir, "candidate_spans")).withColumn("since", F.unix_timestamp("since"))
 
 
 @query(

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, field, fields, replace
 from itertools import product
 from pathlib import Path
+from time import perf_counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,16 @@ def run_stack(docs: DataFrame, gold: DataFrame, spans: DataFrame, stack: Stack,
     return pipeline.evaluate(docs, gold, pipeline.as_rows(found), stack.name), pipeline.masked(found)
 
 
+def timed_run(docs: DataFrame, gold: DataFrame, spans: DataFrame, stack: Stack, folder: str, replies: DataFrame | None = None) -> DataFrame:
+    """Runs a stack, writes its masked texts below ``folder`` and returns its scores with ``sec_per_doc``, the measured time over the documents."""
+    began = perf_counter()
+    scores, masked = run_stack(docs, gold, spans, stack, replies)
+    masked.write.mode("overwrite").parquet(f"{folder}/masked")
+    spent = perf_counter() - began
+    n = docs.sparkSession.read.parquet(f"{folder}/masked").count()
+    return scores.withColumn("sec_per_doc", F.lit(round(spent / max(1, n), 6)))
+
+
 def evaluate_all(docs: DataFrame, gold: DataFrame, spans: DataFrame, stacks: Iterable[Stack]) -> DataFrame:
     parts = [run_stack(docs, gold, spans, s)[0] for s in stacks]
     out = parts[0]
@@ -111,6 +122,16 @@ class Hosted:
             own = [r for r in own if r in cv_patterns or r.endswith("NerRecognizer")]
         return [*own, *self.models]
 
+    def windows(self, docs: DataFrame) -> DataFrame:
+        """The pieces that its models read: characters with an overlap of characters, or whole lines with an overlap of lines."""
+        return detectors.char_windows(docs, self.size, self.overlap) if self.chunker == "char" else detectors.line_windows(docs, self.size, self.overlap)
+
+    def results(self, found: DataFrame) -> DataFrame:
+        """Final spans of what the models and patterns found (with ``surface`` and ``before``): context words, the allow list, then one of each overlap."""
+        rows = detectors.in_context(found, self.context) if self.context else found
+        rows = detectors.allowed_out(rows, self.allowed) if self.allowed else rows
+        return detectors.merged_windows(rows)
+
     def as_dict(self) -> dict:
         return asdict(self)
 

@@ -49,6 +49,13 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any file system that Spark knows exists; a store that cannot be read raises."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` hash-partitioned by its keys into ``spark.sql.shuffle.partitions`` parts.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.operators import spans as sp
+from cloakframe.session import path_exists
 
 GOLD = "array<struct<start:int,end:int,label:string,required:boolean,text:string>>"
 RECORD = f"id string, lang string, layout string, title string, text string, gold {GOLD}"
@@ -15,24 +16,32 @@ SPEC = "id string, lang string, text string, gold array<array<string>>"
 CACHE = "spans map<string,array<struct<start:int,end:int,label:string,src:string,score:double>>>, seconds double, docs int"
 RUN = "ts string, `group` string, stack string, split string, params string, note string, token_recall double, token_precision double, f1 double, f2 double, entity_recall double, entities_leaked int, leak_docs int, docs int, fp_tokens int, fp_per_doc double, sec_per_doc double"
 JUDGE_ERROR = "id string, fn_leaks array<struct<label:string,text:string,visible:array<string>>>, fp_tokens array<string>"
-BANNER = r"(?m)^=+\n(CV-\d+) \| (.*)\n=+\n"
+BANNER_END = "=\nCV-"  # what ends a banner's upper rule and begins its title; the dump is split there
 
 
 def banner_dump(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, title, text`` of a dump whose documents stand below banners; each text ends in one newline."""
-    whole = spark.read.text(path, wholetext=True)
-    mark = "\x02"
-    parts = F.split(F.regexp_replace("value", BANNER, f"{mark}$1\x01$2\x01"), mark, -1)
-    rows = whole.select(F.posexplode(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).alias("n", "block"))
-    cells = F.split("block", "\x01", 3)
-    return rows.select(cells[0].alias("doc_id"), F.btrim(cells[1]).alias("title"), F.concat(F.regexp_replace(cells[2], r"\n+\z", ""), F.lit("\n")).alias("text"))
+    """``doc_id, title, text`` of a dump whose documents stand below banners; each text ends in one newline.
+
+    The dump is read by a separator, so a large one is split over many tasks.
+    """
+    blocks = spark.read.option("lineSep", BANNER_END).text(path)
+    part = lambda n: F.regexp_extract("value", r"(?s)\A(?:=*\nCV-)?(\d+) \| ([^\n]*)\n=+\n(.*)\z", n)
+    rows = blocks.where(part(1) != "").select(F.concat(F.lit("CV-"), part(1)).alias("doc_id"), F.btrim(part(2)).alias("title"), part(3).alias("body"))
+    own = F.regexp_replace(F.regexp_replace("body", r"(?:^|\n)=+\z", ""), r"\n+\z", "")
+    return rows.select("doc_id", "title", F.concat(own, F.lit("\n")).alias("text"))
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object for each line that is not blank, with the schema of a record."""
+    """One JSON object for each line that is not blank, with the schema of a record; ``malformed`` gives the lines that are none."""
     return spark.read.schema(RECORD).json(path).where("id is not null")
 
 
+def malformed(spark: SparkSession, path: str) -> DataFrame:
+    """``line`` of each line of a records file that is neither blank nor a JSON object with an ``id``."""
+    lines = spark.read.text(path).withColumnRenamed("value", "line").where("trim(line) <> ''")
+    return lines.where(F.get_json_object("line", "$.id").isNull())
+
+
 def gold_rows(recs: DataFrame) -> DataFrame:
     """The nested annotation as rows: ``doc_id, span_no, start_pos, end_pos, label, required, surface``."""
     each = recs.select(F.col("id").alias("doc_id"), F.posexplode("gold").alias("n", "g"))
@@ -85,20 +94,22 @@ def detector_cache(spark: SparkSession, path: str, detector: str, split: str) ->
 
 
 def cached_spans(spark: SparkSession, store: str, detector: str, split: str, docs: DataFrame, run) -> DataFrame:
-    """Read-through store of detector spans, partitioned by detector and split, keyed by a hash of each text.
+    """Read-through store of detector spans, a folder for each detector and split, keyed by a hash of each text.
 
-    Only documents whose text is not stored yet are run; their spans are appended.
+    Only documents whose text is not stored yet are run; their spans go into a
+    folder of their own, named by those texts, so a batch that is run again
+    overwrites itself. A store that exists but cannot be read raises.
     """
     folder = f"{store}/det={cache_name(detector, split)}"
     hashed = docs.select("doc_id", "text", F.md5("text").alias("text_md5"))
-    try:
-        known = spark.read.parquet(folder)
-    except Exception:  # no such folder yet
-        known = None
+    known = spark.read.option("recursiveFileLookup", "true").parquet(folder) if path_exists(spark, folder) else None
     todo = hashed if known is None else hashed.join(known.select("doc_id", "text_md5").distinct(), ["doc_id", "text_md5"], "left_anti")
-    found = todo.select("doc_id", "text_md5").join(run(todo.select("doc_id", "text")), "doc_id", "left")
-    found.write.mode("append").parquet(folder)
-    return spark.read.parquet(folder).join(hashed.select("doc_id", "text_md5"), ["doc_id", "text_md5"], "left_semi").where("start_pos is not null").drop("text_md5")
+    batch = todo.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("doc_id", "text_md5")), F.lit(0)).alias("h")).first()
+    if batch.n:
+        found = todo.select("doc_id", "text_md5").join(run(todo.select("doc_id", "text")), "doc_id", "left")
+        found.write.mode("overwrite").parquet(f"{folder}/batch-{batch.h & ((1 << 64) - 1):016x}")
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(folder)
+    return stored.join(hashed.select("doc_id", "text_md5"), ["doc_id", "text_md5"], "left_semi").where("start_pos is not null").drop("text_md5").distinct()
 
 
 def replies(spark: SparkSession, path: str) -> DataFrame:

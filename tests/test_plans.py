@@ -6,8 +6,9 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from cloakframe.operators import judge
+from cloakframe.operators import detectors, judge
 from cloakframe.plans import experiments as ex
+from cloakframe.plans import stacks
 from cloakframe.sources import readers, writers
 from cloakframe.streaming import masking
 
@@ -63,6 +64,76 @@ def test_reply_files_and_keys(spark, tmp_path):
     assert df.select(judge.reply_key("key", "system", "user", "n").alias("x")).first().x == hashlib.md5(json.dumps(["k", "s", "ü", 5]).encode()).hexdigest()
 
 
+def test_malformed_lines_are_shown(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": "d", "text": "x"}\n\n{"id": broken\n{"text": "no id"}\n')
+    assert [r.id for r in readers.records(spark, str(tmp_path / "a.jsonl")).collect()] == ["d"]
+    assert {r.line for r in readers.malformed(spark, str(tmp_path / "a.jsonl")).collect()} == {'{"id": broken', '{"text": "no id"}'}
+
+
+def test_store_of_replies_is_written_through(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def load():
+        def client(system, user, n):
+            import uuid
+
+            (log / uuid.uuid4().hex).write_text(user)
+            if "Bo" in user:
+                return "no json"
+            if "Cy" in user:
+                raise OSError("down")
+            return 'Sure {"pii": [{"text": "Ada", "label": "NAME"}]}'
+
+        return client
+
+    docs = spark.createDataFrame([("a", "Ada"), ("b", "Ada"), ("c", "Bo"), ("d", "Cy"), ("e", None)], "doc_id string, text string")
+    ask = lambda: {r.doc_id: r.out for r in judge.replied(judge.extraction_requests(docs), "m", load, str(tmp_path / "store")).collect()}
+    first = ask()
+    assert first["a"] == first["b"] and first["c"] == "no json" and first["d"] is None and "e" not in first
+    sent = sum("Ada" in f.read_text() for f in log.iterdir())
+    assert sent == 1 and ask()["a"] == first["a"] and sum("Ada" in f.read_text() for f in log.iterdir()) == 1 and sum("Bo" in f.read_text() for f in log.iterdir()) == 2
+    spans = spark.createDataFrame([("a", 1, 0, 3, "NAME", "ner", "Ada", "Ada")], "doc_id string, span_id long, start_pos int, end_pos int, label string, src string, surface string, line string")
+    asked = {r.doc_id: r.user for r in judge.judge_requests(docs, spans).collect()}
+    assert asked["a"].endswith("CANDIDATES:\n0. [NAME] Ada | Ada") and asked["c"].endswith("CANDIDATES:\nnone") and "<<<\nBo\n>>>" in asked["c"]
+
+
+def test_languages_of_documents(spark):
+    texts = {"ENGLISH": "the plan of the team was made for the office", "GERMAN": "die Leiterin hat mit den Kollegen und der Firma", "FINNISH": "hän on ollut ja se oli myös hyvä", "SWEDISH": "jag har och att det är inte"}
+    df = spark.createDataFrame([(k, t) for k, t in texts.items()] + [("none", ""), ("null", None)], "k string, text string")
+    assert {r.k: r.l for r in df.select("k", detectors.detect_lang(F.col("text")).alias("l")).collect()} == {**{k: k for k in texts}, "none": "ENGLISH", "null": "ENGLISH"}
+
+
+def test_adapters_and_hosted_results(spark):
+    rows = spark.createDataFrame([("d", 0, 3, "PERSON", 0.9), ("d", 4, 9, "CARDINAL", 0.9), ("d", 4, 9, "GPE", 0.2), ("d", 10, 12, "ORG", None)], "doc_id string, start_pos int, end_pos int, label string, score double")
+    assert {(r.start_pos, r.label, r.score) for r in detectors.adapted(rows, "tagger", "t", 0.5).collect()} == {(0, "NAME", 0.9), (10, "ORG", 1.0)}
+    assert {r.score for r in detectors.adapted(rows, "tagger", "t", score=0.85).collect()} == {0.85}
+    labels = spark.createDataFrame([("private_person",), ("firstname",), ("zipcode",), ("jobtitle",), ("weird",)], "label string")
+    assert [r.x for r in labels.select(detectors.detector_label("filter", F.col("label")).alias("x")).collect()] == ["NAME", "NAME", "ADDRESS", "OTHER", "OTHER"]
+    assert [r.x for r in labels.select(detectors.detector_label("engine", F.col("label")).alias("x")).collect()] == ["OTHER"] * 5
+    found = spark.createDataFrame([("d", 0, 9, "NAME", "m", 0.5, "Ada Byrne", "Name: "), ("d", 0, 3, "NAME", "m", 0.4, "Ada", ""), ("d", 0, 9, "NAME", "m", 0.7, "Ada Byrne", ""), ("d", 20, 26, "NAME", "m", 0.9, "Python", ""), ("d", 5, 9, "URL", "m", 0.1, "Byrn", "")], "doc_id string, start_pos int, end_pos int, label string, src string, score double, surface string, before string")
+    host = stacks.Hosted("h", ("m",), allowed=tuple(detectors.allow_list(["python"])), context=tuple(detectors.context_words()))
+    assert {(r.start_pos, r.end_pos, r.label, round(r.score, 2)) for r in host.results(found).collect()} == {(0, 9, "NAME", 0.85), (5, 9, "URL", 0.1)}
+    docs = spark.createDataFrame([("d", "word " * 30), ("e", "")], "doc_id string, text string")
+    pieces = host.windows(docs).collect()
+    assert [(r.start_pos, r.end_pos) for r in pieces] == [(0, 150)]
+    small = detectors.char_windows(docs, 22, 7).collect()
+    assert all(r.chunk.endswith(("word", "word ")) for r in small) and small[-1].end_pos == 150 and [r.start_pos for r in small][:3] == [0, 15, 30]
+
+
+def test_union_sweep_and_timed_runs(spark, tmp_path):
+    docs = spark.createDataFrame([("d", "devhard", "Ada met Bo")], "doc_id string, split string, text string")
+    gold = spark.createDataFrame([("d", 1, 0, 3, "NAME", True, "Ada"), ("d", 2, 8, 10, "NAME", True, "Bo")], "doc_id string, span_no int, start_pos int, end_pos int, label string, required boolean, surface string")
+    spans = spark.createDataFrame([("d", 1, 0, 3, "NAME", "a", 0.9, "a", "Ada"), ("d", 2, 8, 10, "NAME", "b", 0.8, "b", "Bo"), ("d", 3, 4, 7, "NAME", "c", 0.1, "c", "met")], "doc_id string, span_id long, start_pos int, end_pos int, label string, det string, score double, src string, surface string")
+    partners = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "det string, threshold double")
+    got = ex.union_sweep(docs, gold, spans, "a", partners).collect()
+    assert [(r.pair, r.req_hit, r.ents_leaked) for r in got] == [("b", 2, 0)]
+    timed = stacks.timed_run(docs, gold, spans, detectors.Stack("s", {"a": 0.5}), str(tmp_path)).first()
+    assert timed.sec_per_doc > 0 and timed.docs == 1
+    with pytest.raises(ValueError, match="judge"):
+        stacks.run_stack(docs, gold, spans, detectors.Stack("s", {"a": 0.5}, {}, {"mode": "full"}))
+
+
 def test_run_log_and_tables(spark, tmp_path):
     scores = spark.createDataFrame([(0.5, 3)], "f2 double, docs int")
     stack = {"name": "S1", "detectors": {"a": 0.4}, "cfg": {"vote_k": 2}}
