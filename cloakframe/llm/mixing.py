@@ -3,12 +3,14 @@
 Every document gets its size in tokens of a public tokenizer and a soft
 membership in the target domains: a classifier over the same tokens, fitted to
 a bounded sample of labelled documents, gives domain posteriors, which are
-combined with the document's own source label where it has one. Document rates
+combined with the document's own source label where it has one; how far labels
+are to be trusted is fitted to the held-out part of the sample. Document rates
 between zero and the cap are then fitted by projected gradient steps on the
 squared error of the expected token totals. A step needs only one sum for each
-domain from the documents; a document's rate follows from the past gradients,
-so nothing but those sums ever leaves the executors. Rates become whole repeats
-by a hashed threshold, shifted for each source to meet its token total.
+domain from the documents; rates are a column that is written anew every
+``STEPS_PER_CUT`` steps, so nothing but those sums ever leaves the executors.
+Rates become whole repeats by a hashed threshold, shifted for each source to
+meet its token total; the errors of fit and of rounding are reported.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from cloakframe.session import collect_bounded, cut
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SAMPLE_PER_SOURCE = 200  # labelled documents read to fit the classifier
 HELD_OUT = 5  # every fifth sampled document only tunes the classifier's sharpness
-LABEL_TRUST = 0.995  # probability that a source label is right
+SAMPLE_ROWS = 20_000  # of all sources together
+TRUSTS = (0.5, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999)  # tried for the probability that a source label is right
 MAX_STEPS = 40
+STEPS_PER_CUT = 8
 TOLERANCE = 1e-4
 BINS = 4096
 MAX_SOURCES = 1_000
@@ -40,13 +44,23 @@ def source_name(source: Column) -> Column:
 
 
 @lru_cache(2)
-def tokenizer(path: str):
-    """The byte-pair encoding whose ranks stand in the file, with the pattern that its folder's module names."""
-    import public_tokenizers
+def _encoding(pattern: str, ranks: bytes):
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+
+
+@lru_cache(2)
+def tokenizer_spec(path: str) -> tuple[str, bytes]:
+    """Pattern and ranks of a public byte-pair encoding, read on the driver and shipped with the job; the pattern is named by the folder's module."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN, Path(path).read_bytes()
+
+
+def tokenizer(path: str):
+    return _encoding(*tokenizer_spec(path))
 
 
 def token_ids(path: str, text: str | None) -> np.ndarray:
@@ -58,6 +72,15 @@ class Domains:
 
     def __init__(self, names: list[str], weights: np.ndarray, prior: np.ndarray, sharpness: float, accuracy: float):
         self.names, self.weights, self.prior, self.sharpness, self.accuracy = names, weights, prior, sharpness, accuracy
+        self.trust = 0.9
+
+    def labelled(self, p: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Memberships given posteriors and labels (-1 for none), a label being right with probability ``trust``."""
+        given = np.full(p.shape, (1 - self.trust) / max(1, p.shape[1] - 1))
+        given[np.arange(len(p)), np.maximum(label, 0)] = self.trust
+        given[label < 0] = 1.0
+        q = (p + 1e-6) * given
+        return q / q.sum(1, keepdims=True)
 
     def posteriors(self, scores: np.ndarray) -> np.ndarray:
         z = self.sharpness * scores + self.prior
@@ -84,13 +107,15 @@ def fit_domains(names: list[str], rows: list[tuple[str, str]], path: str) -> Dom
     n = np.bincount([k for k, _ in fit], minlength=len(names)) + 1.0
     best = Domains(names, weights, np.log(n / n.sum()), 1.0, float("nan"))
     if held:
+        # Sharpness and trust together: wrong labels do not blunt the posteriors, they lower the trust.
         scores, truth = best.scores([x for _, x in held]), np.array([k for k, _ in held])
-        loss = []
-        for sharpness in (1.0, 0.5, 0.2, 0.1, 0.05, 0.02, 0.01, 0.005, 0.0):
-            best.sharpness = sharpness
+        tried = []
+        for best.sharpness in (1.0, 0.5, 0.2, 0.1, 0.05, 0.02, 0.01, 0.005, 0.0):
             p = best.posteriors(scores)
-            loss.append((-np.log(p[np.arange(len(truth)), truth] + 1e-12).mean(), sharpness, float((p.argmax(1) == truth).mean())))
-        _, best.sharpness, best.accuracy = min(loss)
+            own = p[np.arange(len(truth)), truth]
+            other = (1 - own) / max(1, len(names) - 1)
+            tried += [(float(np.log(t * own + (1 - t) * other + 1e-12).mean()), t, best.sharpness, float((p.argmax(1) == truth).mean())) for t in TRUSTS]
+        _, best.trust, best.sharpness, best.accuracy = max(tried)
     return best
 
 
@@ -101,96 +126,111 @@ def labelled_sample(documents: DataFrame, names: list[str], per_source: int) ->
     return [(r.source, r.text) for r in sorted(taken, key=lambda r: r.doc_id)]
 
 
-def memberships(documents: DataFrame, names: list[str], path: str = TOKENIZER, per_source: int = SAMPLE_PER_SOURCE, trust: float = LABEL_TRUST) -> DataFrame:
-    """``doc_id, source, tokens, posterior, membership`` of each document.
+def memberships(documents: DataFrame, names: list[str], path: str = TOKENIZER, per_source: int = SAMPLE_PER_SOURCE) -> DataFrame:
+    """``doc_id, source, tokens, posterior, membership, key, rate`` of each document; ids keep their type.
 
     ``posterior`` is the classifier's, from the text alone; ``membership`` adds
-    the evidence of the document's own label, right with probability ``trust``.
-    Null and empty texts have no tokens.
+    the evidence of the document's own label, right with the fitted probability.
+    Null and empty texts have no tokens. ``key`` is a hash of the id, ``rate`` 0.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_name(F.col("source").cast("string")).alias("source"), F.col("text").cast("string").alias("text"))
-    domains = fit_domains(names, labelled_sample(docs, names, per_source), path)
-    schema = "doc_id long, source string, tokens int, posterior array<float>, membership array<float>"
+    docs = documents.select("doc_id", source_name(F.col("source").cast("string")).alias("source"), F.col("text").cast("string").alias("text"))
+    domains = fit_domains(names, labelled_sample(docs, names, max(1, min(per_source, SAMPLE_ROWS // len(names)))), path)
+    shipped = documents.sparkSession.sparkContext.broadcast((tokenizer_spec(path), domains))  # a row of weights for each token of the vocabulary
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, tokens int, posterior array<float>, membership array<float>, key long, rate double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (pattern, ranks), own = shipped.value
+        encode = _encoding(pattern, ranks).encode_ordinary
         place = {s: k for k, s in enumerate(names)}
         for batch in batches:
             sizes, scores = [], np.zeros((batch.num_rows, len(names)), np.float32)
             for k, t in enumerate(batch.column(2).to_pylist()):
-                ids = token_ids(path, t)
+                ids = np.array(encode(t), np.int32) if t else ()
                 sizes.append(len(ids))
                 if len(ids):
-                    scores[k] = domains.weights[ids].sum(0)
-            p = domains.posteriors(scores)
-            own = p.copy()
-            for k, s in enumerate(batch.column(1).to_pylist()):
-                if s in place:
-                    own[k] *= (1 - trust) / max(1, len(names) - 1)
-                    own[k, place[s]] = trust * p[k, place[s]]
-                    own[k] = own[k] / own[k].sum() if p[k, place[s]] > 1e-6 else np.eye(len(names))[place[s]]
+                    scores[k] = own.weights[ids].sum(0)
+            p = own.posteriors(scores)
+            q = own.labelled(p, np.array([place.get(s, -1) for s in batch.column(1).to_pylist()], np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(list(p.astype(np.float32)), pa.list_(pa.float32())), pa.array(list(own.astype(np.float32)), pa.list_(pa.float32()))],
-                ["doc_id", "source", "tokens", "posterior", "membership"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(list(p.astype(np.float32)), pa.list_(pa.float32())), pa.array(list(q.astype(np.float32)), pa.list_(pa.float32())), batch.column(3), pa.array(np.zeros(batch.num_rows))],
+                ["doc_id", "source", "tokens", "posterior", "membership", "key", "rate"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("doc_id", "source", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("key")).mapInArrow(run, schema)
 
 
 class Plan:
-    """Names, targets and caps of the domains, the past gradients, and each source's threshold shift."""
+    """Names, targets and caps of the domains, the gradients since the rates were last written, and each source's threshold shift.
+
+    ``error`` is the largest distance of an expected total from its target over
+    the whole, ``n_steps`` the steps taken, ``rounding`` each source's distance
+    of the used tokens from the target over that target.
+    """
 
     def __init__(self, names: list[str], share: np.ndarray, cap: np.ndarray):
         self.names, self.share, self.cap = names, share, cap
-        self.start = np.zeros(len(names))
         self.steps: list[np.ndarray] = []
+        self.n_steps, self.error = 0, 0.0
         self.total = 0.0
         self.size = np.zeros(len(names))
         self.shift = np.zeros(len(names))
+        self.rounding = np.zeros(len(names))
 
-    def rates(self, q: np.ndarray, source: np.ndarray) -> np.ndarray:
-        """Rates after all steps so far; a document's cap is its source's, or its expected one."""
+    def rates(self, r: np.ndarray, q: np.ndarray, source: np.ndarray) -> np.ndarray:
+        """Written rates after the steps since; a document's cap is its source's, or its expected one."""
         cap = np.where(source >= 0, self.cap[np.maximum(source, 0)], np.floor(q @ self.cap))
-        r = np.clip(q @ self.start, 0, cap)
         for g in self.steps:
             r = np.clip(r - q @ g, 0, cap)
         return r
 
 
-def _columns(batch: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+COLUMNS = ("key", "source", "tokens", "membership", "rate")
+
+
+def _columns(batch: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, ...]:
+    """Keys, sources by number, tokens, memberships and written rates of a batch with ``COLUMNS`` first."""
     place = {s: k for k, s in enumerate(names)}
     q = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(names)).astype(float)
     source = np.array([place.get(s, -1) for s in batch.column(1).to_pylist()], np.int64)
-    return batch.column(0).to_numpy(zero_copy_only=False), source, batch.column(2).to_numpy(zero_copy_only=False).astype(float), q
+    return batch.column(0).to_numpy(zero_copy_only=False), source, batch.column(2).to_numpy(zero_copy_only=False).astype(float), q, batch.column(4).to_numpy(zero_copy_only=False)
 
 
 def unit_hash(ids: np.ndarray) -> np.ndarray:
-    x = ids.astype(np.uint64)
+    x = ids.astype(np.int64).view(np.uint64)
     with np.errstate(over="ignore"):
         for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
             x = (x ^ (x >> np.uint64(30))) * np.uint64(m)
     return (x >> np.uint64(11)).astype(float) / float(1 << 53)
 
 
-def fit_plan(members: DataFrame, names: list[str], share: np.ndarray, cap: np.ndarray, total: float | None = None) -> Plan:
-    """Projected gradient steps, preconditioned by each domain's size, until every total is within ``TOLERANCE``."""
+def fit_plan(members: DataFrame, names: list[str], share: np.ndarray, cap: np.ndarray, total: float | None = None) -> tuple[Plan, DataFrame]:
+    """Projected gradient steps, preconditioned by each domain's size, until every total is within ``TOLERANCE``; with the members and their written rates."""
     plan = Plan(names, share, cap)
-    table = members.select("doc_id", "source", "tokens", "membership").where("tokens > 0")
     k = len(names)
+    rest = ["doc_id", "posterior"]
+
+    def rows() -> DataFrame:
+        return members.select(*COLUMNS).where("tokens > 0")
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, source, _, q, r = _columns(batch, names)
+            yield batch.set_column(4, "rate", pa.array(plan.rates(r, q, source)))
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size, most, own = np.zeros(k), np.zeros(k), np.zeros(k), np.zeros(k)
         for batch in batches:
-            _, source, t, q = _columns(batch, names)
+            _, source, t, q, r = _columns(batch, names)
             own += np.bincount(np.where(source >= 0, source, q.argmax(1)), t, k)
-            out += (plan.rates(q, source) * t) @ q
+            out += (plan.rates(r, q, source) * t) @ q
             size += t @ q
             most += (np.where(source >= 0, plan.cap[np.maximum(source, 0)], np.floor(q @ plan.cap)) * t) @ q
         yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(out), pa.array(size), pa.array(most), pa.array(own)], ["k", "used", "size", "most", "own"])
 
     def summed() -> np.ndarray:
-        rows = table.mapInArrow(totals, "k int, used double, size double, most double, own double").groupBy("k").agg(*(F.sum(c).alias(c) for c in ("used", "size", "most", "own"))).collect()
+        found = rows().mapInArrow(totals, "k int, used double, size double, most double, own double").groupBy("k").agg(*(F.sum(c).alias(c) for c in ("used", "size", "most", "own"))).collect()
         out = np.zeros((4, k))
-        for r in rows:
+        for r in found:
             out[:, r.k] = r.used, r["size"], r.most, r.own
         return out
 
@@ -198,14 +238,20 @@ def fit_plan(members: DataFrame, names: list[str], share: np.ndarray, cap: np.nd
     there = (own > 0) & (share > 0) & (cap > 0)
     plan.share = np.where(there, share, 0) / max(share[there].sum(), 1e-12)
     if not there.any():
-        return plan
+        return plan, members
+    most = np.minimum(most, own * cap)  # whole repeats are met by each source's own documents
     plan.total = min(float((most[there] / plan.share[there]).min()), total or np.inf)
     want = plan.total * plan.share
-    plan.start = np.where(there, want / np.maximum(plan.size, 1e-9), 0)
+    plan.steps.append(-np.where(there, want / np.maximum(plan.size, 1e-9), 0))
     last = np.inf
-    for _ in range(MAX_STEPS):
+    for plan.n_steps in range(1, MAX_STEPS + 1):
+        if len(plan.steps) > STEPS_PER_CUT:
+            kind = members.select(*COLUMNS, *rest).schema
+            members = cut(members.select(*COLUMNS, *rest).mapInArrow(written, kind))
+            plan.steps = []
         used = summed()[0]
         error = float(np.abs(used - want).max())
+        plan.error = error / plan.total
         if error <= TOLERANCE * plan.total:
             break
         if error > 0.7 * last:  # a source is at its caps: the total that the others' memberships promised it is out of reach
@@ -217,8 +263,8 @@ def fit_plan(members: DataFrame, names: list[str], share: np.ndarray, cap: np.nd
     def flips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, at = np.zeros(k), np.zeros((k, BINS))
         for batch in batches:
-            ids, source, t, q = _columns(batch, names)
-            r = plan.rates(q, source)
+            ids, source, t, q, r = _columns(batch, names)
+            r = plan.rates(r, q, source)
             of = np.where(source >= 0, source, q.argmax(1))
             part = r - np.floor(r)
             np.add.at(base, of, np.floor(r) * t)
@@ -227,15 +273,17 @@ def fit_plan(members: DataFrame, names: list[str], share: np.ndarray, cap: np.nd
         of, slot = np.nonzero(whole)
         yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(slot, pa.int32()), pa.array(whole[of, slot])], ["k", "slot", "t"])
 
-    rows = table.mapInArrow(flips, "k int, slot int, t double").groupBy("k", "slot").agg(F.sum("t").alias("t")).collect()
+    found = rows().mapInArrow(flips, "k int, slot int, t double").groupBy("k", "slot").agg(F.sum("t").alias("t")).collect()
     whole = np.zeros((k, BINS + 1))
-    for r in rows:  # at most (sources) x (BINS + 1)
+    for r in found:  # at most (sources) x (BINS + 1)
         whole[r.k, r.slot] = r.t
     for s in range(k):
         if plan.share[s] > 0:
             got = np.cumsum(whole[s])
-            plan.shift[s] = np.abs(got - want[s]).argmin() * 2 / BINS - 1
-    return plan
+            at = int(np.abs(got - want[s]).argmin())
+            plan.shift[s] = at * 2 / BINS - 1
+            plan.rounding[s] = abs(got[at] - want[s]) / want[s]
+    return plan, members
 
 
 def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, total: float | None = None) -> tuple[DataFrame, Plan]:
@@ -255,27 +303,28 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, total:
     held.sort(key=lambda r: r.source)
     names = [r.source for r in held]
     if not names:
-        none = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_name(F.col("source").cast("string")).alias("source"), F.lit(0).alias("tokens"), F.lit(0.0).alias("rate"), F.lit(0).alias("repeats"), F.expr("cast(array() as array<float>)").alias("posterior"))
+        none = documents.select("doc_id", source_name(F.col("source").cast("string")).alias("source"), F.lit(0).alias("tokens"), F.lit(0.0).alias("rate"), F.lit(0).alias("repeats"), F.expr("cast(array() as array<float>)").alias("posterior"))
         return none, Plan([], np.zeros(0), np.zeros(0))
     members = cut(memberships(documents, names, path))
-    plan = fit_plan(members, names, np.array([r.share for r in held]), np.array([r.cap for r in held], float), total)
+    plan, members = fit_plan(members, names, np.array([r.share for r in held]), np.array([r.cap for r in held], float), total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, source, t, q = _columns(batch, names)
-            r = np.where(t > 0, plan.rates(q, source), 0.0)
+            ids, source, t, q, r = _columns(batch, names)
+            r = np.where(t > 0, plan.rates(r, q, source), 0.0)
             of = np.where(source >= 0, source, q.argmax(1))
             whole, part = np.floor(r), r - np.floor(r)
             slot = np.minimum((np.maximum(unit_hash(ids) - part + 1, 0) / 2 * BINS).astype(int), BINS - 1)
             repeats = (whole + ((part > 0) & (slot < np.round((plan.shift[of] + 1) / 2 * BINS)))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(r), pa.array(repeats), batch.column(4)], ["doc_id", "source", "tokens", "rate", "repeats", "posterior"])
+            yield pa.RecordBatch.from_arrays([batch.column(5), batch.column(1), batch.column(2), pa.array(r), pa.array(repeats), batch.column(6)], ["doc_id", "source", "tokens", "rate", "repeats", "posterior"])
 
-    chosen = members.select("doc_id", "source", "tokens", "membership", "posterior").mapInArrow(run, "doc_id long, source string, tokens int, rate double, repeats int, posterior array<float>")
+    chosen = members.select(*COLUMNS, "doc_id", "posterior").mapInArrow(run, f"doc_id {members.schema['doc_id'].dataType.simpleString()}, source string, tokens int, rate double, repeats int, posterior array<float>")
     return chosen, plan
 
 
 def reached_shares(chosen: DataFrame, plan: Plan) -> DataFrame:
-    """For each target source: wanted and reached share, documents and tokens there and used, and the most repeats."""
+    """For each target source: wanted and reached share, documents and tokens there and used, the most repeats, and the errors of fit and rounding."""
+    rounding = F.create_map(*[F.lit(x) for p in zip(plan.names, map(float, plan.rounding)) for x in p]) if plan.names else F.expr("cast(map() as map<string,double>)")
     known = F.create_map(*[F.lit(x) for p in zip(plan.names, map(float, plan.share)) for x in p]) if plan.names else F.expr("cast(map() as map<string,double>)")
     used = chosen.groupBy("source").agg(
         F.count("*").alias("n_documents"),
@@ -287,5 +336,5 @@ def reached_shares(chosen: DataFrame, plan: Plan) -> DataFrame:
     whole = used.withColumn("total", F.sum("used_tokens").over(Window.partitionBy(F.lit(0))))  # a row for each source
     return whole.select(
         "source", F.element_at(known, F.col("source")).alias("target_share"), F.try_divide("used_tokens", "total").alias("reached_share"),
-        "n_documents", "n_used", "tokens", "used_tokens", "most_repeats",
+        "n_documents", "n_used", "tokens", "used_tokens", "most_repeats", F.lit(plan.error).alias("fit_error"), F.element_at(rounding, F.col("source")).alias("rounding_error"),
     )

@@ -491,6 +491,34 @@ def test_shares_and_caps(spark):
     assert posterior[9003][names.index("b")] > 0.9 and posterior[9004][names.index("a")] > 0.9
 
 
+def test_rates_written_every_few_steps_are_the_same(spark, monkeypatch):
+    rng = random.Random(11)
+    words = {"a": "apple cake cake cake cake cake cake", "b": "bolt cake cake cake cake cake cake"}
+    docs = [(f"d{n}", " ".join(rng.choice(words[s].split()) for _ in range(rng.randrange(3, 40))), s if n % 3 else None) for n, s in enumerate(rng.choices("aab", k=400))]
+    df = frame(spark, docs, "doc_id string, text string, source string")
+    targets = frame(spark, [("a", 0.35, 2), ("b", 0.65, 3)], "source string, target_share double, max_repeats int")
+    rates = []
+    for every in (2, 100):
+        monkeypatch.setattr(mixing, "STEPS_PER_CUT", every)
+        chosen, plan = mixing.mix(df, targets)
+        assert plan.error <= mixing.TOLERANCE and plan.n_steps > 3 and plan.rounding.max() < 0.02
+        rates.append({r.doc_id: (round(r.rate, 6), r.repeats) for r in chosen.collect()})
+        report = {r.source: r for r in mixing.reached_shares(chosen, plan).collect()}
+        assert report["a"].fit_error <= mixing.TOLERANCE and report["b"].rounding_error < 0.02
+    assert rates[0] == rates[1] and len(rates[0]) == 400
+
+
+def test_trust_follows_the_held_out_labels():
+    rng = random.Random(12)
+    text = {"a": "apple pear plum", "b": "bolt nut screw"}
+    rows = [(s, " ".join(rng.choice(text[s].split()) for _ in range(60))) for s in rng.choices("ab", k=300)]
+    wrong = [("ba"["ab".index(s)] if rng.random() < 0.2 else s, t) for s, t in rows]
+    good, bad = (mixing.fit_domains(["a", "b"], x, mixing.TOKENIZER) for x in (rows, wrong))
+    assert good.trust > 0.99 and 0.6 < bad.trust < 0.95
+    q = bad.labelled(np.array([[0.5, 0.5], [1.0, 0.0]]), np.array([1, -1]))
+    assert abs(q[0, 1] - bad.trust) < 1e-9 and q[1, 0] > 0.99
+
+
 def test_mixing_without_targets_or_documents(spark):
     df = frame(spark, [(1, "x", "a")], "doc_id long, text string, source string")
     targets = frame(spark, [("a", 0.5, 1)], "source string, target_share double, max_repeats int")
