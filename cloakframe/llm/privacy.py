@@ -18,6 +18,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import count
 
 import pyarrow as pa
@@ -35,6 +36,22 @@ _LOCAL = r"(?<![\w.+\-])[\w](?:[\w.+\-]*[\w])?"
 _HOST = r"[\w\-]+(?:\.[\w\-]+)+|[\w\-]+\.\s{1,3}(?i:example|test|com|org|net|[a-z]{2})\b|[\w\-]+(?:\s{0,3}[\[({]\s?(?i:dot|punkt|punto|point)\s?[\])}]\s{0,3}[\w\-]+)+|[\w\-]+(?:\s{1,3}(?i:dot)\s{1,3}[\w\-]+)+"
 EMAIL = re.compile(rf"{_LOCAL}(?:\s{{0,3}}@\s{{0,3}}(?:{_HOST})|\s{{0,3}}[\[({{]\s?(?i:at|ät|arroba)\s?[\])}}]\s{{0,3}}(?:{_HOST})|\s{{1,3}}(?i:at)\s{{1,3}}[\w\-]+(?:\s{{1,3}}(?i:dot)\s{{1,3}}[\w\-]+)+)")
 
+_MAIL_SIGN = re.compile(r"\s{0,3}(?:@|[\[({]\s?(?i:at|ät|arroba)\s?[\])}]|(?<=\s)(?i:at)(?=\s{1,3}[\w\-]+\s{1,3}(?i:dot)\s))")
+_MAIL_LETTERS = frozenset(".+-_")
+
+
+def emails(text: str) -> Iterator[re.Match]:
+    """Matches of ``EMAIL``, tried only at the words before its signs."""
+    last = 0
+    for sign in _MAIL_SIGN.finditer(text):
+        a = sign.start()
+        while a > last and (text[a - 1].isalnum() or text[a - 1] in _MAIL_LETTERS):
+            a -= 1
+        if a < sign.start() and (m := EMAIL.match(text, a)):
+            last = m.end()
+            yield m
+
+
 # --- phone numbers
 _EXT = r"(?:\s{0,3}(?:ext|Ext|EXT|x|Durchwahl|poste|int|wew)\.?\s{0,3}\d{1,5}\b)?"
 _GAP = r"(?:[ \t]{1,2}|[.\-/])?"
@@ -54,6 +71,26 @@ KEYED_ID = re.compile(
     rf"(?i:\b(?:{'|'.join(ID_STEMS)})[^\W\d_]*)(?:[ \t]+[^\W\d_]+){{0,3}}[ \t.:#]*?(?:(?i:no|nr|n|nro|number)\.?)?[ \t]*:?[ \t]*((?<![\w\-/])(?:{_STRONG_ID}|{_WEAK_ID})(?![\w\-/]))"
 )
 
+_ID_VALUE = re.compile(rf"(?<![\w\-/])(?:{_STRONG_ID}|{_WEAK_ID})(?![\w\-/])")
+_KEY_WORDS = 8  # words before a value among which its keyword must begin: itself, three more, a word for number, and signs
+
+
+def keyed_ids(text: str) -> Iterator[tuple[int, int]]:
+    """Values of ``KEYED_ID``, its keyword looked for only before what has the form of a value."""
+    last = 0
+    for value in _ID_VALUE.finditer(text):
+        a = value.start()
+        for _ in range(_KEY_WORDS):
+            while a > last and text[a - 1].isspace():
+                a -= 1
+            while a > last and not text[a - 1].isspace():
+                a -= 1
+        for m in KEYED_ID.finditer(text, a, min(len(text), value.end() + 40)):
+            if m.start(1) >= last and m.start(1) <= value.start():
+                yield m.span(1)
+                last = m.end()
+
+
 # --- street addresses
 _STREET = rf"[{_UP}][{_LOW}]+(?:[-'’ ][{_UP}][{_LOW}]+)?"
 _NO = r"\d{1,4}(?:[a-z]\b)?"
@@ -94,9 +131,27 @@ ADDRESS = tuple(
 )
 
 
+_COMPOUND = ("straße", "strasse", "gasse", "platz", "allee", "weg", "ufer", "ring", "laan", "kade", "steeg", "straat", "plein", "gracht", "katu", "kuja", "polku", "tie", "gatan", "vägen", "gränd", "backen", "stigen")
+_BEFORE_NUMBER = re.compile(rf"(?<=[^\W\d_]){_SP}(?=\d)")
+
+
+def compound_streets(text: str, shape: re.Pattern) -> Iterator[re.Match]:
+    """Matches of a shape whose street names end in one of ``_COMPOUND``, tried only around such a word before a number."""
+    last = 0
+    for m in _BEFORE_NUMBER.finditer(text):
+        a = m.start()
+        while a > last and text[a - 1].isalpha():
+            a -= 1
+        if text[a : m.start()].lower().endswith(_COMPOUND):
+            for found in shape.finditer(text, max(last, a - 12), min(len(text), m.end() + 80)):
+                if found.end() > m.end() and found.start() < m.start():
+                    last = found.end()
+                    yield found
+
+
 def addresses(text: str, low: str) -> list[tuple[int, int]]:
     """Spans of street addresses, leftmost first, without overlap; ``low`` is the text in lower case with single spaces."""
-    found = sorted(m.span() for words, shape in ADDRESS if any(w in low for w in words) for m in shape.finditer(text))
+    found = sorted(m.span() for words, shape in ADDRESS if any(w in low for w in words) for m in (compound_streets(text, shape) if words[0] == _COMPOUND[0] else shape.finditer(text)))
     out: list[tuple[int, int]] = []
     for a, b in found:
         if not out or a >= out[-1][1]:
@@ -136,10 +191,23 @@ def _spaces(pattern: str) -> str:
     return pattern.replace(" ", r"\s{1,3}")
 
 
-_INTRO = re.compile(rf"(?:(?i:{_spaces(INTRODUCTION)})[ \t  ]{{1,3}}{_TITLE}({NAME}|{FULL})|(?<!\w)(?i:{_spaces(BEING)})[ \t  ]{{1,3}}{_TITLE}({FULL}))")
+_INTRO_FORMS = tuple((x.lower(), x) for x in INTRODUCTION.split("|"))
+_BEING_FORMS = tuple((x.lower(), x) for x in BEING.split("|"))
+
+
+@lru_cache(4096)
+def _introductions(named: tuple[str, ...], being: tuple[str, ...]) -> re.Pattern:
+    """The pattern of introductions by the phrases that a text holds."""
+    forms = []
+    if named:
+        forms.append(rf"(?i:{_spaces('|'.join(named))})[ \t  ]{{1,3}}{_TITLE}({NAME}|{FULL})")
+    if being:
+        forms.append(rf"(?<!\w)(?i:{_spaces('|'.join(being))})[ \t  ]{{1,3}}{_TITLE}({FULL})")
+    return re.compile("|".join(forms))
+
+
 _SUPERIOR = re.compile(rf"(?i:{_spaces(SUPERIOR)})[ \t  ]{{1,3}}{_TITLE}({FULL}|{NAME})")
 _AFTER = re.compile(rf"(?:^|(?<=[.!?]\s)|(?<=[•*\-]\s)){_TITLE}({FULL}|{NAME})[ \t  ]{{1,3}}(?i:{_spaces(LOOKED_AFTER)})", re.M)
-_INTRO_CUES = tuple(x.lower() for x in f"{INTRODUCTION}|{BEING}".split("|"))
 _SUPERIOR_CUES = tuple(x.lower() for x in SUPERIOR.split("|"))
 _AFTER_CUES = tuple(x.lower() for x in LOOKED_AFTER.split("|"))
 _REFEREE = re.compile(rf"^[ \t]*(?:[•*\-–][ \t]+)?{_TITLE}({FULL}|{NAME}),[ \t  ]{{1,3}}(?=[^\n]{{0,60}}?(?:(?<!\w)(?i:{COMPANY})(?!\w)))", re.M)
@@ -190,8 +258,11 @@ def find_names(text: str, taken: list[tuple[int, int, str]], low: str) -> list[t
         if b > a and free(a, b) and not any(a < y and x < b for x, y in out):
             out.append((a, b))
 
-    for cues, pattern in ((_INTRO_CUES, _INTRO), (_SUPERIOR_CUES, _SUPERIOR), (_AFTER_CUES, _AFTER)):
-        for m in pattern.finditer(text) if any(c in low for c in cues) else ():
+    named, being = (tuple(x for c, x in forms if c in low) for forms in (_INTRO_FORMS, _BEING_FORMS))
+    tried = [_introductions(named, being)] if named or being else []
+    tried += [pattern for cues, pattern in ((_SUPERIOR_CUES, _SUPERIOR), (_AFTER_CUES, _AFTER)) if any(c in low for c in cues)]
+    for pattern in tried:
+        for m in pattern.finditer(text):
             k = next(k for k in range(1, len(m.groups()) + 1) if m[k])
             add(m.start(k), m.end(k))
     lines, at = [], 0
@@ -261,12 +332,11 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
         return []
     plain, where = folded(text)
     spans: list[tuple[int, int, str]] = []
-    for m in EMAIL.finditer(plain):
+    for m in emails(plain):
         spans.append((*m.span(), "EMAIL"))
-    for m in KEYED_ID.finditer(plain):
-        value = m[1]
-        if not _overlaps(m.start(1), m.end(1), spans) and not re.fullmatch(r"0\d{9}", value):
-            spans.append((m.start(1), m.end(1), "ID"))
+    for a, b in keyed_ids(plain):
+        if not _overlaps(a, b, spans) and not re.fullmatch(r"0\d{9}", plain[a:b]):
+            spans.append((a, b, "ID"))
     for m in STRONG_ID.finditer(plain):
         if not _overlaps(*m.span(), spans):
             spans.append((*m.span(), "ID"))
