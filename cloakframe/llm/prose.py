@@ -14,24 +14,37 @@ _MARKUP = re.compile(r"<[^<>\n]{1,80}>|&[a-z]{2,6};|\*\*|__|^#+\s", re.M)
 _SPACES = re.compile(r"\S")
 
 
+_TOUCHED = re.compile(rf"{_ODD.pattern}|[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
+_KEPT = frozenset("'’‘ʼ")
+
+
 def folded(text: str) -> tuple[str, list[int] | None]:
     """The text with look-alikes made plain; and, where its length changed, each character's old position."""
     if text.isascii() or not _ODD.search(text):
         return text, None
     table = folding_table()
-    keep = {39, 8217, 8216, 700}
-    out, where = [], []
-    for at, c in enumerate(text):
-        plain = c if ord(c) in keep else table.get(ord(c), c)
-        if plain:
+    out: list[str] = []
+    where: list[int] = []
+    last = 0
+    for m in _TOUCHED.finditer(text):
+        for at in range(*m.span()):
+            c = text[at]
+            plain = c if c in _KEPT else table.get(ord(c), c)
+            if at > last:
+                out.append(text[last:at])
+                where += range(last, at)
+            last = at + 1
+            if not plain:
+                continue
             if out and unicodedata.combining(plain[0]):
-                joined = unicodedata.normalize("NFC", out[-1] + plain)
-                if len(joined) == len(out[-1]):
-                    out[-1] = joined
+                joined = unicodedata.normalize("NFC", out[-1][-1] + plain)
+                if len(joined) == 1:
+                    out[-1] = out[-1][:-1] + joined
                     continue
             out.append(plain)
             where += [at] * len(plain)
-    where.append(len(text))
+    out.append(text[last:])
+    where += range(last, len(text) + 1)
     return "".join(out), where
 
 
