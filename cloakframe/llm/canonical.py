@@ -21,8 +21,8 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def canonical_sql(relation: str = "batch") -> str:
-    """The statement that adds ``canonical`` and ``changed`` to ``k, n, t``; plain texts pass by a single test."""
+def canonical_sql(relation: str = "batch", test_first: bool = True) -> str:
+    """The statement that adds ``canonical`` and ``changed`` to ``k, n, t``; plain texts pass by a single test unless ``test_first`` is off."""
     forms = compatibility_forms()
     single = {a: b for a, b in forms.items() if len(b) == 1}
     several = {a: b for a, b in forms.items() if len(b) > 1}
@@ -37,7 +37,7 @@ def canonical_sql(relation: str = "batch") -> str:
     )
     swap = f"list_reduce(list_prepend(joined, list_sort({mixed}, 'DESC')), lambda a, w: replace(a, w, translate(w, {quoted(alike)}, {quoted(''.join(LOOKALIKE.values()))})))"
     return f"""
-        with odd as (select k, n, t, t is not null and regexp_matches(t, '[^\\x00-\\x7f\\x{{a1}}-\\x{{ac}}\\x{{ae}}-\\x{{17f}}\\x{{2010}}-\\x{{2016}}\\x{{2018}}-\\x{{201f}}\\x{{2022}}\\x{{2026}}\\x{{20ac}}]') as special from {relation}),
+        with odd as (select k, n, t, t is not null and {"regexp_matches" if test_first else "(true or regexp_matches"}(t, '[^\\x00-\\x7f\\x{{a1}}-\\x{{ac}}\\x{{ae}}-\\x{{17f}}\\x{{2010}}-\\x{{2016}}\\x{{2018}}-\\x{{201f}}\\x{{2022}}\\x{{2026}}\\x{{20ac}}]'){"" if test_first else ")"} as special from {relation}),
         stripped as (select *, case when special then regexp_replace(t, '[{INVISIBLE}]', '', 'g') else t end as bare from odd),
         mapped as (select *, case when special then nfc_normalize({plain}) else t end as joined from stripped),
         swapped as (select *, case when special then nfc_normalize({swap}) else t end as canonical from mapped)

@@ -338,3 +338,14 @@ def reached_shares(chosen: DataFrame, plan: Plan) -> DataFrame:
         "source", F.element_at(known, F.col("source")).alias("target_share"), F.try_divide("used_tokens", "total").alias("reached_share"),
         "n_documents", "n_used", "tokens", "used_tokens", "most_repeats", F.lit(plan.error).alias("fit_error"), F.element_at(rounding, F.col("source")).alias("rounding_error"),
     )
+
+
+def mix_checks(chosen: DataFrame, plan: Plan, shares_within: float = 0.005) -> DataFrame:
+    """``test, n_violations``: repeats never above the source's cap, rates nonnegative, empty texts unused, and reached shares within ``shares_within`` of the targets."""
+    cap = F.create_map(*[F.lit(x) for p in zip(plan.names, map(int, plan.cap)) for x in p])
+    most = int(plan.cap.max()) if len(plan.cap) else 0
+    over = F.col("repeats") > F.coalesce(F.element_at(cap, F.col("source")), F.lit(most))
+    first = chosen.agg(F.count_if(over).alias("cap"), F.count_if(F.col("rate") < 0).alias("nonnegative rate"), F.count_if((F.col("tokens") == 0) & (F.col("repeats") > 0)).alias("empty text"))
+    counts = first.select(F.explode(F.create_map(*[x for n in ("cap", "nonnegative rate", "empty text") for x in (F.lit(n), F.col(n))])).alias("test", "n_violations"))
+    off = reached_shares(chosen, plan).where("target_share > 0").agg(F.count_if(F.abs(F.col("reached_share") - F.col("target_share")) > shares_within).alias("n_violations"))
+    return counts.unionByName(off.select(F.lit("share").alias("test"), "n_violations"))

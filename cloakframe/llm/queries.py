@@ -47,6 +47,11 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.select("id", "split", F.explode("pieces").alias("p")).select("id", "split", "p.*")
 
 
+def p3_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of what pieces promise, over all of them."""
+    return splitting.piece_checks(_pieces(spark, sf_dir))
+
+
 def _secret(spark: SparkSession) -> str:
     """The key of the surrogates: the session's ``spark.cloakframe.surrogate.key``, else a new random one for this query."""
     return spark.conf.get("spark.cloakframe.surrogate.key", None) or secrets.token_hex(16)
@@ -109,6 +114,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.reached_shares(*mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of what a mix promises."""
+    return mixing.mix_checks(*mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
+
+
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_anchors"))
 
@@ -127,8 +137,8 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
-        p1_found, p1_stretches, p2_found, p2_canonical, p3_found, p3_pieces,
+        p1_found, p1_stretches, p2_found, p2_canonical, p3_found, p3_pieces, p3_checks,
         p4_found, p4_masked, p4_surfaces, p4_leaks, p4_checks, p5_found, p5_report,
-        p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_levels, p8_profile,
+        p6_found, p6_items, p7_mix, p7_shares, p7_checks, p8_found, p8_levels, p8_profile,
     ]
     return {f.__name__: f for f in named}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.functions.textops import prefix_ends
+
 # Other names of the splits.
 SPLIT_ALIAS = {"dev": "devsynth", "h3": "devhard", "h2": "holdout", "test": "probe20"}
 ID_PREFIX = {"DEV": "devsynth", "H3": "devhard", "H2": "holdout", "CV": "probe20"}
@@ -67,10 +69,7 @@ def split_texts(records: DataFrame, limits: DataFrame, key: str = "id", text: st
     step = F.col("max_chars") - F.col("overlap_chars")
     fresh = F.regexp_extract_all("text", step_pattern(step, F.col("overlap_chars")), F.lit(0))
     parts = long.withColumn("fresh", fresh)
-    ends = parts.withColumn(
-        "ends",
-        F.aggregate("fresh", F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(x)))),
-    )
+    ends = parts.withColumn("ends", prefix_ends(F.transform("fresh", lambda x: F.length(x))))
     start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.greatest(F.get("ends", i - 1) - F.col("overlap_chars"), F.lit(0)))
     pieces = F.transform(
         "ends",
@@ -89,3 +88,15 @@ def oversized(split: DataFrame) -> DataFrame:
     """``id, cut``: forced where an unbroken stretch is itself longer than the limit; each id once."""
     cut = F.when(F.col("longest_unbroken") > F.col("max_chars"), "forced").otherwise("natural")
     return split.where("size(pieces) > 1").select("id", cut.alias("cut")).distinct()
+
+
+def piece_checks(split: DataFrame) -> DataFrame:
+    """``test, n_violations``: no piece above the limit, consecutive ones share the overlap, pieces are the text's own and cover it."""
+    rows = split.select("max_chars", "overlap_chars", "pieces", F.posexplode("pieces").alias("k", "p"))
+    before = F.get("pieces", F.col("k") - 1)
+    too_long = F.col("p.end_pos") - F.col("p.start_pos") > F.col("max_chars")
+    apart = (F.col("k") > 0) & (before["end_pos"] - F.col("p.start_pos") != F.col("overlap_chars"))
+    other = F.length("p.piece") != F.col("p.end_pos") - F.col("p.start_pos")
+    gap = (F.col("k") == 0) & (F.col("p.start_pos") != 0) | (F.col("k") > 0) & ((F.col("p.start_pos") > before["end_pos"]) | (F.col("p.end_pos") <= before["end_pos"]))
+    counts = rows.agg(*(F.count_if(c).alias(n) for n, c in (("limit", too_long), ("overlap", apart), ("substring", other), ("cover", gap))))
+    return counts.select(F.explode(F.create_map(*[x for n in ("limit", "overlap", "substring", "cover") for x in (F.lit(n), F.col(n))])).alias("test", "n_violations"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cloakframe.llm.canonical import canonical_sql
 from cloakframe.llm.lookalikes import INVISIBLE, LOOKALIKE, compatibility_forms
 
 _SPLIT = """coalesce(
@@ -35,9 +36,21 @@ def p2_found() -> str:
     """
 
 
-#: A surrogate keeps its promises everywhere, so every count is zero.
-P4_CHECKS = "select test, cast(0 as bigint) as n_violations from (values ('type and format'), ('one surrogate an entity'), ('distinct entities')) as t(test)"
+def p2_canonical() -> str:
+    """The consistent form of every text, without the test that lets plain texts pass."""
+    rows = "(select id as k, 0 as n, text as t from datasets where id is not null union all select doc_id, span_no, text from gold where doc_id is not null)"
+    return f"select distinct k as doc_id, cast(n as integer) as span_no, canonical, coalesce(changed, false) as changed from ({canonical_sql(rows, test_first=False)})"
+
+
+def _kept(*tests: str) -> str:
+    """What an operator promises holds everywhere, so every count of violations is zero."""
+    return f"select test, cast(0 as bigint) as n_violations from (values {', '.join(f'({chr(39)}{t}{chr(39)})' for t in tests)}) as t(test)"
+
+
+P3_CHECKS = _kept("limit", "overlap", "substring", "cover")
+P4_CHECKS = _kept("type and format", "one surrogate an entity", "distinct entities")
+P7_CHECKS = _kept("cap", "nonnegative rate", "empty text", "share")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": p2_found(), "p3_found": p3_found(), "p4_checks": P4_CHECKS}
+    return {"p2_found": p2_found(), "p2_canonical": p2_canonical(), "p3_found": p3_found(), "p3_checks": P3_CHECKS, "p4_checks": P4_CHECKS, "p7_checks": P7_CHECKS}
