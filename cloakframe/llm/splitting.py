@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.textops import prefix_ends
+from cloakframe.functions.textops import let, prefix_ends
 
 # Other names of the splits.
 SPLIT_ALIAS = {"dev": "devsynth", "h3": "devhard", "h2": "holdout", "test": "probe20"}
@@ -68,20 +68,15 @@ def split_texts(records: DataFrame, limits: DataFrame, key: str = "id", text: st
     long = rows.join(bounds, "split").where(F.length("text") > F.col("max_chars"))
     step = F.col("max_chars") - F.col("overlap_chars")
     fresh = F.regexp_extract_all("text", step_pattern(step, F.col("overlap_chars")), F.lit(0))
-    parts = long.withColumn("fresh", fresh)
-    ends = parts.withColumn("ends", prefix_ends(F.transform("fresh", lambda x: F.length(x))))
-    start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.greatest(F.get("ends", i - 1) - F.col("overlap_chars"), F.lit(0)))
-    pieces = F.transform(
-        "ends",
-        lambda end, i: F.struct(
-            (i + 1).cast("int").alias("piece_no"),
-            start(i).cast("int").alias("start_pos"),
-            end.cast("int").alias("end_pos"),
-            F.substring(F.col("text"), start(i) + 1, end - start(i)).alias("piece"),
-        ),
-    )
+
+    def laid(ends: Column) -> Column:
+        start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.greatest(F.get(ends, i - 1) - F.col("overlap_chars"), F.lit(0)))
+        piece = lambda end, i: F.struct((i + 1).cast("int").alias("piece_no"), start(i).cast("int").alias("start_pos"), end.cast("int").alias("end_pos"), F.substring(F.col("text"), start(i) + 1, end - start(i)).alias("piece"))
+        return F.transform(ends, piece)
+
+    pieces = let(prefix_ends(F.transform(fresh, lambda x: F.length(x))), laid)
     unbroken = F.array_max(F.transform(F.split("text", r"(?U)\s+"), F.length))
-    return ends.select("id", "split", "max_chars", "overlap_chars", unbroken.alias("longest_unbroken"), pieces.alias("pieces"))
+    return long.select("id", "split", "max_chars", "overlap_chars", unbroken.alias("longest_unbroken"), pieces.alias("pieces"))
 
 
 def oversized(split: DataFrame) -> DataFrame:
