@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.java_gateway import launch_gateway
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -172,12 +173,19 @@ NAMING_LANGUAGES = "en de fr es it nl sv fi pl pt da nb".split()
 
 @lru_cache(1)
 def language_names() -> tuple[str, ...]:
-    """Names of ``NAMED_LANGUAGES`` in each of ``NAMING_LANGUAGES``, from the JVM's locale data, and the words for a native language."""
-    session = SparkSession.getActiveSession()
-    if session is None:
-        raise RuntimeError("the names of languages come from the session's JVM; start one first")
-    locale = session.sparkContext._jvm.java.util.Locale
-    made = {locale.forLanguageTag(one).getDisplayLanguage(locale.forLanguageTag(tongue)).lower() for one in NAMED_LANGUAGES for tongue in NAMING_LANGUAGES}
+    """Names of ``NAMED_LANGUAGES`` in each of ``NAMING_LANGUAGES``, from the JVM's locale data, and the words for a native language.
+
+    The JVM is the session's; without a session one is started for this alone.
+    """
+    session = SparkSession.getActiveSession() or SparkSession._instantiatedSession
+    own = None if session else launch_gateway()
+    try:
+        locale = (own.jvm if own else session.sparkContext._jvm).java.util.Locale
+        made = {locale.forLanguageTag(one).getDisplayLanguage(locale.forLanguageTag(tongue)).lower() for one in NAMED_LANGUAGES for tongue in NAMING_LANGUAGES}
+    finally:
+        if own:
+            own.shutdown()
+            own.proc.stdin.close()
     return tuple(sorted({w for name in made for w in name.split()} | {*fixed.NATIVE_WORDS}))
 
 

@@ -68,11 +68,8 @@ _RULE = "label in ('NAME', 'LOCATION', 'ADDRESS', 'EDU_ORG', 'NATIONALITY', 'ID'
 LANGUAGE_LIKE = ("NAME", "LOCATION", "NATIONALITY", "ORG")
 
 
-def _sql(labels: list[str]) -> str | None:
-    """None where the names of languages matter and there is no session whose JVM could give them."""
+def _sql(labels: list[str]) -> str:
     named = not {*labels}.isdisjoint(LANGUAGE_LIKE)
-    if named and SparkSession.getActiveSession() is None:
-        return None
     names = _in("lower(x)", list(textops.language_names())) if named else "false"
     lead = rf"length(regexp_extract(surface, '^((?:{_any([h for h in fixed.HONORIFICS if len(h) > 1])}\.?[{fr._WHITE}]+)+)', 1))"
     contact = rf"regexp_matches(line, '{catalogue._EMAIL_SQL}') or regexp_matches(line, '\+\d{{1,3}}[\s\d().-]{{6,}}') or regexp_matches(line, '(?i)(?:^|[^\p{{L}}\p{{N}}_]){_any(fixed.PHONE_KEYS)}\.?\s*[:.]')"
