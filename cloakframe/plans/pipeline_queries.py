@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.functions import fixed, textops
-from cloakframe.operators import detectors, judge, policy, rules, scoring
+from cloakframe.operators import detectors, identity, judge, policy, rules, scoring
 from cloakframe.operators import spans as sp
 from cloakframe.plans import catalogue, pipeline
 from cloakframe.plans import frames as fr
@@ -270,6 +270,42 @@ def stack_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.masked(pipeline.found(documents, recorded, policy.Config(vote_k=2), replies))
 
 
+_UNSAFE = ", ".join(map(fr.q, identity.UNSAFE))
+_KNOWN = f"""n0 as (select distinct doc_id, list_filter(regexp_extract_all(surface, '[\\p{{L}}\\p{{N}}_''’-]+'), lambda x: length(x) > 1) as w from g where label = 'NAME'),
+    n1 as (select doc_id, case when len(w) > 2 then list_filter(w, lambda x: not (upper(x) = x and lower(x) <> x and length(x) <= 5)) else w end as w from n0),
+    n2 as (select doc_id, array_to_string(w, ' ') as full_name, list_filter(list_concat([w[-1]], case when contains(w[-1], '-') then list_filter(string_split(w[-1], '-'), lambda x: length(x) > 3) else [] end),
+        lambda x: trim(lower(x), '.,()') not in ({", ".join(map(fr.q, fixed.TECH))}) and lower(x) not in ({_UNSAFE}) and length(x) > 2) as single from n1 where len(w) >= 2)"""
+
+
+def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with the annotation's names as if rules had found them."""
+    documents = fr.docs(spark, sf_dir)
+    names = fr.gold(spark, sf_dir, documents).where("label = 'NAME'").groupBy("doc_id")
+    packed = names.agg(F.collect_list(F.struct("start_pos", "end_pos", "label", F.lit("re").alias("src"), "surface", F.lit("header").alias("section"))).alias("spans"))
+    return documents.join(packed, "doc_id").select("doc_id", "text", "spans", identity.known_names(F.col("spans")).alias("names"))
+
+
+@query(f"with {fr.SQL_DOCS}, {fr.SQL_GOLD}, {_KNOWN} select distinct doc_id, full_name, array_to_string(single, ' ') as single from n2")
+def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full names and the single words that may be looked for again."""
+    rows = _seeded(spark, sf_dir).select("doc_id", F.explode("names").alias("n"))
+    return rows.select("doc_id", F.col("n.full").alias("full_name"), F.array_join("n.single", " ").alias("single")).distinct()
+
+
+@query(
+    f"""with {fr.SQL_DOCS}, {fr.SQL_GOLD}, {_KNOWN},
+    w1 as (select distinct doc_id, unnest([full_name, upper(full_name)]) as surface, 'NAME' as label from n2),
+    w2 as (select distinct doc_id, unnest(single) as surface, 'NAME' as label from n2),
+    found1 as ({catalogue._LOCATE.format("w1")}), found2 as ({catalogue._LOCATE.format("w2")})
+    select distinct doc_id, surface, start_pos, end_pos from (select * from found1 union all select f.* from found2 f join docs d on d.doc_id = f.doc_id
+        where not (f.start_pos > 0 and regexp_matches(substr(d.text, f.start_pos, 1), '[\\p{{L}}\\p{{N}}_@.]')) and not regexp_matches(substr(d.text, f.end_pos + 1, 1), '[\\p{{L}}\\p{{N}}_]'))"""
+)
+def carried_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the annotation found again: as written, in capitals, and single words."""
+    rows = identity.spread(_seeded(spark, sf_dir), True, False).select("doc_id", F.explode("found").alias("f")).where("f.label = 'NAME'")
+    return rows.select("doc_id", "f.surface", "f.start_pos", "f.end_pos").distinct()
+
+
 @query()
 def partner_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second pass of a sweep: one tagger's spans with those of each detector that passes a gate, at their best thresholds."""

@@ -70,6 +70,55 @@ RULE_SQL = {
 RULE_SQL = {k: v.replace("'’", "''’") if k in ("R12", "R26", "R32") else v for k, v in RULE_SQL.items()}
 
 
+
+
+def _in_line(before: str, target: str, after: str = "", where: str = "true", flags: str = "", surface: str = "surface") -> str:
+    """As ``_sql``, with the text, the characters around and the line's section for ``where``; ``surface`` may shorten the match."""
+    base = _sql(before, target, after, flags=flags)
+    head, tail = base.rsplit("select * from m where", 1)
+    contact = rf"regexp_matches(sec.line, '{catalogue._EMAIL_SQL}') or regexp_matches(sec.line, '\+\d{{1,3}}[\s\d().-]{{6,}}') or regexp_matches(sec.line, '(?i)(?:^|[^\p{{L}}\p{{N}}_]){_any(fixed.PHONE_KEYS)}\.?\s*[:.]')"
+    return f"""{head}, {catalogue._SECTIONED},
+        x as (select m.doc_id, m.start_pos, m.end_pos, m.surface, d.text, sec.section, sec.line, {contact} as contact, substr(d.text, m.end_pos + 1, 1) as next, substr(d.text, m.end_pos + 1, 40) as after, substr(d.text, greatest(0, m.start_pos - 14) + 1, least(14, m.start_pos)) as before
+            from m join docs d on d.doc_id = m.doc_id join sec on sec.doc_id = m.doc_id and m.start_pos between sec.start_pos and sec.start_pos + length(sec.line)),
+        y as (select * replace ({surface} as surface) from x where {where})
+        select doc_id, start_pos, cast(start_pos + length(surface) as integer) as end_pos, surface from y where surface <> ''"""
+
+
+_NEXT_FREE = r"not regexp_matches(next, '[\p{L}\p{N}_]')"
+_NOT_IN = lambda value, words: f"{value} not in ({', '.join(map(fr.q, words))})"
+_BORN = rf"{NOT_W}(?i:{_any(fixed.BIRTH)})\s+(?i:{_any(fixed.BIRTH_PREPOSITIONS)})\s+"
+_GAP = rf"(?:\s*\([A-Z]{{2}}\))?[,\s]+(?:(?i:{'|'.join(fixed.DATE_PREPOSITIONS)})\s+)?"
+_WORD = r"[\p{L}]+\.?"
+_DATE = rf"\d{{1,2}}[./-]\s?\d{{1,2}}[./-]\s?\d{{2,4}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}\.?\s*(?:de\s+)?{_WORD}\s+(?:de\s+)?\d{{4}}|{_WORD}\s+\d{{1,2}},?\s+\d{{4}}|{textops.YEAR}".replace(r"\d", r"\p{Nd}")
+_ENDINGS = ", ".join(map(fr.q, fixed.DOMAIN_ENDINGS + fixed.RESERVED_ENDINGS))
+RULE_SQL |= {
+    "R07": _in_line(r"(?:^|[\n|•·;,]\s*|\s{2,})" + rf"{_any(fixed.HANDLE_KEYS)}(?:\s*(?:id|handle|name))?\s*[:|]\s*", r"[^\s|,;]+", flags="(?i)"),
+    "R16": _in_line(
+        r"(?:^|[^\p{L}\p{N}_@./-])", r"[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+(?:/[^\s,;|)\]>]*)?",
+        where=f"next <> '@' and lower(string_split(string_split(surface, '/')[1], '.')[-1]) in ({_ENDINGS}) and (contact or section in ('header', 'footer', 'personal', 'links') or regexp_matches(line, '(?i){NOT_W}{_any(fixed.WEB_WORDS)}(?:$|[^\\p{{L}}\\p{{N}}_])'))",
+    ),
+    "R18": _in_line(rf"{NOT_W}(?i:{_any(fixed.KV_KEYS['DOB'] + fixed.MORE_KEYS['DOB'])})\s*[:,]?\s*(?:(?i:on|le|el|il|den)\s+)?", _DATE),
+    "R20": _in_line(
+        NOT_W, rf"\d{{2}}\s*{_any(fixed.OLD)}", flags="(?i)",
+        where=_NEXT_FREE + f" and {_NOT_IN(chr(114) + 'egexp_extract(lower(after), ' + fr.q('^' + chr(92) + 's+(?:of' + chr(92) + 's+)?([' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+(?:' + chr(39) + '[' + chr(92) + 'p{L}]+)?)') + ', 1)', fixed.NOT_AFTER_OLD)} and not regexp_matches(line, '(?i){_any(fixed.YEARS)}\\s+(?:of\\s+)?{_any(fixed.OF_EXPERIENCE)}')",
+    ),
+    "R21": _in_line(
+        rf"{NOT_W}(?i:{_any(fixed.RESIDENCE)})\s+", rf"[{rules.UPPER}][^\n.;()]{{1,60}}",
+        surface=rf"rtrim(regexp_replace(surface, '\s+(?:{'|'.join(fixed.PLACE_ENDS)})\s.*$', ''), ' .,;*_`' || chr(9) || chr(34) || chr(39))",
+    ),
+    "R25": _in_line(r"(?:^|[^\p{L}\p{N}_-])", _any(fixed.MARITAL_WORDS), flags="(?i)", where=_NEXT_FREE + " and next <> '-' and section in ('header', 'personal', 'footer')"),
+    "R27a": _in_line(_BORN, CAP, rf"{_GAP}(?:{_DATE})"),
+    "R27b": _in_line(rf"{_BORN}{CAP}{_GAP}", _DATE),
+    "R28": _in_line(r"(?:^|[^\p{L}\p{N}_-])", rf"[{rules.UPPER}][{rules.LOWER}]+(?:[ -][{rules.UPPER}][{rules.LOWER}]+)?", r"-based\b", where="section not in ('experience', 'education', 'skills')"),
+    "R34": _in_line(
+        rf"{NOT_W}(?i:{_any(fixed.SUPERVISION + fixed.MORE_KEYS['SUPERVISION'])})[:\s]+(?:{_any(fixed.HONORIFICS)}\.?{SPACE}+)*", f"{PERSON}|{CAP}",
+        where=f"regexp_matches(surface, '{SPACE}') or regexp_matches(before, '{_any(fixed.HONORIFICS)}\\.?{SPACE}+$')",
+    ),
+}
+for _k in ("R27a", "R27b", "R34"):
+    RULE_SQL[_k] = RULE_SQL[_k].replace("'’-]", "''’-]")
+
+
 def _register(rule: str, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rules.scan(_docs(spark, sf_dir)).where(F.col("rule") == rule).select("doc_id", "start_pos", "end_pos", "surface")

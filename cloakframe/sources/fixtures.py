@@ -30,6 +30,15 @@ RULE_TEXTS = (
     "(she/her) he/him (xe/xem) he/she they/them",
     "Geburtsort: Graz\nbirthplace Ames, Iowa\nplace of birth: porto",
     "My name is Ada Byrne and I am Senior Engineer. Ich bin Karl von Holt. Mi chiamo Elena Rossi",
+    "Ada\nTwitter: adab | github: ada-b, slack handle: abyrne; my twitter is fine",
+    "Ada\nada.dev and shop.example/x\n\nExperience\n2010 - 2012 built shop.com\nPortfolio: ada.design",
+    "Date of birth: 12.03.1990; née le 3 mars 1988, born on 1990-02-01",
+    "a man, 34 years old, and 45 ans; 10 years of experience\n12 Jahre in Graz",
+    "She is based in Porto and works. Wohnhaft in Bad Ems, living in leeds",
+    "Ada, married\nsingle-handed, verheiratet\n\nExperience\n2010 - 2012 married life",
+    "born in Porto, 12/03/1990 and né à Lyon (FR) le 3 mars 1988",
+    "a Tokyo-based clerk and a New York-based one\n\nSkills\na Graz-based tool",
+    "supervised by Dr Ada Byrne; reporting to: Mr Holt, tutor Bo Li Chan. supervisor of",
 )
 
 

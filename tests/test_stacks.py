@@ -50,10 +50,10 @@ def test_recorded_detectors_with_floors(spark):
 
 
 def test_hosted_recognizers():
-    have = ["SpacyNerRecognizer", "EmailRecognizer", "CardRecognizer", "PhoneRecognizer"]
+    have = ["OwnNerRecognizer", "EmailRecognizer", "CardRecognizer", "PhoneRecognizer"]
     assert stacks.Hosted("a", ("m",)).recognizers(have, []) == ["EmailRecognizer", "CardRecognizer", "PhoneRecognizer", "m"]
     assert stacks.Hosted("b", ("m",), patterns="cv", dropped=("PhoneRecognizer",)).recognizers(have, ["EmailRecognizer", "PhoneRecognizer"]) == ["EmailRecognizer", "m"]
-    assert stacks.Hosted("c", ("m",), patterns="none", keep_ner=True).recognizers(have, []) == ["SpacyNerRecognizer", "m"]
+    assert stacks.Hosted("c", ("m",), patterns="none", keep_ner=True).recognizers(have, []) == ["OwnNerRecognizer", "m"]
 
 
 def test_language_routing_and_folding(spark):
