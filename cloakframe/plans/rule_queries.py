@@ -119,6 +119,33 @@ for _k in ("R27a", "R27b", "R34"):
     RULE_SQL[_k] = RULE_SQL[_k].replace("'’-]", "''’-]")
 
 
+def _of_lines(before: str, target: str, after: str = "", where: str = "true", flags: str = "") -> str:
+    """Rows of the match in each line of before, target, after; ``^`` and ``$`` are the line's ends."""
+    pattern = f"{flags}({before})({target})({after})"
+    return f"""with {_DOCS}, {catalogue._SECTIONED},
+        z as (select sec.*, string_split(regexp_replace(translate(line, chr(1), ' '), '{pattern}', '\\1' || chr(1) || '\\2' || chr(1) || '\\3', 'g'), chr(1)) as a from sec),
+        m as (select doc_id, section, line, start_pos as base, start_pos + cast(list_sum(list_transform(a[1:i-1], lambda z: length(z))) as bigint) as s, a[i] as surface from (select *, unnest(range(2, len(a) + 1, 2)) as i from z))
+        select doc_id, cast(s as integer) as start_pos, cast(s + length(surface) as integer) as end_pos, surface from m where {where}"""
+
+
+_AT, _DOTS = _any(fixed.AT_WORDS), _any(fixed.DOT_WORDS)
+_BRACKET_DOT = rf"\s*[\[({{]{_DOTS}[\])}}]\s*"
+_TECH = f"trim(lower(surface), '.,()') not in ({', '.join(map(fr.q, sorted(set(fixed.TECH))))})"
+_LETTER_DATE = rf"(?:(?i:den|le|il|am|im|el|em|d\.)\s+)?(?:\d{{1,2}}[./-]\s?\d{{1,2}}[./-]\s?\d{{2,4}}|\d{{1,2}}\.?\s*(?:de\s+)?{_WORD}\s+(?:de\s+)?\d{{4}}|{_WORD}\s+\d{{4}})(?:$|[^\p{{L}}\p{{N}}_])"
+_U = rules.UPPER
+RULE_SQL |= {
+    "R02": _sql(r"(?:^|[^\p{L}\p{N}_.+-])", rf"[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_.+-]*(?:{_BRACKET_DOT}[\p{{L}}\p{{N}}_]+)*{SPACE}*[\[({{]{_AT}[\])}}]{SPACE}*[\p{{L}}\p{{N}}_-]+(?:(?:{_BRACKET_DOT}|\s*\.\s*)[\p{{L}}\p{{N}}_-]+)+", flags="(?i)"),
+    "R03": _sql(rf"(?:^|{SPACE})", rf"\p{{L}}[\p{{L}}\p{{N}}_.+-]*(?: {_DOTS} [\p{{L}}\p{{N}}_]+)* {_AT} \p{{L}}[\p{{L}}\p{{N}}_-]* {_DOTS} {_any(fixed.MAIL_ENDINGS + fixed.RESERVED_ENDINGS)}", r"\b", flags="(?i)"),
+    "R11": _of_lines(r"^[ \t]*", PLACE, rf",\s*{_LETTER_DATE}", where=f"{_TITLED} and {_TECH}"),
+    "R14": _of_lines(r"^[ \t]*", rf"(?:[{_U}] ){{2,}}[{_U}](?:\s{{2,}}(?:[{_U}] )*[{_U}])+", r"[ \t]*$", where="section in ('header', 'personal', 'footer')"),
+    "R31": _of_lines(r"(?:^|[,()–—|:])[ \t]*", r"[A-Z][A-Za-z]?[A-Z]{1,5}(?:[- ][A-Z][a-z]+)?", where=f"regexp_matches(substr(line, s - base + length(surface) + 1), '^[ ]*(?:[,)–—|]|$)') and section = 'education' and length(surface) >= 3 and upper(surface) not in ({', '.join(map(fr.q, fixed.NO_SCHOOL_ACRONYMS))}) and {_TECH}"),
+    "R33": _of_lines(r"(?:^\s*|^.*\t|^.*   )\(", rf"(?:[A-Z]\.\s?){{0,4}}{CAP}(?:\s+{CAP}){{0,3}}", rf"\){SPACE}*$", where=f"regexp_matches(surface, '[^ ] +[^ ]') and {_TITLED}"),
+    "R35": _of_lines(rf"^[ \t•*–-]*(?:{_any(fixed.HONORIFICS)}\.?{SPACE}+)*", PERSON, rf"{SPACE}*(?:[,–—|(-]|$)", where=f"section = 'references' and {_TITLED} and not regexp_matches(lower(trim(line, ' #*_:')), '^{_any(textops.EVERY_SECTION_WORD)}(?: |$)')"),
+}
+for _k in ("R11", "R33", "R35"):
+    RULE_SQL[_k] = RULE_SQL[_k].replace("'’-]", "''’-]")
+
+
 def _register(rule: str, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rules.scan(_docs(spark, sf_dir)).where(F.col("rule") == rule).select("doc_id", "start_pos", "end_pos", "surface")

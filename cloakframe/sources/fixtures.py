@@ -39,6 +39,12 @@ RULE_TEXTS = (
     "born in Porto, 12/03/1990 and né à Lyon (FR) le 3 mars 1988",
     "a Tokyo-based clerk and a New York-based one\n\nSkills\na Graz-based tool",
     "supervised by Dr Ada Byrne; reporting to: Mr Holt, tutor Bo Li Chan. supervisor of",
+    "write ada [at] mail [dot] example or jane (arroba) post.example or ada at mail dot com, ada at work",
+    "Berlin, 12.03.2025\nBad Ems, den 3. Mai 2024\nEngineer, 12.03.2025\nGraz, im Mai 2024",
+    "A D A  B Y R N E\n\nExperience\n2010 - 2012 clerk\nA B C  D E F",
+    "Education\nBA, INSEAD\nMIT | 2010\nBSc, MBA\nHEC Paris",
+    "yours\n(Ada Byrne)\n\ntext   (J. R. Holt)\n(Senior Engineer)\nyours (Ada Byrne) ever",
+    "References\nMs Ada Byrne, Acme Ltd\n• Bo van Holt – clerk\nSenior Engineer, Acme\nCy Dunn\n\nEducation\nDi Moss, x",
 )
 
 
