@@ -146,6 +146,28 @@ for _k in ("R11", "R33", "R35"):
     RULE_SQL[_k] = RULE_SQL[_k].replace("'’-]", "''’-]")
 
 
+def _is_edu(value: str) -> str:
+    padded = f"' ' || lower({value}) || ' '"
+    acronym = rf"(?:^|[^\p{{L}}\p{{N}}_-]){_any(fixed.EDU_ACRONYMS)}(?:$|[^\p{{L}}\p{{N}}_-])"
+    return f"(not regexp_matches({padded}, '{_any(fixed.EDU_EXCLUDE)}') and (regexp_matches({padded}, '{_any(fixed.EDU_KEYWORDS)}') or regexp_matches({value}, '{acronym}')))"
+
+
+_SEGMENTS = _of_lines("", r"[^,;|()—–\t]+").rsplit("select doc_id,", 1)[0]
+_EMPHASIS = "'*_`' || chr(9) || chr(34) || chr(39)"
+RULE_SQL |= {
+    "R29": f"""{_SEGMENTS}, e0 as (select doc_id, s, surface as t from m where {_is_edu('surface')}),
+        e1 as (select doc_id, case when contains(t, ':') and not {_is_edu("split_part(t, ':', 1)")} then s + strpos(t, ':') else s end as s, case when contains(t, ':') and not {_is_edu("split_part(t, ':', 1)")} then substr(t, strpos(t, ':') + 1) else t end as t from e0),
+        e2 as (select *, case when lower(regexp_replace(regexp_extract(t, '^{SPACE}*([^{fr._WHITE}]+)', 1), '[^\\p{{L}}\\p{{N}}_]', '', 'g')) in ({', '.join(map(fr.q, fixed.LEADING_DEGREES))})
+            then length(regexp_extract(t, '^({SPACE}*[^{fr._WHITE}]+{SPACE}+(?:[^\\p{{Lu}}{fr._WHITE}][^{fr._WHITE}]*{SPACE}+)*)\\p{{Lu}}', 1)) else 0 end as d from e1),
+        e3 as (select doc_id, case when d > 0 and {_is_edu('substr(t, d + 1)')} then s + d else s end as s, case when d > 0 and {_is_edu('substr(t, d + 1)')} then substr(t, d + 1) else t end as t from e2),
+        e4 as (select doc_id, s, regexp_replace(t, '{SPACE}+(?:in )?(?:\\d{{2}}/)?\\d{{4}}{SPACE}*$', '') as t from e3),
+        e5 as (select doc_id, s + length(t) - length(ltrim(t, ' ' || {_EMPHASIS})) as s, rtrim(ltrim(t, ' ' || {_EMPHASIS}), ' .,;' || {_EMPHASIS}) as t from e4)
+        select doc_id, cast(s as integer) as start_pos, cast(s + length(t) as integer) as end_pos, t as surface from e5 where length(t) > 2""",
+    "R30": f"""{_SEGMENTS}, e as (select doc_id, s + length(surface) as s, regexp_extract(substr(line, s - base + length(surface) + 1), '^({SPACE}*\\()([{_U}][\\p{{L}}]{{1,9}})(?:{SPACE}*/[^)]*)?\\)', ['open', 'name']) as f from m where {_is_edu('surface')})
+        select doc_id, cast(s + length(f.open) as integer) as start_pos, cast(s + length(f.open) + length(f.name) as integer) as end_pos, f.name as surface from e where f.name <> ''""",
+}
+
+
 def _register(rule: str, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rules.scan(_docs(spark, sf_dir)).where(F.col("rule") == rule).select("doc_id", "start_pos", "end_pos", "surface")
