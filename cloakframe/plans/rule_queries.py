@@ -168,12 +168,20 @@ RULE_SQL |= {
 }
 
 
+_NUMBER = rf"[ -]?(?:{_any([w for w in fixed.NUMBER_WORDS if w.isascii()])}\b|{_any([w for w in fixed.NUMBER_WORDS if not w.isascii()])})\.?"
+_GROUP = r"[A-Z0-9]+(?:[./-]+[A-Z0-9]+)*\b"
+RULE_SQL["R13"] = _sql(
+    rf"(?:^|[^\p{{L}}\p{{N}}_-])(?:(?i:{_any(fixed.ID_WORDS + fixed.MORE_KEYS['ID'])})(?i:{_NUMBER})?|(?i:{_any(fixed.ID_WORDS_NUMBERED)})(?i:{_NUMBER}))\.?{SPACE}*[:#|]?{SPACE}*#?{SPACE}*",
+    rf"{_GROUP}(?: {_GROUP})*", where=r"length(regexp_replace(surface, '[^0-9]', '', 'g')) >= 4",
+).replace("select * from m where", "select distinct * from m where")
+
+
 def _register(rule: str, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rules.scan(_docs(spark, sf_dir)).where(F.col("rule") == rule).select("doc_id", "start_pos", "end_pos", "surface")
+        return rules.scan(_docs(spark, sf_dir)).where(F.col("rule") == rule).select("doc_id", "start_pos", "end_pos", "surface").distinct()
 
     run.__name__ = f"rule_{rule.lower()}"
-    catalogue.query(sql)(run)
+    catalogue.query(f"select distinct * from ({sql})")(run)
 
 
 for _rule, _statement in RULE_SQL.items():

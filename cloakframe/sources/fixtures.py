@@ -45,6 +45,7 @@ RULE_TEXTS = (
     "Education\nBA, INSEAD\nMIT | 2010\nBSc, MBA\nHEC Paris",
     "yours\n(Ada Byrne)\n\ntext   (J. R. Holt)\n(Senior Engineer)\nyours (Ada Byrne) ever",
     "References\nMs Ada Byrne, Acme Ltd\n• Bo van Holt – clerk\nSenior Engineer, Acme\nCy Dunn\n\nEducation\nDi Moss, x",
+    "Passport No: X1234567 Valid, Permit No: 44198271, Validation code: 4419-8271; Codice fiscale RSSMRA80A01, member 44198271, member no. 4419 82",
     "EDUCATION\nMSc Physics University of Leeds, 2015\nSchool: University of Ames 2015; MBA, INSEAD\nBSc in law, University College London (UCL / 2010) and *College of Arts* | General Hospital Trust (GHT)",
 )
 
