@@ -7,10 +7,20 @@ from random import Random
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FIRST = {"en": ("Ada", "Bryn", "Cora", "Dale"), "de": ("Anke", "Bernd", "Carla", "Dirk"), "fr": ("Aline", "Bruno", "Chloé", "Denis")}
-LAST = {"en": ("Ashdown", "Birkett", "Crowe"), "de": ("Ahlers", "Brandt", "Conrad"), "fr": ("Aubert", "Berger", "Carlier")}
-HEADINGS = {"en": ("Profile", "Work history", "Education"), "de": ("Profil", "Werdegang", "Ausbildung"), "fr": ("Profil", "Parcours professionnel", "Formation")}
-LAYOUTS = ("plain", "keyed", "footer")
+#: Invented data of each language: given names, family names, headings (profile, work, education), keys (address, birth, nationality, marital status) and values.
+LOCAL = {
+    "en": ("Ada Bryn Cora Dale", "Ashdown Birkett Crowe", "Profile|Work history|Education", "Address|Date of birth|Nationality|Marital status", "14 Elm Road|Irish|married"),
+    "de": ("Anke Bernd Carla Dirk", "Ahlers Brandt Conrad", "Profil|Werdegang|Ausbildung", "Anschrift|Geburtsdatum|Nationalität|Familienstand", "Lindenstraße 12|irisch|ledig"),
+    "fr": ("Aline Bruno Chloé Denis", "Aubert Berger Carlier", "Profil|Parcours professionnel|Formation", "Adresse|Date de naissance|Nationalité|État civil", "8, rue Verville|irlandaise|célibataire"),
+    "es": ("Alba Blas Celia Diego", "Alonso Bravo Castro", "Perfil|Experiencia|Formación", "Dirección|Fecha de nacimiento|Nacionalidad|Estado civil", "Calle Alda, 4|irlandesa|casada"),
+    "it": ("Agata Bruno Carla Dario", "Alfieri Bruni Costa", "Profilo|Esperienza|Istruzione", "Indirizzo|Data di nascita|Cittadinanza|Stato civile", "Via Larga 9|irlandese|nubile"),
+    "nl": ("Anouk Bram Carlijn Daan", "Aker Bos Cuypers", "Profiel|Werkervaring|Opleiding", "Adres|Geboortedatum|Nationaliteit|Burgerlijke staat", "Kerklaan 31|Iers|gehuwd"),
+    "pl": ("Alina Bogdan Celina Darek", "Adamski Borek Cieślak", "Profil|Doświadczenie|Wykształcenie", "Adres|Data urodzenia|Obywatelstwo|Stan cywilny", "ul. Lipowa 5|irlandzkie|panna"),
+    "pt": ("Alda Bento Catarina Dinis", "Abreu Branco Campos", "Perfil|Experiência|Formação", "Morada|Data de nascimento|Nacionalidade|Estado civil", "Rua Nova, 7|irlandesa|solteira"),
+    "sv": ("Alva Bo Cilla Dag", "Alm Berg Dahl", "Profil|Arbetslivserfarenhet|Utbildning", "Adress|Födelsedatum|Medborgarskap|Civilstånd", "Storgatan 3|irländskt|gift"),
+    "fi": ("Aino Birgit Eero Daniel", "Aalto Berg Eskola", "Profiili|Työkokemus|Koulutus", "Osoite|Syntymäaika|Kansalaisuus|Siviilisääty", "Mäkikatu 2|irlantilainen|naimaton"),
+}
+LAYOUTS = ("plain", "keyed", "footer", "table", "one line", "bullets", "markdown")
 SCHEMA = "id string, lang string, layout string, text string, gold array<struct<start:int,end:int,label:string,required:boolean,text:string>>"
 
 
@@ -65,20 +75,34 @@ class Builder:
 
 def record(rng: Random, n: int) -> tuple:
     """One record; draws in a fixed order, so a seed means the same records everywhere."""
-    lang = rng.choice(sorted(FIRST))
-    first, last = rng.choice(FIRST[lang]), rng.choice(LAST[lang])
+    lang = rng.choice(sorted(LOCAL))
+    given, family, headings, keys, values = LOCAL[lang]
+    profile, work, school = headings.split("|")
+    first, last = rng.choice(given.split()), rng.choice(family.split())
     layout = rng.choice(LAYOUTS)
     mail = f"{first}.{last}@mail.example".lower()
     phone = f"+{rng.choice((33, 44, 49))} {rng.randrange(10, 99)} {rng.randrange(100, 999)} {rng.randrange(1000, 9999)}"
     number = f"X{rng.randrange(10**6, 10**7)}"
-    b = Builder().put(f"{first} {last}", "NAME").put("\n")
-    contact = lambda: b.put("E-mail: " if layout == "keyed" else "").put(mail, "EMAIL").put("\n").put("Tel: " if layout == "keyed" else "").put(phone, "PHONE").put("\n")
+    born = f"{rng.randrange(10, 29)}.{rng.randrange(10, 13)}.{rng.randrange(1950, 2005)}"
+    joint = {"table": " | ", "markdown": ": ", "bullets": ": "}.get(layout, ": ")
+    begin = {"bullets": "• ", "markdown": "**"}.get(layout, "")
+    close = "**" if layout == "markdown" else ""
+    b = Builder().put("# " if layout == "markdown" else "").put(f"{first} {last}", "NAME").put("\n")
+
+    def contact() -> None:
+        keyed = layout in ("keyed", "table", "bullets")
+        b.put(f"E-mail{joint}" if keyed else "").put(mail, "EMAIL").put(" | " if layout == "one line" else "\n")
+        b.put(f"Tel{joint}" if keyed else "").put(phone, "PHONE").put("\n").put(f"www.{first}-{last}.example".lower(), "URL").put("\n")
+
     if layout != "footer":
         contact()
-    b.put("Passport No: ").put(number, "ID").put(f"\n\n{HEADINGS[lang][0]}\n")
+    address, nation, marital = values.split("|")
+    for key, value, label in zip(keys.split("|"), (address, born, nation, marital), ("ADDRESS", "DOB", "NATIONALITY", "MARITAL")):
+        b.put(f"{begin}{key}{close}{joint}").put(value, label).put("\n")
+    b.put("Passport No: ").put(number, "ID").put(f"\n\n{profile}\n\n{work}\n")
     for _ in range(rng.randrange(1, 4)):
-        b.put(f"Led the move of office {rng.randrange(100)} for ").put(f"{rng.choice(LAST[lang])} Ltd", "ORG", False).put(".\n")
-    b.put(f"\n{HEADINGS[lang][2]}\n").put(f"University of {rng.choice(('Northam', 'Eastby', 'Westow'))}", "EDU_ORG").put(f", {rng.randrange(1980, 2020)}\n")
+        b.put(f"Led the move of office {rng.randrange(100)} for ").put(f"{rng.choice(family.split())} Ltd", "ORG", False).put(".\n")
+    b.put(f"\n{school}\n").put(f"University of {rng.choice(('Northam', 'Eastby', 'Westow'))}", "EDU_ORG").put(f", {rng.randrange(1980, 2020)}\n")
     if layout == "footer":
         b.put("---\n")
         contact()
