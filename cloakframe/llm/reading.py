@@ -159,9 +159,9 @@ def is_english(sentences: list[list[str]], counts: list[list[int]], samples: tup
 
 def sentence_table(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", samples: tuple[str, ...] = ()) -> DataFrame:
     """Pass 1: per document its text's hash, whether it is English and a CV, and hash and counts of each prose sentence."""
-    schema = "doc_id long, source string, text_hash long, english boolean, cv boolean, hashes array<long>, counts array<int>"
-    arrow = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("text_hash", pa.int64()), ("english", pa.bool_()), ("cv", pa.bool_()), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
-    docs = documents.select(F.col(doc_id).cast("long").alias("d"), F.col(source).cast("string").alias("s"), F.col(text).alias("t"))
+    schema = f"doc_id {documents.schema[doc_id].dataType.simpleString()}, source string, text_hash long, english boolean, cv boolean, hashes array<long>, counts array<int>"
+    arrow = [("text_hash", pa.int64()), ("english", pa.bool_()), ("cv", pa.bool_()), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))]
+    docs = documents.select(F.col(doc_id).alias("d"), F.col(source).cast("string").alias("s"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = xxhash.xxh3_64_intdigest
@@ -176,7 +176,7 @@ def sentence_table(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
                 columns[2].append(bool(t) and len(_JOB.findall(t)) >= 2)
                 columns[3].append([hashed(" ".join(s).lower()) - top for s in sentences])
                 columns[4].append([n for c in counts for n in c])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), *(pa.array(c, f.type) for c, f in zip(columns, [*arrow][2:]))], schema=arrow)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), *(pa.array(c, kind) for c, (_, kind) in zip(columns, arrow))], ["doc_id", "source", *(n for n, _ in arrow)])
 
     return docs.mapInArrow(run, schema)
 
@@ -237,7 +237,7 @@ def reading_levels(documents: DataFrame, anchors: DataFrame, doc_id: str = "doc_
     grader = fit_grader([(r.level, r.text) for r in held]) if held else None
     sentences = cut(sentence_table(documents, doc_id, text, source, tuple(r.text for r in held)))
     stock = np.array(sorted(stock_hashes(sentences)), np.int64)
-    schema = "doc_id long, source string, english boolean, cv boolean, n_words int, grade double, spread double, band string"
+    schema = f"doc_id {sentences.schema['doc_id'].dataType.simpleString()}, source string, english boolean, cv boolean, n_words int, grade double, spread double, band string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

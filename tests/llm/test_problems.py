@@ -558,6 +558,8 @@ def test_reading_bands(spark):
     assert {r.source: r.n_documents for r in reading.source_profile(got).collect()}["a"] == 5
     assert reading.reading_levels(frame(spark, docs, "doc_id long, text string, source string"), held.limit(0)).where("grade is not null").count() == 0
     assert reading.reading_levels(frame(spark, docs, "doc_id long, text string, source string").limit(0), held).count() == 0
+    named = frame(spark, [(f"d{i}", t, s) for i, t, s in docs], "doc_id string, text string, source string")
+    assert {(r.doc_id, r.band) for r in reading.reading_levels(named, held).collect()} == {(f"d{r.doc_id}", r.band) for r in got.collect()}
 
 
 def test_stock_clauses_are_set_aside(spark):
