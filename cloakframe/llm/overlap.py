@@ -39,9 +39,22 @@ TRAINING = "devsynth"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Hashes(dict):
+    """Hashes of words met before; emptied when it holds ``REMEMBERED``."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+REMEMBERED = 1 << 18
+_HASHES = _Hashes()
+
+
 def word_hashes(words: list[str]) -> np.ndarray:
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w) for w in words), np.uint64, len(words))
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
 def fingerprints(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
