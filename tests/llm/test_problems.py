@@ -1,9 +1,11 @@
 """Each operator: its result on a clear case, against brute force where there is one, and on odd input."""
 
+import pathlib
 import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -377,6 +379,74 @@ def test_overlaps_of_odd_records(spark):
     assert report["holdout", "s"] == (2, 2) and report["devsynth", "s"] == (1, 1)
 
 
+def test_signatures_differ_by_what_texts_do_not_share():
+    rng = random.Random(21)
+    words = vocabulary(rng, 900)
+    for n, m in ((30, 28), (512, 470), (540, 505), (1100, 1000), (3000, 2800)):
+        x = [rng.choice(words) for _ in range(n)]
+        y = x[: m - m // 10] + [rng.choice(words) for _ in range(m // 10)]
+        a, b = (overlap.word_tokens(overlap.word_hashes(t)) for t in (x, y))
+        one, two = (np.frombuffer(overlap.signature(t), np.uint64)[:, None] for t in (a, b))
+        bits = 64 * min(len(one), len(two))
+        differ = np.bitwise_count(overlap._folded(one, bits) ^ overlap._folded(two, bits)).sum()
+        assert 0 < differ <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_near_texts_are_the_same_for_any_batches():
+    rng = random.Random(22)
+    words = vocabulary(rng, 60)
+    rows, want, texts = [], set(), []
+    for k in range(150):
+        if k % 3 and texts:
+            text = list(rng.choice(texts)[3])
+            for at in rng.sample(range(len(text)), int(len(text) * rng.choice([0, 0.05, 0.1, 0.3]))):
+                text[at] = rng.choice(words)
+        else:
+            text = [rng.choice(words) for _ in range(rng.choice([12, 60, 500, 530]))]
+        texts.append((k, k % 2 == 0, overlap.word_tokens(overlap.word_hashes(text)), text))
+    for k, evaluation, tokens, text in texts:
+        for rank, token in enumerate(sorted(tokens.tolist())[: len(text) // 10 + 1], 1):
+            row = (token - (1 << 63), len(text), rank, evaluation, k, overlap.signature(tokens))
+            rows += [row] * rng.choice([1, 1, 2])
+    for a in texts:
+        for b in texts:
+            if a[1] and not b[1] and len(set(a[2].tolist()) & set(b[2].tolist())) >= 0.9 * max(len(a[3]), len(b[3])) - 1e-9:
+                want.add((a[0], b[0]))
+    rows.sort(key=lambda r: (r[0], r[1], r[4], r[3]))
+    kinds = [("token", pa.int64()), ("n_words", pa.int32()), ("rank", pa.int32()), ("evaluation", pa.bool_()), ("tid", pa.int64()), ("signature", pa.binary())]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), kinds)], [name for name, _ in kinds])
+    got = []
+    for size in (len(rows), 97, 1):
+        batches = (whole.slice(at, size) for at in range(0, len(rows), size))
+        got.append({(r["a"], r["b"]) for batch in overlap.near_texts(batches) for r in batch.to_pylist()})
+    assert len(want) > 20 and want <= got[0] == got[1] == got[2]
+
+
+def written_since(spark, before):
+    """Files of shuffles and checkpoints that are not in ``before``, and their bytes."""
+    sc = spark.sparkContext._jsc.sc()
+    dirs = [*sc.env().blockManager().diskBlockManager().localDirsString()]
+    known = sc.getCheckpointDir()
+    dirs += [known.get().removeprefix("file:")] if known.isDefined() else []
+    files = {p: p.stat().st_size for d in dirs for p in pathlib.Path(d).rglob("*") if p.is_file()}
+    return files.keys(), sum(n for p, n in files.items() if p not in before)
+
+
+def test_overlaps_take_little_disk(spark, tmp_path):
+    rng = random.Random(23)
+    words = vocabulary(rng, 3000)
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(150, 300))) for _ in range(3000)]
+    rows = [(f"{'DEV' if n % 3 else 'H2'}-{n}", "dev" if n % 3 else "h2", "s", text) for n, text in enumerate(texts)]
+    rows += [(f"H2-copy-{n}", "h2", "s", texts[n] + " more") for n in range(1, 300, 3)]
+    frame(spark, rows, "id string, split string, source string, text string").repartition(4).write.parquet(str(tmp_path / "t"))
+    records = spark.read.parquet(str(tmp_path / "t"))
+    overlap.cut(records.limit(1))  # the folder for checkpoints is known from here on
+    before, _ = written_since(spark, ())
+    got = overlap.record_pairs(*overlap.cross_split_overlaps(records)).collect()
+    assert {(r.id_a, r.id_b) for r in got} == {(f"DEV-{n}", f"H2-copy-{n}") for n in range(1, 300, 3)}
+    assert written_since(spark, before)[1] < 4 * sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet"))
+
+
 # ---- 6: leaks
 
 
