@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -148,6 +149,61 @@ def test_scores_equal_character_painting(spark):
             assert r.fp_tokens == [w for w, f in zip(words, flags) if f[2] and not f[1]]
 
 
+_SIGNS = "aB7é€😀İ\u0130·—–|()[]{}.,;:!?'\"<> \t\n\x0b\x1c\x1f\x85\xa0\u1680\u2003\u2028\u3000\u200b\ufeff"
+
+
+def test_tallies_equal_scores_by_document(spark):
+    rng = random.Random(9)
+    docs, gold, pred = [], [], []
+    words = ["the", "nées", "née", "Née", "–", "Ada", "İd", "(old)", "of,", "..", "x😀y", "7", "|", "\u200b"]
+    for d in range(80):
+        text = "".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "\u2003", "\x1f", ""]) for _ in range(rng.randrange(14))) if d % 9 else ""
+        docs.append((f"d{d}", rng.choice(["s", "t", None]), text))
+        for k in range(rng.randrange(6)):
+            a = rng.randrange(-4, len(text) + 6)
+            gold.append((f"d{d}", k, a, a + rng.randrange(-9, 14), rng.random() < 0.7))
+        for _ in range(rng.randrange(9)):
+            a = rng.randrange(-4, len(text) + 6)
+            pred.append((f"d{d}", len(pred), a, a + rng.randrange(-9, 14), rng.randrange(5), rng.randrange(5)))
+    gold.append(("none", 1, 0, 3, True))
+    pred += [("none", -1, 0, 3, 0, 4), ("d1", -2, None, 3, 0, 4), ("d1", -3, 0, None, 0, 4), (None, -4, 0, 3, 0, 4)]
+    ddf = spark.createDataFrame(docs, "doc_id string, split string, text string")
+    gdf = spark.createDataFrame(gold, "doc_id string, span_no int, start_pos int, end_pos int, required boolean")
+    pdf = spark.createDataFrame(pred, "doc_id string, span_id long, start_pos int, end_pos int, low int, high int")
+    cut = lambda df: df.join(ddf.select("doc_id", F.length("text").alias("n")), "doc_id").selectExpr("*", "greatest(0, least(start_pos, end_pos)) as a", "least(n, greatest(start_pos, end_pos)) as b").where("start_pos is not null and end_pos is not null and a < b").drop("n", "start_pos", "end_pos").withColumnsRenamed({"a": "start_pos", "b": "end_pos"})
+    each = cut(pdf).where("low < high").withColumn("det", F.explode(F.expr("cast(sequence(low, high - 1) as array<string>)"))).withColumn("label", F.lit("NAME"))
+    grid = [(str(k),) for k in range(5)]
+    want = scoring.corpus_scores(scoring.doc_scores(ddf, cut(gdf).withColumns({"label": F.lit("NAME"), "surface": F.lit("x")}), each, grid), ["split", "det"])
+    got = scoring.ratios(scoring.tallies(ddf, gdf, pdf, grid), ["split", "det"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 15
+    assert scoring.tallies(ddf, gdf, pdf, []).count() == 0
+    total = scoring.tallies(ddf, gdf.limit(0), pdf.limit(0), grid).where("split = 's'").first()
+    assert (total.docs, total.req, total.pred, total.ents, total.leak_docs) == (sum(s == "s" for _, s, _ in docs), 0, 0, 0, 0)
+
+
+def test_tokens_of_many_texts_at_once():
+    rng = random.Random(3)
+    texts = ["", "".join(map(chr, range(1, 0xD800))), *("".join(rng.choice(_SIGNS) for _ in range(rng.randrange(30))) for _ in range(400)), ""]
+    base = np.cumsum([0, *map(len, texts)])
+    starts, ends = scoring.token_bounds(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), base[:-1])
+    assert [*zip(starts.tolist(), ends.tolist())] == [(a + n, b + n) for t, n in zip(texts, base.tolist()) for a, b, _ in zip(*scoring.tokens(t))]
+    none = scoring.token_bounds(np.zeros(0, np.uint32), np.array([0, 0]))
+    assert [len(x) for x in none] == [0, 0]
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 21])
+def test_hits_equal_half_covered(monkeypatch, pairs):
+    monkeypatch.setattr(scoring, "PAIRS", pairs)
+    rng = np.random.default_rng(4)
+    edges = np.sort(rng.choice(500, 160, replace=False))
+    starts, ends = edges[::2], edges[1::2]
+    points, a = rng.integers(0, 6, 90) * 2, rng.integers(0, 480, 90)
+    b = a + rng.integers(1, 20, 90)
+    got = {(p, t) for ps, ts in scoring._hits(scoring._disjoint(points, a, b, 501), starts, ends) for p, t in zip(ps.tolist(), ts.tolist())}
+    want = {(p, t) for p in range(12) for t in np.flatnonzero(scoring.half_covered(starts, ends, scoring.merged([*zip(a[points == p].tolist(), b[points == p].tolist())]))).tolist()}
+    assert got == want and len(want) > 50
+
+
 def test_worked_score(spark):
     text = "Jane Doe\njane@x.com\nPython\n"
     docs = spark.createDataFrame([("d", "s", text), ("e", "s", "")], "doc_id string, split string, text string")
